@@ -5,9 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, components, neardup, packing
+from quillmill.llm import bpe, components, markup, neardup, packing, splitting
 from quillmill.session import cut, table
 
+
+def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
+    r = table(spark, d, "size_limits").filter(F.col("limit_name") == name).first()
+    return r["max_size"], r["overlap_size"]
+
+
+# --- 1 oversized texts ----------------------------------------------------------------------------------------------
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    docs = splitting.split_oversized(table(spark, d, "documents"), "documents", "doc_id", "text", *_limit(spark, d, "document_piece"))
+    return docs.unionByName(splitting.split_oversized(table(spark, d, "sections"), "sections", "section_id", "content", *_limit(spark, d, "section_piece")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).filter("piece_no = 1").select("item_table", "item_key")
+
+
+# --- 5 markup -------------------------------------------------------------------------------------------------------
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text and families of documents and sections; sections of diagram documents count as diagrams."""
+    documents, sections = table(spark, d, "documents"), table(spark, d, "sections")
+    diagrams = documents.filter("doc_format = 'lw'").select("document_id").distinct().withColumn("_lw", F.lit(True))
+    docs = markup.clean_texts(documents, "documents", "doc_id", "text", F.col("doc_format") == "lw")
+    secs = markup.clean_texts(sections.select("section_id", "document_id", "content").join(diagrams, "document_id", "left"), "sections", "section_id", "content", F.col("_lw"))
+    return docs.unionByName(markup.once(secs))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found_families(p5_clean(spark, d))
+
+
 # --- 6 near-duplicate records ---------------------------------------------------------------------------------------
 
 
@@ -61,6 +95,10 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
@@ -70,6 +108,11 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p1_found": """
+SELECT DISTINCT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_key FROM documents, size_limits
+WHERE limit_name = 'document_piece' AND length(text) > max_size AND doc_id IS NOT NULL
+UNION SELECT DISTINCT 'sections', section_id FROM sections, size_limits
+WHERE limit_name = 'section_piece' AND length(content) > max_size AND section_id IS NOT NULL""",
     "p6_found": r"""
 WITH t AS (
   SELECT DISTINCT 'facts' AS record_table, fact_id AS id, list_sort(regexp_extract_all(lower(statement), '[\p{L}\p{N}]+')) AS w FROM facts WHERE statement IS NOT NULL
