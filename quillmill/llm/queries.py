@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, components, markup, neardup, packing, splitting
+from quillmill.llm import bpe, components, markup, mojibake, neardup, packing, splitting
 from quillmill.session import cut, table
 
 
@@ -26,6 +26,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).filter("piece_no = 1").select("item_table", "item_key")
 
 
+# --- 2 misread text -------------------------------------------------------------------------------------------------
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair_fields(table(spark, d, "documents"), "doc_id", {"text": False, "metadata": True})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_repaired(spark, d).select("doc_id", "field_name")
+
+
 # --- 5 markup -------------------------------------------------------------------------------------------------------
 
 
@@ -97,6 +108,8 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
