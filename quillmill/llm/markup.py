@@ -117,26 +117,26 @@ STOP_WORDS = frozenset(
 )
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)")
 _INLINE = (
-    (re.compile(r"<!--.*?-->", re.S), ""),
-    (re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.S | re.I), ""),
-    (re.compile(r"\{\{[^{}]*\}\}"), ""),
-    (re.compile(r"\[\[(?:[Cc]ategory|[Ff]ile|[Ii]mage):[^\[\]]*\]\]"), ""),
-    (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), r"\1"),
-    (re.compile(r"\[https?://[^\s\]]+[ ]([^\]\n]+)\]"), r"\1"),
-    (_MAGIC, ""),
-    (_LINK, r"\1"),
-    (re.compile(r"\[\^[\w-]+\](?!:)"), ""),
-    (re.compile(r"(?<!')'{2,5}(?=[^\s'])([^'\n]+?)'{2,5}(?!')"), r"\1"),
-    (re.compile(r"\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*"), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![\w\\$])_(?=[^\s_])([^_\n]*?)(?<=[^\s_])_(?![\w$])"), r"\1"),
-    (re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~"), r"\1"),
-    (re.compile(r"(?<!`)`([^`\n]+)`(?!`)"), r"\1"),
-    (re.compile(r"~?\\(?:ref|cite|eqref|label)\{[^{}]*\}"), ""),
-    (re.compile(r"\\footnote\{([^{}]*)\}"), r" (\1)"),
-    (re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc|mbox|text)\{([^{}]*)\}"), r"\1"),
-    (re.compile(r"[ \t]*\\\\[ \t]*$", re.M), ""),
-    (re.compile(r"\\([%&_#{}$])"), r"\1"),
+    ('<!--', re.compile(r"<!--.*?-->", re.S), ""),
+    ('<', re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.S | re.I), ""),
+    ('{{', re.compile(r"\{\{[^{}]*\}\}"), ""),
+    ('[[', re.compile(r"\[\[(?:[Cc]ategory|[Ff]ile|[Ii]mage):[^\[\]]*\]\]"), ""),
+    ('[[', re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), r"\1"),
+    ('[http', re.compile(r"\[https?://[^\s\]]+[ ]([^\]\n]+)\]"), r"\1"),
+    ('__', _MAGIC, ""),
+    (']', _LINK, r"\1"),
+    ('[^', re.compile(r"\[\^[\w-]+\](?!:)"), ""),
+    ("''", re.compile(r"(?<!')'{2,5}(?=[^\s'])([^'\n]+?)'{2,5}(?!')"), r"\1"),
+    ('**', re.compile(r"\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*"), r"\1"),
+    ('*', re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
+    ('_', re.compile(r"(?<![\w\\$])_(?=[^\s_])([^_\n]*?)(?<=[^\s_])_(?![\w$])"), r"\1"),
+    ('~~', re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~"), r"\1"),
+    ('`', re.compile(r"(?<!`)`([^`\n]+)`(?!`)"), r"\1"),
+    ('\\', re.compile(r"~?\\(?:ref|cite|eqref|label)\{[^{}]*\}"), ""),
+    ('\\footnote', re.compile(r"\\footnote\{([^{}]*)\}"), r" (\1)"),
+    ('\\', re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc|mbox|text)\{([^{}]*)\}"), r"\1"),
+    ('\\\\', re.compile(r"[ \t]*\\\\[ \t]*$", re.M), ""),
+    ('\\', re.compile(r"\\([%&_#{}$])"), r"\1"),
 )
 _BR = re.compile(r"<br\s*/?>|</p\s*>|</div\s*>|</tr\s*>|</h[1-6]\s*>|</li\s*>|</ul\s*>|</ol\s*>|</table\s*>", re.I)
 _OPEN = re.compile(r"<h([1-6])\b[^<>]*>", re.I)
@@ -169,13 +169,14 @@ def _inline(s: str, kept: list[str]) -> str:
 
     if "$" in s:
         s = _FORMULA.sub(aside, s)
-    for p, to in _INLINE:
-        s = p.sub(to, s)
+    for sign, p, to in _INLINE:
+        if sign in s:
+            s = p.sub(to, s)
     if "<" in s:
         s = _ANY_TAG.sub("", s)
     if "&" in s:
         s = _ANY_TAG.sub("", unescape(s))
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], s)
+    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], s) if "\x00" in s else s
 
 
 def _unfold(text: str) -> str:

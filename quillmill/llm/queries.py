@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, components, markup, mojibake, neardup, packing, splitting
+from quillmill.llm import bpe, components, markup, mojibake, neardup, packing, reading, splitting
 from quillmill.session import cut, table
 
 
@@ -105,6 +105,17 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d), "limit_name", "max_size")
 
 
+# --- 10 reading level -----------------------------------------------------------------------------------------------
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_samples"), F.col("doc_format") == "lw")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).filter("is_english AND band >= 4").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -118,6 +129,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
 
 ORACLE = {
