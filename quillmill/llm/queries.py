@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, components, markup, mojibake, neardup, packing, reading, splitting
+from quillmill.llm import bpe, components, markup, mojibake, names, neardup, packing, reading, splitting
+from quillmill.operators.references import name_key
 from quillmill.session import cut, table
 
 
@@ -37,6 +38,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_repaired(spark, d).select("doc_id", "field_name")
 
 
+# --- 4 variant names ------------------------------------------------------------------------------------------------
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_items(table(spark, d, "items"), table(spark, d, "name_registry"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Linked items whose own name is not the registered one."""
+    differs = F.coalesce(name_key(F.col("name")), F.lit("")) != name_key(F.col("registered"))
+    return p4_links(spark, d).filter(differs).select("item_id", "registry_id")
+
+
 # --- 5 markup -------------------------------------------------------------------------------------------------------
 
 
@@ -121,6 +135,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_repaired": p2_repaired,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
