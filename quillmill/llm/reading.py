@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ BANDS = 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|(?<=[。！？])")
 _SIGN = re.compile(r"[0-9<>=$_{}\[\]\\|#*~/^@+&�]")
+_FAR = re.compile("[ɐ-\U0010ffff]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 #: Function words that tell languages apart.
 _FUNCTION = {
@@ -56,14 +58,18 @@ _CONNECTIVE = frozenset(
 _OPENER = frozenset("which that who whom whose whence whereby wherein because although though unless while whereas whenever if lest albeit insofar notwithstanding qua being provided underlying".split())
 
 
+_CODES = tuple(_LANG)
+_HINT = {w: tuple(i for i, k in enumerate(_CODES) if w in _LANG[k]) for w in frozenset().union(*_LANG.values())}
+
+
 def language(words: list[str]) -> str:
-    """The language whose function words are most frequent; '' without any."""
-    best, name = 0, ""
-    for k, v in _LANG.items():
-        n = sum(w in v for w in words)
-        if n > best:
-            best, name = n, k
-    return name
+    """The language whose function words are most frequent, the first listed on a tie; '' without any."""
+    votes = [0] * len(_CODES)
+    for w in words:
+        for i in _HINT.get(w, ()):
+            votes[i] += 1
+    best = max(votes)
+    return _CODES[votes.index(best)] if best else ""
 
 
 def sentences(text: str) -> list[str]:
@@ -84,10 +90,15 @@ def prose(text: str | None) -> tuple[list[list[str]], bool]:
     english = other = 0
     out = []
     for s in sentences(text):
-        wide = len(_CJK.findall(s))
-        words = [w.lower() for w in _WORD.findall(s)]
-        weight = sum(map(len, words)) + 2 * wide
-        if wide * 3 > weight or language(words) != "en" or not sum(c < "ɐ" for c in s) > 0.8 * len(s):
+        words = _WORD.findall(s.lower())
+        weight = sum(map(len, words))
+        if s.isascii():
+            foreign = False
+        else:
+            wide = len(_CJK.findall(s))
+            weight += 2 * wide
+            foreign = wide * 3 > weight or len(_FAR.findall(s)) >= 0.2 * len(s)
+        if foreign or language(words) != "en":
             other += weight
             continue
         english += weight
@@ -122,11 +133,13 @@ class Level:
         folds = 5
         fold = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace")) % folds for _, t in samples]
         for k in range(folds):
+            self.seen: dict[str, tuple] = {}
             self.grades = self._grades([r for r, f in zip(rows, fold, strict=True) if f != k])
             for b, ss in (r for r, f in zip(rows, fold, strict=True) if f == k):
                 for words in ss:
                     feats.append(self.features(words))
                     labels.append(b)
+        self.seen = {}
         self.grades = self._grades(rows)
         x, y = np.array(feats), np.array(labels)
         self.mean, self.std = x.mean(0), x.std(0) + 1e-9
@@ -145,22 +158,32 @@ class Level:
 
     def features(self, words: list[str]) -> list[float]:
         n = len(words)
-        g = self.grades
-        known = [g[w] for w in words if w in g]
-        mean = sum(known) / len(known) if known else 3.0
+        facts = [self._facts(w) for w in words]
+        known = [f[0] for f in facts if f[0]]
+        k = len(known)
         return [
-            mean,
-            sum(v >= 3.8 for v in known) / max(1, len(known)),
-            sum(v <= 2.2 for v in known) / max(1, len(known)),
-            1 - len(known) / n,
-            sum(float(self.rarity[slot(w)]) for w in words) / n,
+            sum(known) / k if k else 3.0,
+            sum(f[1] for f in facts) / max(1, k),
+            sum(f[2] for f in facts) / max(1, k),
+            1 - k / n,
+            sum(f[3] for f in facts) / n,
             len(set(words)) / n,
-            sum(map(len, words)) / n,
-            float(np.log(n)),
-            sum(w in _CONNECTIVE for w in words) / n,
-            sum(w in _OPENER for w in words),
+            sum(f[4] for f in facts) / n,
+            log(n),
+            sum(f[5] for f in facts) / n,
+            sum(f[6] for f in facts),
         ]
 
+    def _facts(self, w: str) -> tuple:
+        """(grade or 0, hard, easy, corpus rarity, length, connective, opener) of a word, kept in a bounded table."""
+        f = self.seen.get(w)
+        if f is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            g = self.grades.get(w, 0.0)
+            f = self.seen[w] = (g, g >= 3.8, 0 < g <= 2.2, float(self.rarity[slot(w)]), len(w), w in _CONNECTIVE, w in _OPENER)
+        return f
+
     def score(self, found: list[list[str]]) -> float | None:
         """Median expected band of the sentences, each with the square root of its length as weight."""
         if not found:
