@@ -153,6 +153,9 @@ _DEPTH = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection
 _RULE = re.compile(r"[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$")
 
 
+_WIDE = re.compile("[぀-鿿]")
+
+
 class Block:
     __slots__ = ("kind", "label", "links", "raw", "text")
 
@@ -215,6 +218,8 @@ def blocks(text: str) -> list[Block]:
         s = line.strip()
         if not s:
             flush()
+        elif (para or i + 1 == len(lines) or not lines[i + 1].lstrip()[:1] in ("=", "-")) and s[0].isalpha() and "|" not in s:
+            para.append(line)
         elif m := re.match(r"[ ]{0,3}(```+|~~~+)", line):
             j = i + 1
             while j < len(lines) and not lines[j].strip().startswith(m.group(1)):
@@ -286,18 +291,18 @@ def _judge(b: Block) -> str:
     body = b.text.strip()
     if not body:
         return "residue"
-    linked = sum(len(m.group(1)) for m in _LINK.finditer(b.raw))
-    if linked / len(body) > LINKY and len(body) > SHORT:
+    if len(body) > SHORT and "](" in b.raw and sum(len(m.group(1)) for m in _LINK.finditer(b.raw)) > LINKY * len(body):
         return "residue"
-    words = _WORD.findall(body.lower())
+    words = _WORD.findall(body.lower()) if len(body) >= SHORT else ()
+    if not words and not body.isascii() and _WIDE.search(body, 0, 200):
+        return "text" if len(body) >= SHORT // 4 else "undecided"
     if not words:
         return "undecided"
-    if any("぀" <= c <= "鿿" for c in body[:200]):
+    if not body.isascii() and _WIDE.search(body, 0, 200):
         return "text" if len(body) >= SHORT // 4 else "undecided"
-    density = sum(w in STOP_WORDS for w in words) / len(words)
     if len(body) < SHORT or b.kind == "head":
         return "undecided"
-    return "text" if density >= STOP_LOW else "undecided"
+    return "text" if sum(map(STOP_WORDS.__contains__, words)) >= STOP_LOW * len(words) else "undecided"
 
 
 def label(parts: list[Block]) -> None:

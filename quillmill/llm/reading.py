@@ -65,8 +65,8 @@ _HINT = {w: tuple(i for i, k in enumerate(_CODES) if w in _LANG[k]) for w in fro
 def language(words: list[str]) -> str:
     """The language whose function words are most frequent, the first listed on a tie; '' without any."""
     votes = [0] * len(_CODES)
-    for w in words:
-        for i in _HINT.get(w, ()):
+    for w in filter(_HINT.__contains__, words):
+        for i in _HINT[w]:
             votes[i] += 1
     best = max(votes)
     return _CODES[votes.index(best)] if best else ""
