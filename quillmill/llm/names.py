@@ -1,9 +1,10 @@
 """Variant spellings of names: link every item to the registry entry that its name or its aliases denote.
 
 1. All distinct spellings and all registry names are cut into token q-grams (three letters with word ends; single
-   characters for Han script). Grams are ordered by a hashed registry count (a table of fixed size). If at least ``TAU``
-   of a spelling's grams occur in a registry name, one of its first n - ceil(TAU * n) + 1 rarest grams does: only this
-   prefix is joined with the registry's grams (set-similarity join with a prefix filter).
+   characters for Han script). Grams weigh by their rarity in a hashed registry count (a table of fixed size). A registry
+   name that holds ``TAU`` of a spelling's weight holds one gram of its prefix, the heaviest grams up to where the rest
+   weighs less than that: only the prefix is looked up (set-similarity join with a prefix filter), in an index in the
+   workers while the registry is small, by a join of grams beyond.
 2. Candidates are verified by a soft weighted token similarity. Tokens are aligned one to one; a pair may be equal, a
    nickname, an initial, an abbreviation, a plural or a slip of the keyboard. A token weighs as much as it is rare in
    the registry; titles, articles and legal forms weigh little, but legal forms and version numbers must not differ.
@@ -22,7 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ TAU = 0.3
 ACCEPT = 0.74
 MARGIN = 0.03
 COUNTERS = 1 << 18
+#: Registries up to this size are broadcast.
+BROADCAST_NAMES = 50_000
 
 #: Fixed values.
 TITLES = frozenset("dr mr mrs ms miss prof professor sir dame phd md jr sr herr frau mme mlle".split())
@@ -126,7 +129,7 @@ class Name:
                 self.abbr.add(t)
 
 
-@lru_cache(100_000)
+@lru_cache(5_000)
 def parse(raw: str) -> Name:
     return Name(raw)
 
@@ -157,7 +160,7 @@ def _inside(q: str, r: str) -> bool:
 SLIP1, SLIP2, SLIP3 = 0.93, 0.85, 0.751
 
 
-@lru_cache(400_000)
+@lru_cache(100_000)
 def alike(q: str, r: str, dotted: bool) -> float:
     """Similarity of two tokens."""
     if q == r:
@@ -189,9 +192,12 @@ def _acronym(q: Name, r: Name, weight) -> float:
     """One token of q is made of the initials of r, the others are tokens of r."""
     if len(q.words) < 2 or len(r.words) < 2:
         return 0.0
+    initials = {w[0] for w in r.words}
+    if not any(2 <= len(a) <= 7 and initials.issuperset(a) for a in q.words):
+        return 0.0
     best = 0.0
     for i, a in enumerate(q.words):
-        if not 2 <= len(a) <= 7:
+        if not 2 <= len(a) <= 7 or not initials.issuperset(a):
             continue
         rest = [t for j, t in enumerate(q.words) if j != i and t not in TITLES and t not in SMALL and t not in LEGAL]
         if not rest:
@@ -246,6 +252,10 @@ def similarity(q: Name, r: Name, weight, common, genuine=lambda t: False) -> flo
         return 0.0
     if q.legal and r.legal and q.legal != r.legal:
         return _acronym(q, r, weight)
+    for x in r.tokens:
+        # a token of the registry that nothing here resembles leaves only the acronym
+        if len(x) > 1 and not any(alike(t, x, t in q.abbr) for t in q.tokens):
+            return _acronym(q, r, weight)
     pairs = []
     for i, t in enumerate(q.tokens):
         for j, x in enumerate(r.tokens):
@@ -343,79 +353,147 @@ def _count_table(registry: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def _grams(df: DataFrame, name: str, key: str | None, counters) -> DataFrame:
-    """Gram rows: of the registry (key given) all grams, of spellings the prefix."""
+def _weights(q: Name, count, n: int) -> list[tuple[float, str]]:
+    """The grams of a name with their weights, the heaviest first; grams unknown to the registry weigh most."""
+    return sorted(((log(1 + n / (1 + int(count[_slot(f"g:{g}")]))), g) for g in q.grams), reverse=True)
+
+
+def _prefix(weighted: list[tuple[float, str]]) -> tuple[list[str], float]:
+    """Grams of which a name with ``TAU`` of the whole weight must hold one, and that weight."""
+    need = TAU * sum(w for w, _ in weighted)
+    rest, at = 0.0, len(weighted)
+    while at > 0 and rest + weighted[at - 1][0] < need - 1e-9:
+        rest += weighted[at - 1][0]
+        at -= 1
+    return [g for _, g in weighted[:at]], need
+
+
+class _Judge:
+    """Verification of candidates with the registry's weights."""
+
+    def __init__(self, count: np.ndarray):
+        self.count = count
+        self.n = max(1, int(count[_slot("n")]))
+        self.weights: dict[str, float] = {}
+        self.own: dict[str, bool] = {}
+        judge = self
+
+        class Common:
+            def __contains__(self, c: str) -> bool:
+                return judge.count[_slot(f"g:{c}")] > 0
+
+        self.common = Common()
+
+    def weight(self, t: str) -> float:
+        w = self.weights.get(t)
+        if w is None:
+            if len(self.weights) > 200_000:
+                self.weights.clear()
+            w = self.weights[t] = max(1.0, log(1 + self.n / (1 + int(self.count[_slot(f"t:{t}")]))))
+        return w
+
+    def genuine(self, t: str) -> bool:
+        g = self.own.get(t)
+        if g is None:
+            if len(self.own) > 200_000:
+                self.own.clear()
+            g = self.own[t] = own_word(t, lambda x: int(self.count[_slot(x)]))
+        return g
+
+    def __call__(self, q: Name, r: Name) -> float:
+        return similarity(q, r, self.weight, self.common, self.genuine)
+
+
+_OUT = "spelling string, registry_id long, score double"
+
+
+def _answers(rows: list[tuple[str, int, float]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["spelling", "registry_id", "score"])
+
+
+def _match_in_memory(spellings: DataFrame, registry: list[tuple[int, str]], counters) -> DataFrame:
+    """Candidates from an inverted index of the registry in each worker."""
+    told = spellings.sparkSession.sparkContext.broadcast(registry)
+    made: dict[str, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counters.value
+        if not made:
+            parsed = [(i, Name(x)) for i, x in told.value]
+            lists: dict[str, list[int]] = {}
+            for k, (_, p) in enumerate(parsed):
+                for g in p.grams:
+                    lists.setdefault(g, []).append(k)
+            made["x"] = (parsed, {g: np.array(v, np.int64) for g, v in lists.items()}, _Judge(counters.value))
+        parsed, index, judge = made["x"]
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [])
-            keys = b.column(1).to_pylist() if key else [None] * b.num_rows
-            for raw, k in zip(b.column(0).to_pylist(), keys, strict=True):
-                grams = sorted((int(count[_slot(f"g:{g}")]), g) for g in parse(raw).grams)
-                if not key:
-                    grams = grams[: len(grams) - ceil(TAU * len(grams) - 1e-9) + 1]
-                for n, g in grams:
-                    if n:
-                        cols[0].append(g)
-                        cols[1].append(raw)
-                        cols[2].append(k)
-            arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())]
-            names = ["gram", "spelling"]
-            if key:
-                arrays.append(pa.array(cols[2], pa.int64()))
-                names = ["gram", "registered", "registry_id"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    if key:
-        return df.select(name, F.col(key).cast("long")).mapInArrow(run, "gram string, registered string, registry_id long")
-    return df.select(name).mapInArrow(run, "gram string, spelling string")
-
-
-def match_spellings(spellings: DataFrame, registry: DataFrame, key: str, name: str) -> DataFrame:
-    """(spelling, registry_id, score) of all pairs at or above ``ACCEPT``; ``spellings`` has one distinct column."""
-    sc = spellings.sparkSession.sparkContext
-    known = registry.filter(F.col(key).isNotNull() & F.col(name).isNotNull())
-    counters = sc.broadcast(_count_table(known, name))
-    cand = _grams(spellings, "spelling", None, counters).join(_grams(known, name, key, counters), "gram").select("spelling", "registered", "registry_id").distinct()
+            rows = []
+            for x in b.column(0).to_pylist():
+                q = Name(x)
+                weighted = _weights(q, judge.count, judge.n)
+                prefix, need = _prefix(weighted)
+                if not any(g in index for g in prefix):
+                    continue
+                hits = [(w, index[g]) for w, g in weighted if g in index]
+                got = np.bincount(np.concatenate([v for _, v in hits]), np.repeat([w for w, _ in hits], [len(v) for _, v in hits]))
+                for k in np.nonzero(got >= need - 1e-9)[0]:
+                    s = judge(q, parsed[k][1])
+                    if s >= ACCEPT:
+                        rows.append((x, parsed[k][0], s))
+            yield _answers(rows)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return spellings.select("spelling").mapInArrow(run, _OUT)
+
+
+def _match_joined(spellings: DataFrame, known: DataFrame, key: str, name: str, counters) -> DataFrame:
+    """Candidates from a join of prefix grams with all registry grams, for registries of any size."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counters.value
         n = max(1, int(count[_slot("n")]))
-        weights: dict[str, float] = {}
-
-        def weight(t: str) -> float:
-            w = weights.get(t)
-            if w is None:
-                w = weights[t] = max(1.0, log(1 + n / (1 + int(count[_slot(f"t:{t}")]))))
-            return w
+        for b in batches:
+            grams, names = [], []
+            for x in b.column(0).to_pylist():
+                for g in _prefix(_weights(Name(x), count, n))[0]:
+                    if count[_slot(f"g:{g}")]:
+                        grams.append(g)
+                        names.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(names, pa.string())], names=["gram", "spelling"])
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(g, k, x) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for g in Name(x).grams]
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["gram", "registry_id", "registered"])
 
-        class Common(frozenset):
-            def __contains__(self, c: object) -> bool:
-                return count[_slot(f"g:{c}")] > 0
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(counters.value)
+        for b in batches:
+            rows = []
+            for x, y, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                q, r = Name(x), Name(y)
+                weighted = _weights(q, judge.count, judge.n)
+                if sum(w for w, g in weighted if g in r.grams) >= _prefix(weighted)[1] - 1e-9 and (s := judge(q, r)) >= ACCEPT:
+                    rows.append((x, k, s))
+            yield _answers(rows)
 
-        common = Common()
-        own: dict[str, bool] = {}
+    left = spellings.select("spelling").mapInArrow(prefixes, "gram string, spelling string")
+    right = known.select(F.col(key).cast("long"), name).mapInArrow(full, "gram string, registry_id long, registered string")
+    cand = left.join(right, "gram").select("spelling", "registered", "registry_id").distinct()
+    return cand.mapInArrow(verify, _OUT)
 
-        def genuine(t: str) -> bool:
-            g = own.get(t)
-            if g is None:
-                g = own[t] = own_word(t, lambda x: int(count[_slot(x)]))
-            return g
 
-        for b in batches:
-            keep, score = [], []
-            for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                q, r = parse(x), parse(y)
-                if len(q.grams & r.grams) < TAU * len(q.grams) - 1e-9:
-                    continue
-                s = similarity(q, r, weight, common, genuine)
-                if s >= ACCEPT:
-                    keep.append(i)
-                    score.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(2).take(pa.array(keep, pa.int64())), pa.array(score, pa.float64())], names=["spelling", "registry_id", "score"])
+def match_spellings(spellings: DataFrame, registry: DataFrame, key: str, name: str, limit: int = BROADCAST_NAMES) -> DataFrame:
+    """(spelling, registry_id, score) of all pairs at or above ``ACCEPT``; ``spellings`` has one distinct column.
 
-    return cand.mapInArrow(verify, "spelling string, registry_id long, score double")
+    A registry of at most ``limit`` names is held as an index in the workers, a larger one is joined.
+    """
+    known = registry.filter(F.col(key).isNotNull() & F.col(name).isNotNull()).select(key, name)
+    counters = spellings.sparkSession.sparkContext.broadcast(_count_table(known, name))
+    if known.limit(limit + 1).count() <= limit:
+        rows = [(int(r[0]), r[1]) for r in known.collect()]
+        return _match_in_memory(spellings, rows, counters)
+    return _match_joined(spellings, known, key, name, counters)
 
 
 def link_items(items: DataFrame, registry: DataFrame) -> DataFrame:
