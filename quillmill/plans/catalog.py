@@ -1 +1,529 @@
-QUERIES, ORACLE = {}, {}
+"""Registered queries of the reference's own operators, with their SQL.
+
+The SQL says keys with regular expressions; names in width variants or with nested wraps would need NFKC, which DuckDB
+does not have, and do not occur in the test tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.functions.names import document_id, match_key_col
+from quillmill.functions.text import link_targets
+from quillmill.operators import candidates as C
+from quillmill.operators import documents as D
+from quillmill.operators import extraction as X
+from quillmill.operators import graph as G
+from quillmill.operators import knowledge as K
+from quillmill.operators import lint as L
+from quillmill.operators import linker as N
+from quillmill.operators import search as S
+from quillmill.operators import wiki as W
+from quillmill.plans.kb import KnowledgeBase
+from quillmill.session import table
+from quillmill.sources import diagram as M
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn: Callable[[KnowledgeBase], DataFrame]):
+        QUERIES[fn.__name__] = lambda spark, d: fn(KnowledgeBase(spark, d))
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# --- SQL pieces -----------------------------------------------------------------------------------------------------
+
+_SP = r"[\s\x{00A0}\x{3000}]"
+_EDGE = r"[\s\x{00A0}\x{3000}`。，、．,.;:!?！？…—\-–~·\"''“”‘’()\[\]{}（）【】《》〈〉「」『』]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+def _key(x: str) -> str:
+    plain = f"replace(translate(coalesce({x}, ''), '，：；！？（）［］｛｝．', ',:;!?()[]{{}}.'), '…', '...')"
+    one = f"regexp_replace(replace(lower({plain}), 'ß', 'ss'), '{_SP}+', ' ', 'g')"
+    return f"regexp_replace({one}, '^{_EDGE}+|{_EDGE}+$', '', 'g')"
+
+
+def _norm(x: str) -> str:
+    return f"replace(lower(trim(regexp_replace({x}, '{_SP}+', ' ', 'g'))), 'ß', 'ss')"
+
+
+def _first(t: str, key: str) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY loaded_at NULLS LAST) AS _n FROM {t} WHERE {key} IS NOT NULL) WHERE _n = 1)"
+
+
+_ITEMS = f"""iv AS (SELECT item_id, coalesce(kind, 'entity') AS kind, coalesce(name, '') AS name, {_key('name')} AS key,
+  left(sha1(coalesce(kind, 'entity') || ':' || {_norm("coalesce(name, '')")}), 16) AS id, coalesce(nullif({_strip('item_type')}, ''), 'other') AS type,
+  coalesce(description, '') AS description, coalesce(aliases, []) AS aliases, sources FROM {_first('items', 'item_id')}),
+ik AS (SELECT DISTINCT item_id, kind, id, {_key('n')} AS key FROM (SELECT item_id, kind, id, unnest(list_prepend(name, aliases)) AS n FROM iv) WHERE {_key('n')} <> ''),
+nk AS (SELECT DISTINCT id, key FROM ik)"""
+_FACTS = f"""fv AS (SELECT fact_id, coalesce(statement, '') AS statement, coalesce({_strip('fact_subject')}, '') AS subject, coalesce({_strip('fact_predicate')}, '') AS predicate,
+  coalesce({_strip('fact_object')}, '') AS object, sources, rtrim(rtrim({_key('statement')}, '。.!?！？…')) AS key FROM {_first('facts', 'fact_id')})"""
+_RELATIONS = f"""rv AS (SELECT edge_id, coalesce({_strip('source')}, '') AS source, coalesce({_strip('target')}, '') AS target, coalesce({_strip('edge_type')}, '') AS type,
+  coalesce({_strip('description')}, '') AS description, sources FROM {_first('edges', 'edge_id')} WHERE kind = 'relation' AND coalesce({_strip('source')}, '') <> '' AND coalesce({_strip('target')}, '') <> '')"""
+_GROUPS = """lk AS (SELECT DISTINCT a, b FROM (
+  SELECT f AS a, item_id AS b FROM (SELECT item_id, min(item_id) OVER (PARTITION BY kind, key) AS f FROM iv WHERE key <> '') WHERE f <> item_id
+  UNION ALL SELECT v.left_id, v.right_id FROM verdicts v JOIN iv x ON x.item_id = v.left_id JOIN iv y ON y.item_id = v.right_id WHERE v.same AND v.left_id <> v.right_id AND x.kind = y.kind)),
+l2 AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+reach AS (SELECT a AS id, b AS o FROM l2 UNION SELECT r.id, l2.b FROM reach r JOIN l2 ON l2.a = r.o),
+gr AS (SELECT iv.item_id, least(iv.item_id, coalesce(g.m, iv.item_id)) AS group_id FROM iv LEFT JOIN (SELECT id, min(o) AS m FROM reach GROUP BY id) g ON g.id = iv.item_id),
+cn AS (SELECT group_id, arg_min(s, r) AS canonical_name FROM (
+  SELECT group_id, s, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, e DESC, f) AS r FROM (
+    SELECT group_id, key, count(*) AS n, sum(coalesce(len(sources), 0)) AS e, min(item_id) AS f, arg_min(""" + _strip("name") + """, item_id) AS s FROM iv JOIN gr USING (item_id) WHERE key <> '' GROUP BY group_id, key)) GROUP BY group_id),
+nm AS (SELECT group_id, coalesce(canonical_name, own) AS canonical_name FROM (SELECT group_id, arg_min(name, item_id) AS own FROM iv JOIN gr USING (item_id) GROUP BY group_id) LEFT JOIN cn USING (group_id))"""
+_NAMES = """mp AS (SELECT key, arg_min(canonical_name, r) AS canonical_name FROM (
+  SELECT ik.key, nm.canonical_name, row_number() OVER (PARTITION BY ik.key ORDER BY CASE WHEN ik.kind = 'concept' THEN 0 ELSE 1 END, gr.group_id) AS r
+  FROM ik JOIN gr USING (item_id) JOIN nm USING (group_id)) GROUP BY key)"""
+_GRAPH = f"""ix AS (SELECT key, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM nk GROUP BY key),
+ls AS (SELECT 'relation' AS kind, edge_id AS ref_id, source, type, target, description, 0 AS ord FROM rv
+  UNION ALL SELECT 'fact', fact_id, subject, predicate, object, '', 1 FROM fv WHERE subject <> '' AND predicate <> '' AND object <> ''),
+lr AS (SELECT ls.*, {_key('ls.source')} AS sk, {_key('ls.target')} AS tk, {_key('ls.type')} AS yk FROM ls),
+rs AS (SELECT lr.*, coalesce(s.n, 0) AS sn, s.id AS sid, coalesce(t.n, 0) AS tn, t.id AS tid FROM lr LEFT JOIN ix s ON s.key = lr.sk LEFT JOIN ix t ON t.key = lr.tk),
+ed AS (SELECT sk AS source_key, yk AS type_key, tk AS target_key, arg_min(source, (ord, ref_id)) AS source, arg_min(type, (ord, ref_id)) AS type, arg_min(target, (ord, ref_id)) AS target,
+  arg_min(kind, (ord, ref_id)) AS kind, max(sid) AS source_id, max(tid) AS target_id, count(*) FILTER (kind = 'relation') AS n_relations, count(*) FILTER (kind = 'fact') AS n_facts,
+  bool_or(sn > 1) AS ambiguous_source, bool_or(tn > 1) AS ambiguous_target FROM rs WHERE sn > 0 AND tn > 0 GROUP BY sk, yk, tk),
+ts AS (SELECT source_id AS id, source_key, type_key, target_key FROM ed WHERE source_id IS NOT NULL UNION ALL SELECT nk.id, source_key, type_key, target_key FROM ed JOIN nk ON nk.key = source_key WHERE source_id IS NULL),
+tt AS (SELECT target_id AS id, source_key, type_key, target_key FROM ed WHERE target_id IS NOT NULL UNION ALL SELECT nk.id, source_key, type_key, target_key FROM ed JOIN nk ON nk.key = target_key WHERE target_id IS NULL),
+nd AS (SELECT DISTINCT id FROM iv),
+dg AS (SELECT nd.id, coalesce(a.n, 0) AS n_out, coalesce(b.n, 0) AS n_in FROM nd LEFT JOIN (SELECT id, count(*) AS n FROM ts GROUP BY id) a USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM tt GROUP BY id) b USING (id))"""
+_KB = f"WITH RECURSIVE {_ITEMS}, {_FACTS}, {_RELATIONS}, {_GROUPS}, {_NAMES}"
+_KG = f"WITH {_ITEMS}, {_FACTS}, {_RELATIONS}, {_GRAPH}"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_LINES = f"""ln AS (SELECT doc_id, pos - 1 AS pos, l AS line FROM (
+  SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS pos FROM (
+    SELECT doc_id, CASE WHEN t = '' THEN [] WHEN a[-1] = '' THEN a[:-2] ELSE a END AS ls FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '{_LINE_END}') AS a, doc_format FROM documents)))),
+fe AS (SELECT *, regexp_matches(line, '^{_SP}*(?:```|~~~)') AS f FROM ln),
+op AS (SELECT *, f OR sum(CAST(f AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS o FROM fe),
+hd AS (SELECT doc_id, pos, line, CASE WHEN NOT o AND regexp_matches(line, '^#{{1,6}}{_SP}+[^\\n]+') AND {_strip("regexp_replace(regexp_extract(line, '^#{1,6}" + _SP + "+(.+)$', 1), '" + _SP + "*#*" + _SP + "*$', '')")} <> ''
+  THEN length(regexp_extract(line, '^(#{{1,6}}){_SP}', 1)) ELSE 0 END AS level,
+  {_strip("regexp_replace(regexp_extract(line, '^#{1,6}" + _SP + "+(.+)$', 1), '" + _SP + "*#*" + _SP + "*$', '')")} AS heading FROM op)"""
+
+
+# --- documents ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT d.doc_id, coalesce((SELECT left({_strip('arg_min(line, pos)')}, 120) FROM ln WHERE ln.doc_id = d.doc_id AND {_strip('line')} <> ''), '') AS title, (SELECT count(*) FROM ln WHERE ln.doc_id = d.doc_id) AS line_count, length(coalesce(text, '')) AS char_count FROM documents d")
+def doc_text_facts(kb: KnowledgeBase) -> DataFrame:
+    return D.text_facts(kb.documents, "doc_id", "text")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos + 1 AS line_no, level, heading FROM hd WHERE level > 0")
+def doc_headings(kb: KnowledgeBase) -> DataFrame:
+    return D.headings(kb.documents, "doc_id", "text")
+
+
+@query(f"""WITH {_LINES}, md AS (SELECT hd.* FROM hd JOIN documents USING (doc_id) WHERE doc_format = 'markdown'),
+hp AS (SELECT *, max(CASE WHEN level > 0 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS h FROM md),
+sc AS (SELECT doc_id, h, max(CASE WHEN level > 0 THEN level END) AS lv, max(CASE WHEN level > 0 THEN heading END) AS title, max(pos) + 1 AS line_end FROM hp GROUP BY doc_id, h),
+hs AS (SELECT * FROM sc WHERE h IS NOT NULL),
+pa AS (SELECT a.*, (SELECT max(b.h) FROM hs b WHERE b.doc_id = a.doc_id AND b.h < a.h AND b.lv < a.lv) AS p FROM hs a)
+SELECT doc_id, h + 1 AS line_start, line_end, lv AS heading_level, title, p + 1 AS parent_line FROM pa""")
+def doc_sections(kb: KnowledgeBase) -> DataFrame:
+    """Heading sections with the line of their parent heading."""
+    s = kb.sections.filter("kind = 'heading'")
+    up = s.select("doc_id", F.col("path").alias("parent_path"), F.col("line_start").alias("parent_line"))
+    return s.join(up, ["doc_id", "parent_path"], "left").select("doc_id", "line_start", "line_end", "heading_level", "title", "parent_line")
+
+
+@query()
+def doc_section_tree(kb: KnowledgeBase) -> DataFrame:
+    """All sections with ids, tree order and contents."""
+    return kb.sections.select("doc_id", "section_id", "path", "parent_path", "level", "kind", "heading_level", "line_start", "line_end", "title", "content")
+
+
+@query(r"SELECT doc_id, left(sha1(replace(lower(trim(replace(path, '\', '/'))), 'ß', 'ss')), 16) AS made_id FROM documents")
+def doc_ids(kb: KnowledgeBase) -> DataFrame:
+    return kb.documents.select("doc_id", document_id(F.col("path")).alias("made_id"))
+
+
+@query()
+def doc_prompts(kb: KnowledgeBase) -> DataFrame:
+    return D.user_prompts(kb.documents, kb.sections, "doc_id", "title", "source", "doc_format")
+
+
+@query(r"""SELECT doc_id, target FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[[^\]]*\]\(([^)]*)\)', 1)) AS target FROM documents WHERE text IS NOT NULL)""")
+def doc_links(kb: KnowledgeBase) -> DataFrame:
+    return kb.documents.filter("text IS NOT NULL").select("doc_id", F.explode(link_targets(F.col("text"))).alias("target"))
+
+
+# --- extraction -----------------------------------------------------------------------------------------------------
+
+
+def _answers(kb: KnowledgeBase) -> DataFrame:
+    """One fenced answer per fact, as a model would write it."""
+    f = kb.facts.select("fact_id", F.to_json(F.struct(F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("concepts"), F.array(F.struct("statement", "subject", "predicate", "object", "sources")).alias("facts"), F.array().cast("array<string>").alias("relations"))).alias("j"))
+    return f.select("fact_id", F.concat(F.lit("```json\n"), "j", F.lit("\n```")).alias("raw"))
+
+
+@query(f"""WITH {_FACTS} SELECT fact_id, left(sha1('fact:' || {_norm(_strip('statement'))}), 16) AS id, {_strip('statement')} AS statement, subject, predicate, object FROM fv WHERE {_strip('statement')} <> ''""")
+def extract_facts(kb: KnowledgeBase) -> DataFrame:
+    """Answers read, checked and turned into fact rows; answers with an empty statement are rejected."""
+    items = X.payload_items(X.check_contract(X.read_answers(_answers(kb), "fact_id"), "fact_id"), "fact_id")
+    good = X.with_ids(X.accepted(items, X.item_errors(items, "fact_id"), "fact_id"))
+    return good.select("fact_id", "id", "statement", "subject", "predicate", "object")
+
+
+@query(f"""WITH {_FACTS}, s AS (SELECT fact_id, unnest(sources) AS s, generate_subscripts(sources, 1) - 1 AS pos FROM fv),
+k AS (SELECT section_id, max(page_number) AS page FROM sections WHERE section_id IS NOT NULL GROUP BY section_id)
+SELECT fact_id, CAST(pos AS INTEGER) AS pos, k.section_id, coalesce(k.page, s.page_number) AS page_number FROM s LEFT JOIN k ON k.section_id = nullif({_strip('s.section_id')}, '')""")
+def extract_sources(kb: KnowledgeBase) -> DataFrame:
+    """Citations of facts repaired against all sections: unknown sections are dropped, the section's page wins."""
+    items = kb.facts.select(F.lit(1).alias("all"), F.lit("facts").alias("list"), F.col("fact_id").alias("index"), F.transform("sources", lambda s: F.struct(s["section_id"].alias("section_id"), s["page_number"].cast("string").alias("page_number"), s["quote"].alias("quote"))).alias("sources"))
+    known = kb.table("sections").filter("section_id IS NOT NULL").groupBy("section_id").agg(F.max("page_number").alias("section_page"))
+    s = items.select(F.col("index").alias("fact_id"), F.posexplode("sources").alias("pos", "s")).select("fact_id", "pos", F.nullif(F.trim("s.section_id"), F.lit("")).alias("section_id"), F.col("s.page_number").try_cast("int").alias("p"))
+    hit = s.join(known.withColumnRenamed("section_id", "k"), F.col("section_id") == F.col("k"), "left")
+    return hit.select("fact_id", "pos", F.col("k").alias("section_id"), F.coalesce("section_page", "p").alias("page_number"))
+
+
+@query(f"SELECT verdict_id, same, coalesce({_strip('verdict_reason')}, '') AS reason, CASE WHEN same IS NULL THEN '''same'' must be true or false' END AS error FROM verdicts")
+def extract_verdicts(kb: KnowledgeBase) -> DataFrame:
+    raw = kb.table("verdicts").select("verdict_id", F.to_json(F.struct("same", F.col("verdict_reason").alias("reason"))).alias("raw"))
+    return X.verdict_rows(raw, "verdict_id")
+
+
+# --- merge ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT name, {_key('name')} AS key FROM (SELECT DISTINCT name FROM items)")
+def merge_keys(kb: KnowledgeBase) -> DataFrame:
+    return kb.table("items").select("name").distinct().select("name", match_key_col("name").alias("key"))
+
+
+@query(f"WITH {_ITEMS} SELECT kind, key, min(item_id) AS first_item, count(*) AS n FROM iv WHERE key <> '' GROUP BY kind, key HAVING count(*) > 1")
+def merge_auto_groups(kb: KnowledgeBase) -> DataFrame:
+    return K.auto_merge_groups(kb.items)
+
+
+@query(f"{_KB} SELECT * FROM gr")
+def merge_groups(kb: KnowledgeBase) -> DataFrame:
+    return kb.groups
+
+
+@query(f"""{_KB}, ty AS (SELECT group_id, arg_min(type, r) AS type FROM (SELECT group_id, type, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, min(item_id)) AS r FROM iv JOIN gr USING (item_id) WHERE kind = 'entity' AND type <> 'other' GROUP BY group_id, type) GROUP BY group_id)
+SELECT g.group_id, g.kind, CASE WHEN n_items > 1 THEN left(sha1(g.kind || ':' || {_norm('canonical_name')}), 16) ELSE own_id END AS id, canonical_name, CASE WHEN g.kind = 'entity' THEN coalesce(ty.type, 'other') END AS type, n_items
+FROM (SELECT group_id, arg_min(kind, item_id) AS kind, arg_min(id, item_id) AS own_id, count(*) AS n_items FROM iv JOIN gr USING (item_id) GROUP BY group_id) g JOIN nm USING (group_id) LEFT JOIN ty USING (group_id)""")
+def merge_items(kb: KnowledgeBase) -> DataFrame:
+    return kb.merged
+
+
+@query(f"""{_KB}, al AS (SELECT group_id, item_id, p, {_strip('a')} AS alias, {_key('a')} AS key FROM (SELECT group_id, item_id, unnest(list_prepend(name, aliases)) AS a, generate_subscripts(list_prepend(name, aliases), 1) AS p FROM iv JOIN gr USING (item_id))),
+fa AS (SELECT group_id, key, arg_min(alias, (item_id, p)) AS alias, min((item_id, p)) AS pl FROM al WHERE key <> '' AND alias <> '' GROUP BY group_id, key)
+SELECT group_id, alias, CAST(row_number() OVER (PARTITION BY group_id ORDER BY pl) AS INTEGER) AS ord FROM fa WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.group_id = fa.group_id AND {_key('nm.canonical_name')} = fa.key)""")
+def merge_aliases(kb: KnowledgeBase) -> DataFrame:
+    return K.merged_aliases(kb.items, kb.groups, K.canonical_names(kb.items, kb.groups))
+
+
+@query(f"""{_KB}, ds AS (SELECT group_id, item_id, {_strip('description')} AS description, {_key('description')} AS key FROM iv JOIN gr USING (item_id)),
+fd AS (SELECT group_id, arg_min(description, item_id) AS description, min(item_id) AS i FROM ds WHERE description <> '' GROUP BY group_id, key)
+SELECT group_id, description, CAST(row_number() OVER (PARTITION BY group_id ORDER BY i) AS INTEGER) AS ord FROM fd""")
+def merge_descriptions(kb: KnowledgeBase) -> DataFrame:
+    return K.merged_descriptions(kb.items, kb.groups)
+
+
+@query(f"{_KB} SELECT group_id, s.document_id AS document_id, s.section_id AS section_id, s.page_number AS page_number, s.quote AS quote, min(item_id) AS first_item FROM (SELECT group_id, item_id, unnest(sources) AS s FROM iv JOIN gr USING (item_id)) GROUP BY ALL")
+def merge_sources(kb: KnowledgeBase) -> DataFrame:
+    return K.merged_sources(kb.items, kb.groups)
+
+
+@query(f"{_KB} SELECT * FROM mp")
+def merge_name_map(kb: KnowledgeBase) -> DataFrame:
+    return kb.names
+
+
+@query(f"""{_KB}, ff AS (SELECT CASE WHEN key <> '' THEN key ELSE left(sha1('fact:' || {_norm('statement')}), 16) END AS key, fact_id, statement, subject, predicate, object FROM fv),
+fg AS (SELECT key, min(fact_id) AS fact_id, arg_min(statement, fact_id) AS statement, arg_min(subject, fact_id) AS subject, arg_min(predicate, fact_id) AS predicate, arg_min(object, fact_id) AS object, count(*) AS n_facts FROM ff GROUP BY key)
+SELECT fg.key, fact_id, statement, coalesce(a.canonical_name, subject) AS subject, predicate, coalesce(b.canonical_name, object) AS object, n_facts FROM fg LEFT JOIN mp a ON a.key = {_key('subject')} LEFT JOIN mp b ON b.key = {_key('object')}""")
+def merge_facts(kb: KnowledgeBase) -> DataFrame:
+    return K.canonical_facts(K.distinct_facts(kb.facts), kb.names).select("key", "fact_id", "statement", "subject", "predicate", "object", "n_facts")
+
+
+@query(f"""{_KB}, rc AS (SELECT edge_id, coalesce(a.canonical_name, source) AS source, type, coalesce(b.canonical_name, target) AS target FROM rv LEFT JOIN mp a ON a.key = {_key('source')} LEFT JOIN mp b ON b.key = {_key('target')})
+SELECT {_key('source')} AS source_key, {_key('type')} AS type_key, {_key('target')} AS target_key, min(edge_id) AS edge_id, arg_min(source, edge_id) AS source, arg_min(type, edge_id) AS type, arg_min(target, edge_id) AS target, count(*) AS n_relations FROM rc GROUP BY 1, 2, 3""")
+def merge_relations(kb: KnowledgeBase) -> DataFrame:
+    return K.distinct_relations(kb.relations, kb.names)
+
+
+@query(f"""{_KB}, ks AS (SELECT group_id, min(key) = max(key) AS one, count(*) AS n_items, arg_min(kind, item_id) AS kind FROM iv JOIN gr USING (item_id) GROUP BY group_id)
+SELECT group_id, kind, canonical_name, n_items, CASE WHEN one THEN 'normalized-name' ELSE 'judge' END AS method FROM ks JOIN nm USING (group_id) WHERE n_items > 1""")
+def merge_report(kb: KnowledgeBase) -> DataFrame:
+    return K.merge_report(kb.items, kb.groups, kb.merged)
+
+
+@query(f"""WITH {_ITEMS}, a AS (SELECT DISTINCT iv.kind, iv.key, ik.key AS v FROM iv JOIN ik USING (item_id) WHERE iv.key <> ''), b AS (SELECT *, min(key) OVER (PARTITION BY kind, v) AS f FROM a)
+SELECT DISTINCT kind, least(f, key) AS l, greatest(f, key) AS r, 'shared name or alias' AS reason FROM b WHERE f <> key""")
+def candidates_alias(kb: KnowledgeBase) -> DataFrame:
+    return C.shared_alias(kb.items)
+
+
+@query(f"""WITH {_ITEMS}, a AS (SELECT DISTINCT kind, key, regexp_replace(key, '{_SP}', '', 'g') AS v FROM iv WHERE key <> ''), b AS (SELECT *, min(key) OVER (PARTITION BY kind, v) AS f FROM a)
+SELECT DISTINCT kind, least(f, key) AS l, greatest(f, key) AS r, 'same name without whitespace' AS reason FROM b WHERE f <> key""")
+def candidates_compact(kb: KnowledgeBase) -> DataFrame:
+    return C.same_compact(C.distinct_names(kb.items))
+
+
+@query(f"""WITH {_ITEMS}, n AS (SELECT DISTINCT kind, key, list_filter(list_distinct(regexp_extract_all(key, '[0-9a-z]+')), t -> length(t) > 1) AS t FROM iv WHERE key <> ''),
+x AS (SELECT DISTINCT kind, key, unnest(t) AS u FROM n), c AS (SELECT a.kind, a.key AS l, b.key AS r, count(*) AS k FROM x a JOIN x b ON a.kind = b.kind AND a.u = b.u AND a.key < b.key GROUP BY ALL)
+SELECT c.kind, l, r, 'token overlap' AS reason, round(k / (len(p.t) + len(q.t) - k), 4) AS score FROM c JOIN n p ON p.kind = c.kind AND p.key = l JOIN n q ON q.kind = c.kind AND q.key = r WHERE k >= 0.5 * (len(p.t) + len(q.t) - k)""")
+def candidates_tokens(kb: KnowledgeBase) -> DataFrame:
+    return C.token_overlap(C.distinct_names(kb.items))
+
+
+@query()
+def candidates_all(kb: KnowledgeBase) -> DataFrame:
+    """All rules; near spellings use a sequence ratio that SQL does not have."""
+    return C.candidate_pairs(kb.items)
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_ITEMS}, o AS (SELECT *, CASE kind WHEN 'entity' THEN 0 WHEN 'concept' THEN 1 ELSE 9 END AS r FROM iv),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, item_id) AS n, first_value(description) OVER (PARTITION BY id ORDER BY length(description) DESC, r, item_id) AS d FROM o)
+SELECT id, kind, name AS title, CASE WHEN kind = 'entity' THEN type END AS type, d AS description FROM f WHERE n = 1""")
+def graph_nodes(kb: KnowledgeBase) -> DataFrame:
+    return kb.nodes
+
+
+@query(f"{_KG} SELECT source_key, type_key, target_key, source, type, target, kind, source_id, target_id, n_relations, n_facts, ambiguous_source, ambiguous_target, source_key = target_key AS self_loop FROM ed")
+def graph_edges(kb: KnowledgeBase) -> DataFrame:
+    return kb.edges.drop("description")
+
+
+@query(f"""{_KG} SELECT kind, ref_id, source, target, concat_ws('; ', CASE WHEN sn = 0 THEN 'source ''' || source || ''' matches no node' END, CASE WHEN tn = 0 THEN 'target ''' || target || ''' matches no node' END) AS reason FROM rs WHERE sn = 0 OR tn = 0""")
+def graph_unlinked(kb: KnowledgeBase) -> DataFrame:
+    return G.unlinked(kb.resolved)
+
+
+@query(f"{_KG} SELECT DISTINCT sk AS name, sn AS n_nodes FROM rs WHERE sn > 1 UNION SELECT DISTINCT tk, tn FROM rs WHERE tn > 1")
+def graph_ambiguous(kb: KnowledgeBase) -> DataFrame:
+    return G.ambiguous_names(kb.resolved)
+
+
+@query(f"{_KG} SELECT * FROM dg")
+def graph_degrees(kb: KnowledgeBase) -> DataFrame:
+    return G.degrees(kb.nodes, kb.edges, kb.keys)
+
+
+@query(f"{_KG}, p AS (SELECT ts.id, tt.id AS o FROM ts JOIN tt USING (source_key, type_key, target_key)) SELECT id, o AS neighbor_id FROM p UNION SELECT o, id FROM p")
+def graph_neighbors(kb: KnowledgeBase) -> DataFrame:
+    return G.neighbors(kb.edges, kb.keys)
+
+
+@query(f"WITH {_ITEMS} SELECT id, s.document_id AS document_id, s.section_id AS section_id, s.page_number AS page_number, s.quote AS quote, min(item_id) AS first_item FROM (SELECT id, item_id, unnest(sources) AS s FROM iv) GROUP BY ALL")
+def graph_node_sources(kb: KnowledgeBase) -> DataFrame:
+    return G.node_sources(kb.items)
+
+
+@query()
+def graph_layout_key(kb: KnowledgeBase) -> DataFrame:
+    return G.layout_key(kb.nodes)
+
+
+# --- lint -----------------------------------------------------------------------------------------------------------
+
+
+def _owners(kb: KnowledgeBase) -> DataFrame:
+    i = kb.items.select("kind", F.col("item_id").cast("string").alias("object_id"), "name", "sources")
+    f = kb.facts.select(F.lit("fact").alias("kind"), F.col("fact_id").cast("string").alias("object_id"), F.col("statement").alias("name"), "sources")
+    r = kb.relations.select(F.lit("relation").alias("kind"), F.col("edge_id").cast("string").alias("object_id"), F.concat_ws(" -> ", "source", "target").alias("name"), "sources")
+    return i.unionByName(f).unionByName(r)
+
+
+def _issues(kb: KnowledgeBase) -> DataFrame:
+    un, amb = G.unlinked(kb.resolved), G.ambiguous_names(kb.resolved).select("name", F.lit("graph").alias("by"))
+    return L.all_issues(
+        L.missing_sources(_owners(kb)), L.unlinked_facts(G.incomplete_facts(kb.facts), un, kb.facts), L.unlinked_relations(un), L.ambiguous_names(amb),
+        L.dangling_edges(kb.edges, kb.nodes, kb.keys), L.isolated_nodes(kb.nodes, G.degrees(kb.nodes, kb.edges, kb.keys)), L.self_loops(kb.edges),
+    )
+
+
+_ISSUES = f"""{_KG}, iss AS (
+  SELECT 'missing_source' AS rule, 'warning' AS severity, CAST(item_id AS VARCHAR) AS object_id FROM iv WHERE coalesce(len(sources), 0) = 0
+  UNION ALL SELECT 'missing_source', 'warning', CAST(fact_id AS VARCHAR) FROM fv WHERE coalesce(len(sources), 0) = 0
+  UNION ALL SELECT 'missing_source', 'warning', CAST(edge_id AS VARCHAR) FROM rv WHERE coalesce(len(sources), 0) = 0
+  UNION ALL SELECT 'unlinked_fact', 'warning', CAST(fact_id AS VARCHAR) FROM fv WHERE subject = '' OR predicate = '' OR object = ''
+  UNION ALL SELECT 'unlinked_fact', 'warning', CAST(ref_id AS VARCHAR) FROM rs WHERE kind = 'fact' AND (sn = 0 OR tn = 0)
+  UNION ALL SELECT 'unlinked_relation', 'warning', CAST(ref_id AS VARCHAR) FROM rs WHERE kind = 'relation' AND (sn = 0 OR tn = 0)
+  UNION ALL SELECT 'ambiguous_name', 'warning', '' FROM (SELECT sk FROM rs WHERE sn > 1 UNION SELECT tk FROM rs WHERE tn > 1)
+  UNION ALL SELECT 'isolated_node', 'warning', id FROM dg WHERE n_out = 0 AND n_in = 0
+  UNION ALL SELECT 'self_loop', 'info', coalesce(source_id, '') FROM ed WHERE source_key = target_key)"""
+
+
+@query(f"{_ISSUES} SELECT * FROM iss")
+def lint_knowledge(kb: KnowledgeBase) -> DataFrame:
+    return _issues(kb).select("rule", "severity", "object_id")
+
+
+@query(f"{_ISSUES} SELECT name, n FROM (" + " UNION ALL ".join([f"SELECT '{s}s' AS name, count(*) AS n FROM iss WHERE severity = '{s}'" for s in L.SEVERITY_RANK] + [f"SELECT '{r}', count(*) FROM iss WHERE rule = '{r}'" for r in L.SEVERITY] + ["SELECT 'graph_problems', count(*) FROM iss WHERE rule IN ('dangling_edge', 'isolated_node')"]) + ")")
+def lint_counts(kb: KnowledgeBase) -> DataFrame:
+    return L.count_issues(_issues(kb))
+
+
+def _document_pages(kb: KnowledgeBase) -> DataFrame:
+    return kb.documents.filter("path IS NOT NULL").groupBy("path").agg(F.max("text").alias("text")).withColumn("kind", F.lit("page"))
+
+
+@query(r"""WITH p AS (SELECT path, max(text) AS text FROM documents WHERE path IS NOT NULL GROUP BY path),
+l AS (SELECT path, unnest(regexp_extract_all(text, '\[[^\]]*\]\(([^)]*)\)', 1)) AS target FROM p WHERE text IS NOT NULL)
+SELECT path, target FROM l WHERE target <> '' AND NOT contains(target, '://') AND NOT regexp_matches(target, '^(#|/|mailto:|tel:)') AND NOT EXISTS (SELECT 1 FROM p WHERE p.path = regexp_replace(l.path, '[^/]*$', '') || l.target)""")
+def lint_dead_links(kb: KnowledgeBase) -> DataFrame:
+    """Links of documents that lead to no document."""
+    return L.dead_links(_document_pages(kb)).select("path", F.get_json_object("metadata", "$.target").alias("target"))
+
+
+@query()
+def lint_pages(kb: KnowledgeBase) -> DataFrame:
+    """Dead links and orphans of the linked wiki pages."""
+    linked = N.link_pages(kb.pages, _link_index(kb)).select("path", "text").join(kb.pages.select("path", "kind"), "path")
+    return L.all_issues(L.dead_links(linked), L.orphan_pages(linked)).select("rule", "path")
+
+
+# --- wiki, links, search --------------------------------------------------------------------------------------------
+
+_STEM = r"""st AS (SELECT *, CASE WHEN regexp_replace(s2, '^[-.]+|[-.]+$', '', 'g') = '' THEN 'page' WHEN length(s2) > 80 THEN rtrim(left(s2, 71)) || '-' || left(object_id, 8) ELSE s2 END AS stem FROM (
+  SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(replace(title, chr(160), ' ')), '[\\/:*?"<>|\x00-\x1f]+', '-', 'g'), '-{2,}', '-', 'g')), '^\.+', ''), '[ .]+$', '') AS s2 FROM tg))"""
+_PATHS = f"""o AS (SELECT *, CASE kind WHEN 'entity' THEN 0 WHEN 'concept' THEN 1 ELSE 9 END AS r FROM iv),
+tg AS (SELECT id AS object_id, arg_min(kind, (r, item_id)) AS kind, arg_min(name, (r, item_id)) AS title FROM o GROUP BY id), {_STEM},
+sy AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY lower(stem)) > 1 THEN stem || '-' || kind ELSE stem END AS style FROM st),
+nm2 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY lower(style) ORDER BY CASE kind WHEN 'entity' THEN 0 WHEN 'concept' THEN 1 ELSE 9 END, {_key('title')}, object_id) = 1 AND lower(style) <> 'index' THEN style ELSE style || '-' || left(object_id, 8) END AS nm FROM sy)"""
+
+
+@query(f"WITH {_ITEMS}, {_PATHS} SELECT object_id, kind, title, nm || '.md' AS path FROM nm2")
+def wiki_paths(kb: KnowledgeBase) -> DataFrame:
+    return kb.page_paths
+
+
+@query(f"""WITH {_ITEMS}, {_FACTS}, {_RELATIONS}, e AS (SELECT 'fact' AS kind, fact_id AS ref_id, {_key('subject')} AS a, {_key('object')} AS b FROM fv UNION ALL SELECT 'relation', edge_id, {_key('source')}, {_key('target')} FROM rv),
+h AS (SELECT nk.id, e.kind, e.ref_id, 0 AS i FROM e JOIN nk ON nk.key = e.a UNION ALL SELECT nk.id, e.kind, e.ref_id, 1 FROM e JOIN nk ON nk.key = e.b)
+SELECT id AS object_id, kind, ref_id, CASE WHEN min(i) = 0 THEN 'out' ELSE 'in' END AS direction FROM h GROUP BY id, kind, ref_id""")
+def wiki_routes(kb: KnowledgeBase) -> DataFrame:
+    keys = W.page_keys(kb.items)
+    f = W.route(kb.facts, keys, "fact_id", "subject", "object").select("object_id", F.lit("fact").alias("kind"), F.col("fact_id").alias("ref_id"), "direction")
+    return f.unionByName(W.route(kb.relations, keys, "edge_id", "source", "target").select("object_id", F.lit("relation").alias("kind"), F.col("edge_id").alias("ref_id"), "direction"))
+
+
+@query(f"""WITH {_ITEMS}, {_FACTS}, {_RELATIONS}, e AS (SELECT 'fact' AS kind, fact_id AS ref_id, {_key('subject')} AS a, {_key('object')} AS b, sources FROM fv UNION ALL SELECT 'relation', edge_id, {_key('source')}, {_key('target')}, sources FROM rv),
+c AS (SELECT id, unnest(sources) AS s FROM iv UNION ALL SELECT nk.id, unnest(e.sources) FROM e JOIN nk ON nk.key = e.a UNION ALL SELECT nk.id, unnest(e.sources) FROM e JOIN nk ON nk.key = e.b),
+d AS (SELECT DISTINCT id AS object_id, s.document_id AS document_id, s.section_id AS section_id, s.page_number AS page_number, coalesce(s.quote, '') AS quote FROM c)
+SELECT *, CAST(row_number() OVER (PARTITION BY object_id ORDER BY coalesce(document_id, ''), coalesce(section_id, ''), coalesce(page_number, -1), quote, section_id IS NULL) AS INTEGER) AS number FROM d""")
+def wiki_sources(kb: KnowledgeBase) -> DataFrame:
+    keys = W.page_keys(kb.items)
+    return W.page_sources(kb.items, kb.facts, kb.relations, W.route(kb.facts, keys, "fact_id", "subject", "object"), W.route(kb.relations, keys, "edge_id", "source", "target"))
+
+
+@query()
+def wiki_pages(kb: KnowledgeBase) -> DataFrame:
+    return kb.pages
+
+
+@query(f"""WITH {_ITEMS}, {_FACTS}, {_RELATIONS}, k AS (SELECT DISTINCT key FROM nk)
+SELECT (SELECT count(DISTINCT document_id) FROM documents) AS documents, (SELECT count(DISTINCT id) FROM iv WHERE kind = 'entity') AS entity_pages, (SELECT count(DISTINCT id) FROM iv WHERE kind = 'concept') AS concept_pages,
+(SELECT count(*) FROM fv WHERE {_key('subject')} NOT IN (SELECT key FROM k) AND {_key('object')} NOT IN (SELECT key FROM k)) AS unattached_facts, (SELECT count(*) FROM rv WHERE {_key('source')} NOT IN (SELECT key FROM k) AND {_key('target')} NOT IN (SELECT key FROM k)) AS unattached_relations""")
+def wiki_index_counts(kb: KnowledgeBase) -> DataFrame:
+    keys = W.page_keys(kb.items)
+    f, r = W.route(kb.facts, keys, "fact_id", "subject", "object"), W.route(kb.relations, keys, "edge_id", "source", "target")
+    return W.index_counts(kb.documents, kb.page_paths, W.unattached(kb.facts, f, "fact_id"), W.unattached(kb.relations, r, "edge_id"))
+
+
+@query()
+def wiki_index(kb: KnowledgeBase) -> DataFrame:
+    keys = W.page_keys(kb.items)
+    f, r = W.route(kb.facts, keys, "fact_id", "subject", "object"), W.route(kb.relations, keys, "edge_id", "source", "target")
+    counts = W.index_counts(kb.documents, kb.page_paths, W.unattached(kb.facts, f, "fact_id"), W.unattached(kb.relations, r, "edge_id"))
+    return W.index_page(counts, kb.documents, kb.page_paths)
+
+
+def _link_index(kb: KnowledgeBase) -> DataFrame:
+    named = kb.items.select(F.col("id").alias("object_id"), "name", "aliases").groupBy("object_id", "name", "aliases").count()
+    return N.link_index(kb.page_paths.select("object_id", "path", "kind").join(named, "object_id").select("path", "kind", F.col("name").alias("title"), "aliases"))
+
+
+@query(f"""WITH {_ITEMS}, {_PATHS}, c AS (SELECT DISTINCT nk.key, nm || '.md' AS path, nm2.kind FROM nk JOIN nm2 ON nm2.object_id = nk.id)
+SELECT key, CASE WHEN count(DISTINCT path) = 1 THEN min(path) END AS path, count(DISTINCT path) AS n_pages, min(path) FILTER (kind = 'entity') AS entity_path FROM c GROUP BY key""")
+def link_index(kb: KnowledgeBase) -> DataFrame:
+    return _link_index(kb)
+
+
+@query()
+def link_pages(kb: KnowledgeBase) -> DataFrame:
+    return N.link_pages(kb.pages, _link_index(kb))
+
+
+def _search_table(kb: KnowledgeBase) -> DataFrame:
+    d = kb.documents.select(F.col("doc_id").cast("string").alias("path"), F.coalesce("title", F.lit("")).alias("title"), F.lit("page").alias("kind"), F.col("document_id").alias("object_id"), F.array().cast("array<string>").alias("normalized_aliases"), F.coalesce("text", F.lit("")).alias("display_text"))
+    return d.withColumn("normalized_title", S.normalized(F.col("title"))).withColumn("normalized_text", S.normalized(F.col("display_text")))
+
+
+def _search_sql(phrase: str) -> str:
+    terms = phrase.split()
+    t, b = (f"replace(regexp_replace({_strip(f'''replace(lower(coalesce({c}, '')), 'ß', 'ss')''')}, '{_SP}+', ' ', 'g'), '…', '...')" for c in ("title", "text"))
+    per = [f"CASE WHEN t = '{w}' THEN 100 WHEN contains(t, '{w}') THEN 10 WHEN contains(b, '{w}') THEN 1 ELSE 0 END" for w in terms]
+    return f"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(title, '') AS title, {t} AS t, {b} AS b FROM documents),
+s AS (SELECT path, title, CASE WHEN t = '{phrase}' THEN 100 WHEN contains(t, '{phrase}') THEN 10 WHEN contains(b, '{phrase}') THEN 1 WHEN {' AND '.join(f'({p}) > 0' for p in per)} THEN {' + '.join(per)} ELSE 0 END AS score FROM n)
+SELECT path, title, score FROM s WHERE score > 0"""
+
+
+@query(_search_sql("binary trace"))
+def search_all(kb: KnowledgeBase) -> DataFrame:
+    return S.search(_search_table(kb), "Binary  trace", snippet=False).select("path", "title", "score")
+
+
+@query(_search_sql("binary trace") + " ORDER BY score DESC, path LIMIT 20")
+def search_top(kb: KnowledgeBase) -> DataFrame:
+    return S.search(_search_table(kb), "binary trace", limit=20, snippet=False).select("path", "title", "score")
+
+
+@query()
+def search_snippets(kb: KnowledgeBase) -> DataFrame:
+    return S.search(_search_table(kb), "binary trace", limit=20)
+
+
+@query()
+def search_wiki(kb: KnowledgeBase) -> DataFrame:
+    return S.search(S.search_pages(kb.pages), "parser", limit=50)
+
+
+# --- diagrams -------------------------------------------------------------------------------------------------------
+
+
+def _diagrams(kb: KnowledgeBase) -> DataFrame:
+    return M.parse_diagrams(kb.documents.filter("doc_format = 'lw' AND text IS NOT NULL"), "doc_id", "text")
+
+
+_LW = r"""ll AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(replace(text, chr(13), ''), chr(10))), '%%.*$', '')) AS l FROM documents WHERE doc_format = 'lw' AND text IS NOT NULL)"""
+
+
+@query(rf"""WITH {_LW}, e AS (SELECT doc_id, regexp_extract(l, '^([^\s\[\]|<>;-]+)\s*(?:\[[^\]]*\])?\s*(-->|<-->|--)', 1) AS a, l FROM ll WHERE contains(l, '-->'))
+SELECT count(*) > 0 AS any_edges FROM e""")
+def lw_any(kb: KnowledgeBase) -> DataFrame:
+    return _diagrams(kb).select((F.count_if(F.col("kind") == "edge") > 0).alias("any_edges"))
+
+
+@query()
+def lw_nodes(kb: KnowledgeBase) -> DataFrame:
+    return M.diagram_nodes(_diagrams(kb), "doc_id")
+
+
+@query()
+def lw_edges(kb: KnowledgeBase) -> DataFrame:
+    return M.diagram_edges(_diagrams(kb), "doc_id")
+
+
+@query()
+def lw_errors(kb: KnowledgeBase) -> DataFrame:
+    return M.diagram_errors(_diagrams(kb), "doc_id")
+
+
+assert table
