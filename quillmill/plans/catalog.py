@@ -273,7 +273,7 @@ def candidates_compact(kb: KnowledgeBase) -> DataFrame:
     return C.same_compact(C.distinct_names(kb.items))
 
 
-@query(f"""WITH {_ITEMS}, n AS (SELECT DISTINCT kind, key, list_filter(list_distinct(regexp_extract_all(key, '[0-9a-z]+')), t -> length(t) > 1) AS t FROM iv WHERE key <> ''),
+@query(f"""WITH {_ITEMS}, n AS (SELECT DISTINCT kind, key, list_filter(list_distinct(regexp_extract_all(key, '[0-9a-z]+')), lambda t: length(t) > 1) AS t FROM iv WHERE key <> ''),
 x AS (SELECT DISTINCT kind, key, unnest(t) AS u FROM n), c AS (SELECT a.kind, a.key AS l, b.key AS r, count(*) AS k FROM x a JOIN x b ON a.kind = b.kind AND a.u = b.u AND a.key < b.key GROUP BY ALL)
 SELECT c.kind, l, r, 'token overlap' AS reason, round(k / (len(p.t) + len(q.t) - k), 4) AS score FROM c JOIN n p ON p.kind = c.kind AND p.key = l JOIN n q ON q.kind = c.kind AND q.key = r WHERE k >= 0.5 * (len(p.t) + len(q.t) - k)""")
 def candidates_tokens(kb: KnowledgeBase) -> DataFrame:
