@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import ahocorasick
 import pyarrow as pa
@@ -91,6 +92,8 @@ _FREQUENT = frozenset("оеаинтсрвлкмдпу")
 #: One-byte writers of Latin letters and their readers.
 _LATIN_WRITERS = ("cp1252", "mac_roman", "cp437", "cp850", "gb18030")
 _LATIN_READERS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "gb18030", "big5", "latin-1")
+#: Signs that stand at the end of words in correct text.
+_USUAL = frozenset("²³¹°±§£€½¼¾µ·ºª™®©")
 _TYPOGRAPHY = frozenset("‘’“”–—…·•'\"-‚„«»‹›°´`¨")
 
 
@@ -160,6 +163,17 @@ def russian(t: str) -> bool:
     return sum(c in _FREQUENT for c in letters) >= 0.6 * len(letters) and sum(c in "аеёиоуыэюя" for c in letters) >= 0.2 * len(letters)
 
 
+#: Percentages of the letters in Russian text.
+_SHARE = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10.97, 8.45, 8.01, 7.35, 6.7, 6.26, 5.47, 4.73, 4.54, 4.4, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.9, 1.74, 1.7, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.32, 0.26, 0.04, 0.04), strict=True))
+
+
+def likeness(t: str) -> float:
+    """Mean log share of the letters in Russian text; words beginning with ъ, ь or ы count against it."""
+    low = t.lower()
+    letters = [log(_SHARE[c]) for c in low if c in _SHARE]
+    return sum(letters) / max(1, len(letters)) - len(re.findall(r"\b[ъьы]", low)) / max(1, len(low.split()))
+
+
 def chinese(t: str, least: int = 2) -> bool:
     han = [c for c in t if c >= "⺀"]
     n = sum("一" <= c <= "鿿" for c in han)
@@ -252,6 +266,7 @@ def _reread_run(run: str) -> str | None:
             return None
         readers = ("cp1251", "koi8-r", "cp866", "cp1252", "latin-1", "cp437", "cp850", "mac_roman")
         writers = ("gb18030", "cp1251", "koi8-r", "cp866", "big5")
+    best: tuple[float, str] | None = None
     for r in readers:
         data = _encode(body, r)
         if data is None:
@@ -264,8 +279,8 @@ def _reread_run(run: str) -> str | None:
                 continue
             if w in ONE_BYTE:
                 letters = sum(c.isalpha() for c in t)
-                if russian(t) and letters >= 0.7 * len(t.replace(" ", "")) and letters >= 4:
-                    return run.replace(body, t)
+                if russian(t) and letters >= 0.7 * len(t.replace(" ", "")) and letters >= 4 and (best is None or likeness(t) > best[0]):
+                    best = (likeness(t), t)
             elif w == "gb18030":
                 if chinese(t):
                     return run.replace(body, t)
@@ -273,7 +288,7 @@ def _reread_run(run: str) -> str | None:
                 han = sum("一" <= c <= "鿿" for c in t)
                 if han >= 4 and han + sum(c in _HAN_SIGNS for c in t) >= 0.95 * len(t) and sum(c in COMMON_HAN for c in t) >= 0.45 * han and not chinese(body):
                     return run.replace(body, t)
-    return None
+    return run.replace(body, best[1]) if best else None
 
 
 # --- matches in context ---------------------------------------------------------------------------------------------
@@ -427,7 +442,7 @@ def _line_matches(text: str, raw: list[tuple[int, int, list[Hit]]]) -> list[tupl
         if h.kind == "mark":
             ok = a == 0
         else:
-            ok = _letter_counts(text, a, b, h) or (h.writer, h.reader) in pairs and not g.isspace() and (not _latin(g[0]) or h.char in "“”’–") and (g not in _TYPOGRAPHY or len(g) > 1)
+            ok = _letter_counts(text, a, b, h) or (h.writer, h.reader) in pairs and not g.isspace() and (not _latin(g[0]) or h.char in "“”’–") and (g not in _TYPOGRAPHY or len(g) > 1) and not (g in _USUAL and not text[b : b + 1].isalpha())
         if ok:
             out.append((a, b, h.char or g, False))
             at = b
