@@ -23,7 +23,6 @@ from quillmill.operators import linker as N
 from quillmill.operators import search as S
 from quillmill.operators import wiki as W
 from quillmill.plans.kb import KnowledgeBase
-from quillmill.session import table
 from quillmill.sources import diagram as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,21 +501,16 @@ def _diagrams(kb: KnowledgeBase) -> DataFrame:
     return M.parse_diagrams(kb.documents.filter("doc_format = 'lw' AND text IS NOT NULL"), "doc_id", "text")
 
 
-_LW = r"""ll AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(replace(text, chr(13), ''), chr(10))), '%%.*$', '')) AS l FROM documents WHERE doc_format = 'lw' AND text IS NOT NULL)"""
+_LW = r"""WITH ll AS (SELECT doc_id, n AS line, trim(regexp_replace(l, '%%.*$', '')) AS l FROM (
+  SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS n FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS a FROM documents WHERE doc_format = 'lw' AND text IS NOT NULL)))"""
 
 
-@query(rf"""WITH {_LW}, e AS (SELECT doc_id, regexp_extract(l, '^([^\s\[\]|<>;-]+)\s*(?:\[[^\]]*\])?\s*(-->|<-->|--)', 1) AS a, l FROM ll WHERE contains(l, '-->'))
-SELECT count(*) > 0 AS any_edges FROM e""")
-def lw_any(kb: KnowledgeBase) -> DataFrame:
-    return _diagrams(kb).select((F.count_if(F.col("kind") == "edge") > 0).alias("any_edges"))
-
-
-@query()
+@query(_LW + r""" SELECT doc_id, regexp_extract(l, '^(\S+?)\[', 1) AS id, regexp_extract(l, '\[([^\]]*)\]$', 1) AS title, CAST(min(line) AS INTEGER) AS line FROM ll WHERE regexp_matches(l, '^\S+?\[[^\]]*\]$') GROUP BY ALL""")
 def lw_nodes(kb: KnowledgeBase) -> DataFrame:
-    return M.diagram_nodes(_diagrams(kb), "doc_id")
+    return M.diagram_nodes(_diagrams(kb), "doc_id").select("doc_id", "id", "title", "line")
 
 
-@query()
+@query(_LW + r""" SELECT doc_id, regexp_extract(l, '^(\S+) -->', 1) AS source, regexp_extract(l, '(\S+)$', 1) AS target, regexp_extract(l, '\|([^|]*)\|', 1) AS type, count(*) AS n, CAST(min(line) AS INTEGER) AS line FROM ll WHERE regexp_matches(l, '^\S+ -->\|[^|]*\| \S+$') GROUP BY ALL""")
 def lw_edges(kb: KnowledgeBase) -> DataFrame:
     return M.diagram_edges(_diagrams(kb), "doc_id")
 
@@ -525,5 +519,3 @@ def lw_edges(kb: KnowledgeBase) -> DataFrame:
 def lw_errors(kb: KnowledgeBase) -> DataFrame:
     return M.diagram_errors(_diagrams(kb), "doc_id")
 
-
-assert table
