@@ -28,8 +28,8 @@ def distinct_names(view: DataFrame) -> DataFrame:
 
 def _chain(df: DataFrame, by: list[str]) -> DataFrame:
     """Names that share a value are linked to the first of them, so a value of n names gives n - 1 pairs."""
-    w = Window.partitionBy("kind", *by)
-    linked = df.withColumn("_first", F.min("key").over(w)).filter("_first <> key")
+    first = df.groupBy("kind", *by).agg(F.min("key").alias("_first"))
+    linked = df.join(first, ["kind", *by]).filter("_first <> key")
     return linked.select("kind", F.least("_first", "key").alias("l"), F.greatest("_first", "key").alias("r"))
 
 

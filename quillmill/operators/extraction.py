@@ -178,5 +178,32 @@ def verdict_rows(answers: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     return read.select(key, F.when(error.isNull(), same).alias("same"), F.coalesce(strip(F.try_variant_get(v, "$.reason", "string")), F.lit("")).alias("reason"), error.alias("error"))
 
 
-def describe_pair(kind: Column, left: Column, right: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("kind: "), kind), F.concat(F.lit("A: "), left), F.concat(F.lit("B: "), right))
+#: What a model is told; the user's own wording may be given instead.
+SYSTEM_PROMPT = (
+    "Read one document and return one JSON object with the lists entities, concepts, facts and relations and nothing else. Use only what the text says. "
+    "Entities and concepts have name, description and aliases (entities also type), facts have statement, subject, predicate and object, relations have source, target, type and description. "
+    "Every item has sources: section_id as shown in the text, page_number or null, and a short literal quote. Keep the language of the document. Empty lists stay empty."
+)
+JUDGE_PROMPT = 'Do the two descriptions mean the same thing? Answer with one JSON object: {"same": true or false, "reason": "short text"}. Different things with related names are not the same.'
+MAX_QUOTES, MAX_QUOTE = 3, 200
+
+
+def describe_item(name: Column, kind: Column, aliases: Column, sources: Column) -> Column:
+    """Lines that describe an item to a judge: name, type, aliases and up to three quotes."""
+    quotes = F.filter(F.transform(sources, lambda s: F.left(strip(F.coalesce(s["quote"], F.lit(""))), F.lit(MAX_QUOTE))), lambda q: q != "")
+    named = F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: strip(a) != "")
+    return F.concat_ws(
+        "\n", F.concat(F.lit("name: "), name), F.when(F.coalesce(kind, F.lit("")) != "", F.concat(F.lit("type: "), kind)), F.when(F.size(named) > 0, F.concat(F.lit("aliases: "), F.array_join(named, ", "))),
+        F.when(F.size(quotes) > 0, F.array_join(F.transform(F.slice(quotes, 1, MAX_QUOTES), lambda q: F.concat(F.lit("quote: "), q)), "\n")),
+    )
+
+
+def judge_prompts(pairs: DataFrame, names: DataFrame, view: DataFrame) -> DataFrame:
+    """(kind, l, r, prompt) of candidate pairs of names; each pair is asked once, whatever the number of its items.
+
+    ``names`` gives the item that stands for each key, ``view`` the items.
+    """
+    told = names.select("kind", "key", "item_id").join(view.select("item_id", "name", "type", "aliases", "sources"), "item_id")
+    told = told.select("kind", "key", describe_item(F.col("name"), F.when(F.col("kind") == "entity", F.col("type")), F.col("aliases"), F.coalesce("sources", F.array().cast(view.schema["sources"].dataType))).alias("text"))
+    p = pairs.select("kind", "l", "r").distinct().join(told.toDF("kind", "l", "tl"), ["kind", "l"]).join(told.toDF("kind", "r", "tr"), ["kind", "r"])
+    return p.select("kind", "l", "r", F.concat_ws("\n\n", F.concat(F.lit("kind: "), "kind"), F.concat(F.lit("A\n"), "tl"), F.concat(F.lit("B\n"), "tr")).alias("prompt"))

@@ -285,6 +285,12 @@ def candidates_all(kb: KnowledgeBase) -> DataFrame:
     return C.candidate_pairs(kb.items)
 
 
+@query()
+def judge_prompts(kb: KnowledgeBase) -> DataFrame:
+    """Prompts for the strongest candidates of each kind, as many as a judge may be asked."""
+    return X.judge_prompts(C.limited_pairs(C.candidate_pairs(kb.items)), C.distinct_names(kb.items), kb.items)
+
+
 # --- graph ----------------------------------------------------------------------------------------------------------
 
 

@@ -149,3 +149,12 @@ def test_lint_pages(spark):
     assert [(r.path, r.rule) for r in L.dead_links(p).collect()] == [("a.md", "dead_link")]
     assert {r.path for r in L.orphan_pages(p).collect()} == {"c.md"}
     assert {r.path for r in L.unindexed_pages(p, p.filter("path <> 'c.md'")).collect()} == {"c.md"}
+
+
+def test_judge_prompts(spark):
+    from quillmill.operators import extraction as X
+
+    v = items(spark, [(1, "entity", "Parser", "system", "", ["Reader"], [("d", None, None, " seen ")] * 5), (2, "entity", "Parseer", None, "", None, None)])
+    pairs = C.limited_pairs(C.candidate_pairs(v), 1)
+    (p,) = X.judge_prompts(pairs, C.distinct_names(v), v).collect()
+    assert p.prompt.startswith("kind: entity") and p.prompt.count("quote: seen") == 3 and "aliases: Reader" in p.prompt and "name: Parseer" in p.prompt
