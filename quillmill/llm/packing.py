@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-BUCKETS = 64
+#: Items of one length are ranked in at least so many parts, and in parts of about so many rows.
+BUCKETS, PART_ROWS = 64, 500_000
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -113,7 +114,8 @@ def assign_containers(sizes: DataFrame, key: str, size: str, capacity: int) -> D
     full = item.filter("_whole > 0").select("_key", F.explode(F.sequence(F.lit(1), F.col("_whole"))).alias("piece_no"))
     full = full.select(F.col("_key").alias(key), "piece_no", F.lit(capacity).alias("n_tokens"), F.concat(F.lit("full-"), F.col("_key").cast("string"), F.lit("-"), F.col("piece_no").cast("string")).alias("container_id"))
 
-    bucket = F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int")
+    parts = max(BUCKETS, sum(hist.values()) // PART_ROWS)
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int")
     loose = item.filter("_rest > 0 OR _whole = 0").withColumn("_b", bucket)
     per = loose.groupBy("_rest", "_b").agg(F.count("*").alias("_c"))
     before = Window.partitionBy("_rest").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
