@@ -112,11 +112,12 @@ def test_wiki_links_and_search(spark):
     v, f, r = kb(spark)
     nodes = G.nodes(v)
     pages = W.render_pages(v, nodes, f, r)
-    rows = {x.title: x for x in pages.collect()}
+    every = pages.collect()
+    rows = {x.title: x for x in every}
     alone = rows["Alone"].text
     assert alone.startswith('---\nid: "') and "- Parser helps Alone. [1]" in alone and "- ← Reader X —uses→ Alone [1]" in alone and "1. **d1**" in alone
-    assert len({x.path.lower() for x in rows.values()}) == len(rows)
-    assert {x.path for x in rows.values() if x.title.strip().lower() == "parser"} == {"Parser-entity.md", "Parser-concept.md"}
+    assert len({x.path.lower() for x in every}) == len(every)
+    assert {x.path for x in every if x.title.strip().lower() == "parser"} == {"Parser-entity.md", "Parser-concept.md"}
     named = v.select("id", "name", "aliases").withColumnRenamed("id", "object_id")
     idx = N.link_index(W.page_paths(W.page_targets(v)).join(named, "object_id").selectExpr("path", "kind", "name as title", "aliases"))
     linked = {x.path: x for x in N.link_pages(pages, idx).collect()}
