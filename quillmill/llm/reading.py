@@ -90,6 +90,10 @@ def prose(text: str | None) -> tuple[list[list[str]], bool]:
     english = other = 0
     out = []
     for s in sentences(text):
+        signs = _SIGN.search(s) is not None
+        if signs and len(_SIGN.findall(s)) > 0.15 * len(s):
+            # a run of data has no language
+            continue
         words = _WORD.findall(s.lower())
         weight = sum(map(len, words))
         if s.isascii():
@@ -98,11 +102,13 @@ def prose(text: str | None) -> tuple[list[list[str]], bool]:
             wide = len(_CJK.findall(s))
             weight += 2 * wide
             foreign = wide * 3 > weight or len(_FAR.findall(s)) >= 0.2 * len(s)
-        if foreign or language(words) != "en":
-            other += weight
+        tongue = language(words)
+        if foreign or tongue != "en":
+            # runs of data and lists of names have no language
+            other += weight if foreign or tongue else 0
             continue
         english += weight
-        if len(words) >= 4 and not _SIGN.search(s) and s[-1] in ".?!”\"'’)":
+        if len(words) >= 4 and not signs and s[-1] in ".?!”\"'’)":
             out.append(words)
     return out, english > other
 

@@ -170,12 +170,12 @@ def test_levels(spark):
     sm = spark.createDataFrame([(i, b, t) for i, (b, t) in enumerate(samples())], "sample_id long, band int, text string")
     rows = [
         (1, " ".join([HARD] * 6) + " " + EASY, "md"), (2, " ".join([EASY] * 6) + " " + HARD, "md"), (3, None, "md"), (4, "  ", "md"), (5, "```\nx = 1\n```\n| a | b |\n|---|---|", "md"),
-        (6, "Der zuständige Redakteur prüft die größte Lösung und das Wörterbuch nicht.", "md"), (7, "在多数情况下，章节结构定期更新原始文本。", "md"), (8, HARD, "lw"),
+        (6, "Der zuständige Redakteur prüft die größte Lösung und das Wörterbuch nicht.", "md"), (7, "在多数情况下，章节结构定期更新原始文本。", "md"), (8, HARD, "lw"), (9, HARD + "\n\n" + "06df77ea3e1b1e2d38 " * 60 + "\n\ntable=1035;canal=6670;" * 40, "md"),
     ]
     from pyspark.sql import functions as F
 
     r = {x.doc_id: x for x in R.reading_levels(spark.createDataFrame(rows, "doc_id long, text string, score string"), "doc_id", "text", sm, F.col("score") == "lw").collect()}
-    assert r[1].band >= 4 and r[2].band <= 2 and all(r[i].band is None for i in (3, 4, 5, 6, 7, 8)) and not r[6].is_english and not r[7].is_english
+    assert r[1].band >= 4 and r[9].band >= 4 and r[2].band <= 2 and all(r[i].band is None for i in (3, 4, 5, 6, 7, 8)) and not r[6].is_english and not r[7].is_english
 
 
 def test_ordinal_fit_is_held_out():
