@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
@@ -33,20 +34,21 @@ from pyspark.sql import functions as F
 
 from quillmill.session import cut
 
-TAU = 0.3
+TAU = 0.18
 ACCEPT = 0.74
 MARGIN = 0.03
-COUNTERS = 1 << 18
+COUNTERS = 1 << 22
 #: Registries up to this size are broadcast.
 BROADCAST_NAMES = 50_000
 
 #: Fixed values.
 TITLES = frozenset("dr mr mrs ms miss prof professor sir dame phd md jr sr herr frau mme mlle".split())
-SMALL = frozenset("the of for and a an und de la le et der die das fur".split())
+SMALL = frozenset("the of for and an und de la le et der die das fur".split())
 PLACES = re.compile(r",?\s*\b(?:head office|headquarters|hq|main office)\b", re.I)
 LEGAL = {
     "ltd": "limited", "limited": "limited", "inc": "incorporated", "incorporated": "incorporated", "corp": "corporation",
     "corporation": "corporation", "gmbh": "gmbh", "ag": "ag", "bv": "bv", "sa": "sa", "co": "co", "company": "co", "llc": "llc",
+    "university": "university", "univ": "university", "association": "association", "assoc": "association", "assn": "association",
     "plc": "plc", "kg": "kg", "nv": "nv", "sarl": "sarl", "srl": "srl", "spa": "spa", "oy": "oy", "ab": "ab",
 }
 #: Short forms of given names.
@@ -55,7 +57,7 @@ aleksandr: alex sasha sascha alik; alexander: alex sasha sandy; andreas: andi an
 christopher: chris kit topher; dorothea: dora thea dory dorle; elizabeth: liz beth betty lizzie eliza lisa libby; francisco: paco pancho fran cisco;
 francois: fanch fran france; frederick: fred freddie freddy rick; gabriela: gabi gaby; guillermo: memo guille willy; johanna: hanna jo hanne joanna;
 josephine: jo josie fifi jojo; jurgen: jurg jogi; katharina: kathi kati kat katja trina ina; leonardo: leo nardo; lucia: lucy luz lu lulu; margaret: maggie meg peggy greta marge;
-maximilian: max maxi; michael: mike mick; nikolai: kolya nick niko nik; patricia: pat patty trish tricia; penelope: penny nell poppy; renee: rene ren nee nene;
+maximilian: max maxi; michael: mike mick; nikolai: kolya nick niko nik; patricia: pat patty trish tricia; penelope: penny nell poppy; ekaterina: katya katia katja kate katerina kat; renee: rene ren nee nene;
 richard: rick dick rich ricky richie; robert: bob rob bobby robbie bert; samuel: sam sammy; soren: sorn; susanna: susi sue suzy susan sanna; theodore: ted teddy theo;
 victoria: vicky vic tori vicki; william: bill will billy willy liam; zoltan: zoli zolti; thomas: tom tommy; james: jim jimmy jamie; john: jack johnny jon;
 edward: ed eddie ted ned; catherine: kate cathy katie cat; daniel: dan danny; david: dave davy; joseph: joe joey; matthew: matt; nicholas: nick nico; stephen: steve;
@@ -78,22 +80,27 @@ def fold(s: str) -> str:
 class Name:
     """A parsed spelling."""
 
-    __slots__ = ("abbr", "grams", "han", "legal", "tokens", "version", "words")
+    __slots__ = ("abbr", "grams", "han", "legal", "tails", "tokens", "version", "words")
 
     def __init__(self, raw: str):
         s = unicodedata.normalize("NFKC", raw).strip()
         self.han, self.version, self.legal, self.abbr = "", "", "", set()
         self.tokens: list[str] = []
         self.words: list[str] = []
+        self.tails: set[int] = set()
         if len(_HAN.findall(s)) >= 2:
             self.han = re.sub(r"[\s\W_]+", "", s)
+            if len(_HAN.findall(self.han)) >= 4:
+                self.han = re.sub(r"^[A-Za-z]+|[A-Za-z]+$", "", self.han)
             self.grams = frozenset(self.han)
             return
         s = PLACES.sub("", s)
         s = re.sub(r"\b([A-Za-z])\.\s?([A-Za-z])\.(?=[\s,)]|$)", lambda m: m.group(1) + m.group(2) if (m.group(1) + m.group(2)).lower() in LEGAL else m.group(), s)
         s = re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-ÖØ-ÞŚŁ][a-zß-ÿ])", " ", s)
         s = re.sub(r"(?<=\d)(?:\.0)+\b", "", s)
-        parts = re.findall(r"[^\W_]+(?:['’][^\W_]+)*\.?", s)
+        found = list(re.finditer(r"[^\W_]+(?:['’][^\W_]+)*\.?", s))
+        parts = [m.group() for m in found]
+        hyphen = {i for i, m in enumerate(found) if i and s[found[i - 1].end() : m.start()] == "-"}
         at = 0
         while at < len(parts):
             p = parts[at]
@@ -101,7 +108,7 @@ class Name:
             at += 1
             if m := re.fullmatch(r"v(?:er|ersion)?(\d+)", t):
                 self.version = m.group(1).lstrip("0")
-            elif t in ("v", "ver", "version") and at < len(parts) and parts[at].rstrip(".").isdigit():
+            elif (t in ("v", "ver", "version") or len(t) > 4 and slips(t, "version", 1) <= 1) and at < len(parts) and parts[at].rstrip(".").isdigit():
                 self.version = parts[at].rstrip(".").lstrip("0")
                 at += 1
             elif t.isdigit():
@@ -109,7 +116,12 @@ class Name:
             elif m := re.fullmatch(r"([a-z]{3,})(\d+)", t):
                 self._add(m.group(1), p)
                 self.version = m.group(2).lstrip("0")
-            else:
+            elif at == len(parts) >= 3 and t not in LEGAL and len(t) >= 2 and any(len(k) > 2 and k[0] == t[0] and slips(t, k, 1) <= 1 for k in LEGAL):
+                self.words.append(t)
+                self.legal = next(v for k, v in LEGAL.items() if len(k) > 2 and k[0] == t[0] and slips(t, k, 1) <= 1)
+            elif t != "a" or p != "a":
+                if at - 1 in hyphen:
+                    self.tails.add(len(self.tokens))
                 self._add(t, p)
         grams = set()
         for t in self.tokens:
@@ -171,6 +183,8 @@ def alike(q: str, r: str, dotted: bool) -> float:
         return 0.0
     if q in _NICK.get(r, ()) or r in _NICK.get(q, ()):
         return 0.95
+    if len(q) >= 4 and any(len(n) >= 4 and n[0] == q[0] and slips(q, n, 1) <= 1 for n in _NICK.get(r, ())):
+        return 0.86
     if q.rstrip("s") == r.rstrip("s") and len(q) > 3:
         return 0.98
     n = max(len(q), len(r))
@@ -222,21 +236,35 @@ def _acronym(q: Name, r: Name, weight) -> float:
     return best
 
 
-def _han(q: Name, r: Name, common: frozenset[str]) -> float:
+def _open(a: str, b: str, common) -> tuple[int, list[tuple[str, str]]]:
+    """(number of open characters, real differences) of two texts of one length."""
+    off = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+    real = [(x, y) for x, y in off if x in common]
+    return len(off) - len(real), real
+
+
+def _han(q: Name, r: Name, common) -> float:
     a, b = q.han, r.han
     if a == b:
         return 1.0
-    if len(a) == len(b) and len(b) >= 4:
-        off = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-        if all(x not in common for x, _ in off) and len(off) <= 0.75 * len(b):
-            return 0.95 if len(off) > 1 or off[0][0] >= "㐀" else 0.92
-        if len(off) == 2 and off[0][0] == off[1][1] and off[0][1] == off[1][0]:
-            return 0.92
+    if len(b) < 4 or len(a) < 4:
+        return 0.0
+    if len(a) == len(b):
+        free, real = _open(a, b, common)
+        if free <= 0.75 * len(b) and not real:
+            return 0.95 if free > 1 else 0.92
+        swaps = [i for i in range(len(a) - 1) if a[i] != b[i] and (a[i] == b[i + 1] or a[i] not in common or a[i + 1] == b[i])]
+        for i in swaps:
+            free, real = _open(a[:i] + a[i + 1] + a[i] + a[i + 2 :], b, common)
+            if not real and free <= 0.6 * len(b):
+                return 0.9
     if abs(len(a) - len(b)) == 1 and min(len(a), len(b)) >= 5:
-        short, long = (a, b) if len(a) < len(b) else (b, a)
-        if any(long[:i] + long[i + 1 :] == short for i in range(len(long))) and (a[-1] == b[-1]):
-            return 0.9
-    if 4 <= len(a) < len(b) and a[:2] == b[:2] and _inside(a, b):
+        for i in range(max(len(a), len(b))):
+            x, y = (a, b[:i] + b[i + 1 :]) if len(a) < len(b) else (a[:i] + a[i + 1 :], b)
+            free, real = _open(x, y, common)
+            if not real and free <= 0.6 * len(y) and (x[-1] == y[-1] or x[-1] not in common):
+                return 0.9 if not free else 0.88
+    if len(a) < len(b) and a[:2] == b[:2] and _inside(a, b):
         return 0.85 if a[-1] == b[-1] or b.startswith(a) else 0.8
     return 0.0
 
@@ -254,7 +282,7 @@ def similarity(q: Name, r: Name, weight, common, genuine=lambda t: False) -> flo
         return _acronym(q, r, weight)
     for x in r.tokens:
         # a token of the registry that nothing here resembles leaves only the acronym
-        if len(x) > 1 and not any(alike(t, x, t in q.abbr) for t in q.tokens):
+        if len(x) > 1 and not any(alike(t, x, t in q.abbr) for t in q.tokens) and not (q.abbr and r.tails):
             return _acronym(q, r, weight)
     pairs = []
     for i, t in enumerate(q.tokens):
@@ -274,8 +302,14 @@ def similarity(q: Name, r: Name, weight, common, genuine=lambda t: False) -> flo
             continue
         qs[i] = rs[j] = s
         whole += len(q.tokens[i]) > 1
+    # the rest of a hyphenated word whose head is abbreviated is not missed
+    by_head = {i for i, t in enumerate(q.tokens) if t in q.abbr}
+    heads = {j for _, _, i, j in pairs if i in by_head and qs.get(i) and rs.get(j)} if by_head else set()
+    spared = {j for j in r.tails if j not in rs and j - 1 in heads}
     got = total = 0.0
     for j, x in enumerate(r.tokens):
+        if j in spared:
+            continue
         w = weight(x) if len(x) > 1 else 0.35
         if len(x) == 1 and j not in rs:
             if any(len(t) == 1 and i not in qs for i, t in enumerate(q.tokens)):
@@ -296,7 +330,7 @@ def similarity(q: Name, r: Name, weight, common, genuine=lambda t: False) -> flo
     if not whole:
         return 0.0
     for j, x in enumerate(r.tokens):
-        if len(x) > 1 and rs.get(j, 0.0) == 0.0:
+        if len(x) > 1 and rs.get(j, 0.0) == 0.0 and j not in spared:
             return _acronym(q, r, weight)
     if r.legal and not q.legal:
         total += 0.1
@@ -306,12 +340,17 @@ def similarity(q: Name, r: Name, weight, common, genuine=lambda t: False) -> flo
 
 
 def _parts(t: str) -> list[str]:
-    """Heads and tails of a token."""
-    return [f"p:{t[:k]}" for k in range(3, len(t) - 2)] + [f"s:{t[k:]}" for k in range(3, len(t) - 2)] if len(t) >= 6 else []
+    """Heads with the letter after them and tails with the letter before them."""
+    return [f"p:{t[: k + 1]}" for k in range(3, len(t) - 2)] + [f"s:{t[k - 1 :]}" for k in range(3, len(t) - 2)] if len(t) >= 6 else []
+
+
+def _part(x: str) -> str:
+    """The head or tail without that letter."""
+    return x[:-1] if x[0] == "p" else f"s:{x[3:]}"
 
 
 def own_word(t: str, count) -> bool:
-    """A registry token, or a head and a tail that several registry tokens have: a word of its own."""
+    """A registry token, or a head and a tail after and before which registry tokens branch: a word of its own."""
     if count(f"t:{t}"):
         return True
     return any(count(f"p:{t[:k]}") >= 3 and count(f"s:{t[k:]}") >= 3 for k in range(3, len(t) - 2))
@@ -325,15 +364,13 @@ def _count_table(registry: DataFrame, name: str) -> np.ndarray:
     """Hashed counts over all registry names: names with a gram (g:) or token (t:), tokens with a head (p:) or tail (s:)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total: Counter[int] = Counter()
         for b in batches:
             for raw in b.column(0).to_pylist():
                 n = parse(raw)
-                for x in {*(f"g:{g}" for g in n.grams), *(f"t:{t}" for t in n.tokens)}:
-                    total[_slot(x)] += 1
+                total.update(_slot(x) for x in {*(f"g:{g}" for g in n.grams), *(f"t:{t}" for t in n.tokens)})
                 total[_slot("n")] += 1
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["slot", "n"])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,14 +378,18 @@ def _count_table(registry: DataFrame, name: str) -> np.ndarray:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = [_slot(x) for t in b.column(0).to_pylist() for x in _parts(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([1] * len(slots), pa.int64())], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for t in b.column(0).to_pylist() for x in _parts(t)], pa.string())], names=["part"])
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [_slot(_part(x)) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([1] * len(at), pa.int64())], names=["slot", "n"])
 
     names = registry.select(name)
     shape = "slot long, n long"
-    pieces = names.mapInArrow(tokens, "token string").distinct().mapInArrow(parts, shape)
+    pieces = names.mapInArrow(tokens, "token string").distinct().mapInArrow(parts, "part string").distinct().mapInArrow(slots, shape)
     got = names.mapInArrow(run, shape).unionByName(pieces).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(COUNTERS, np.int32)
     out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out
 
