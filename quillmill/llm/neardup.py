@@ -124,58 +124,72 @@ def word_counters(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def _shards(reps: DataFrame, counters, share: float, hot: int) -> DataFrame:
-    """(shard, block, adds, n, code, rep): one row per prefix word, several for hot shards."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _shards(reps: DataFrame, counters, share: float, hot: int, tables: list[str]) -> DataFrame:
+    """(shard, block, adds, n, code, rep, tab): one row per prefix word, several for hot shards; all columns are numbers."""
+    place = {t: i for i, t in enumerate(tables)}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counters.value
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+            shard, block, adds, size, codes, ids, tabs = cols
             for table, rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = text.split(" ")
-                n, code, order = len(words), 0, []
-                for w in words:
-                    h = xxhash.xxh64_intdigest(w)
+                tab = place[table]
+                hashes = [xxhash.xxh64_intdigest(w) for w in text.split(" ")]
+                n, code = len(hashes), 0
+                for h in hashes:
                     code ^= 1 << (h & 63)
-                    order.append((count[(h >> 6) & (COUNTERS - 1)], h))
-                order.sort()
-                prefix = dict.fromkeys(order[: n - ceil(share * n - EPS) + 1])
-                code = code - (1 << 64) if code >> 63 else code
-                for c, h in prefix:
+                order = sorted(zip(count[[(h >> 6) & (COUNTERS - 1) for h in hashes]].tolist(), hashes, strict=True))
+                code = _signed(code)
+                for c, h in dict.fromkeys(order[: n - ceil(share * n - EPS) + 1]):
                     if c <= 1:
                         continue
-                    blocks = 1 + int(c) // hot
+                    blocks = 1 + c // hot
                     mine = (rep * 0x9E3779B97F4A7C15 >> 20) % blocks
                     for k in range(blocks):
-                        cols[0].append(f"{table}:{h:x}")
-                        cols[1].append(k)
-                        cols[2].append(k == mine)
-                        cols[3].append(n)
-                        cols[4].append(code)
-                        cols[5].append(rep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())],
-                names=["shard", "block", "adds", "n", "code", "rep"],
-            )
+                        shard.append(_signed((h + tab * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+                        block.append(k)
+                        adds.append(k == mine)
+                        size.append(n)
+                        codes.append(code)
+                        ids.append(rep)
+                        tabs.append(tab)
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "block", "adds", "n", "code", "rep", "tab"])
 
-    return reps.select("record_table", "rep", "words").mapInArrow(emit, "shard string, block int, adds boolean, n int, code long, rep long")
+    return reps.select("record_table", "rep", "words").mapInArrow(emit, "shard long, block int, adds boolean, n int, code long, rep long, tab int")
 
 
-def _search(share: float):
+def _search(share: float, tables: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree = None, BKTree()
         for b in batches:
+            if not b.num_rows:
+                continue
+            shards, blocks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            # a row whose neighbours belong to other shards is alone there, unless it touches the border of the batch
+            same = (shards[1:] == shards[:-1]) & (blocks[1:] == blocks[:-1])
+            busy = np.zeros(b.num_rows, bool)
+            busy[1:] |= same
+            busy[:-1] |= same
+            busy[0] = busy[-1] = True
+            part = b.filter(pa.array(busy))
             out: tuple[list, list, list] = ([], [], [])
-            for shard, block, adds, n, code, rep in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (shard, block) != now:
-                    now, tree = (shard, block), BKTree()
+            for shard, block, adds, n, code, rep, tab in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (shard, block, tab) != now:
+                    now, tree = (shard, block, tab), BKTree()
                 code &= (1 << 64) - 1
                 need = ceil(share * n - EPS)
-                for d, (m, other) in tree.within(code, 2 * (n - need)):
-                    if m >= need and d <= n + m - 2 * need and other != rep:
-                        out[0].append(shard.partition(":")[0])
-                        out[1].append(min(rep, other))
-                        out[2].append(max(rep, other))
+                if tree.root is not None:
+                    for d, (m, other) in tree.within(code, 2 * (n - need)):
+                        if m >= need and d <= n + m - 2 * need and other != rep:
+                            out[0].append(tables[tab])
+                            out[1].append(min(rep, other))
+                            out[2].append(max(rep, other))
                 if adds:
                     tree.add(code, (n, rep))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["record_table", "a", "b"])
@@ -206,10 +220,11 @@ class NearDuplicates:
             self.members.groupBy("record_table", "words").agg(F.min("record_id").alias("rep"), (F.max("record_id") > F.min("record_id")).alias("many"))
         )
         counters = spark.sparkContext.broadcast(word_counters(self.reps))
-        shards = _shards(self.reps, counters, share, hot)
+        tables = sorted(r[0] for r in self.reps.select("record_table").distinct().collect())
+        shards = _shards(self.reps, counters, share, hot, tables)
         # one row order inside a shard: shorter texts first, members of the block's tree before pure queries of that length
-        lined = shards.repartition("shard", "block").sortWithinPartitions("shard", "block", "n", F.col("adds").desc(), "rep")
-        cand = lined.mapInArrow(_search(share), "record_table string, a long, b long").distinct()
+        lined = shards.repartition("shard", "block").sortWithinPartitions("shard", "block", "tab", "n", F.col("adds").desc(), "rep")
+        cand = lined.mapInArrow(_search(share, tables), "record_table string, a long, b long").distinct()
         words = self.reps.select("record_table", F.col("rep"), "words")
         joined = cand.join(words.toDF("record_table", "a", "wa"), ["record_table", "a"]).join(words.toDF("record_table", "b", "wb"), ["record_table", "b"])
         links = joined.select("record_table", "a", "b", "wa", "wb").mapInArrow(_verify(share), "record_table string, a long, b long")
