@@ -64,7 +64,8 @@ def _arrow(fn: Callable[[str | None], str]) -> Callable[..., Column]:
     def run(values: pa.Array) -> pa.Array:
         coded = values.dictionary_encode()
         done = pa.array([fn(x) for x in coded.dictionary.to_pylist()], pa.string())
-        return done.take(coded.indices) if len(done) else pa.nulls(len(values), pa.string())
+        out = done.take(coded.indices) if len(done) else pa.nulls(len(values), pa.string())
+        return out.fill_null(fn(None))
 
     return run
 

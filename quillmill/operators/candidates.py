@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -127,6 +126,3 @@ def limited_pairs(pairs: DataFrame, limit: int = 200) -> DataFrame:
     w = Window.partitionBy("kind").orderBy("rule", "l", "r")
     return pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
-
-def prefix_size(n: int, share: float) -> int:
-    return n - ceil(share * n) + 1

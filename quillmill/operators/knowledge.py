@@ -97,7 +97,7 @@ def merged_descriptions(view: DataFrame, groups: DataFrame) -> DataFrame:
 
 def source_rows(df: DataFrame, owner: str, order: str, sources: str = "sources") -> DataFrame:
     """(owner, order, pos, document_id, section_id, page_number, quote) of every cited source."""
-    s = df.select(owner, F.col(order).alias("_o"), F.posexplode(sources).alias("_p", "_s")) if owner != order else df.select(owner, F.col(order).alias("_o"), F.posexplode(sources).alias("_p", "_s"))
+    s = df.select(owner, F.col(order).alias("_o"), F.posexplode(sources).alias("_p", "_s"))
     return s.select(owner, "_o", "_p", *[F.col(f"_s.{c}").alias(c) for c in SOURCE])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.names import alias_keys_col, match_key_col, short_hash, statement_key_col
-from quillmill.functions.text import collapse, short
+from quillmill.functions.text import short
 from quillmill.operators.graph import kind_rank
 from quillmill.operators.knowledge import SOURCE, source_rows
 
@@ -165,6 +165,3 @@ def index_page(counts: DataFrame, documents: DataFrame, paths: DataFrame) -> Dat
     pages = paths.select((kind_rank(F.col("kind")) + 2).alias("part"), F.concat_ws("\x01", match_key_col("title"), "object_id").alias("sort"), F.concat(F.lit("- "), "title", F.lit(" → "), "path").alias("line"))
     return head.unionByName(docs).unionByName(pages)
 
-
-def collapse_quote(c: Column) -> Column:
-    return collapse(c)

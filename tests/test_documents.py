@@ -52,7 +52,7 @@ def test_sections_by_format(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text(MD, encoding="utf-8")
-    (tmp_path / "b.txt").write_bytes("\n 标题行 \nx".encode("gb18030"))
+    (tmp_path / "b.txt").write_bytes("\n 标题行 \n知识库的文档模型和解析器都在这里，每个章节都有编号。".encode("gb18030"))
     (tmp_path / "c.bin").write_bytes(b"\x00")
     (tmp_path / "d.lw").write_text("graph TD\nA --> B")
     (tmp_path / "e.pdf").write_bytes(b"%PDF-1.4 nothing")

@@ -28,10 +28,10 @@ def test_diagram_errors(text, part, line):
 
 
 def test_diagram_tables(spark):
-    df = spark.createDataFrame([(1, "graph LR\nA[x]-->B\nA-->B"), (2, None)], "id long, t string")
-    rows = M.parse_diagrams(df, "id", "t")
-    assert [(r.source, r.target, r.n) for r in M.diagram_edges(rows, "id").collect()] == [("A", "B", 2)]
-    assert {(r.id, r.title) for r in M.diagram_nodes(rows, "id").filter("line = 2").collect()} and M.diagram_errors(rows, "id").count() == 1
+    df = spark.createDataFrame([(1, "graph LR\nA[x]-->B\nA-->B"), (2, None)], "file long, t string")
+    rows = M.parse_diagrams(df, "file", "t")
+    assert [(r.source, r.target, r.n) for r in M.diagram_edges(rows, "file").collect()] == [("A", "B", 2)]
+    assert {(r.id, r.title) for r in M.diagram_nodes(rows, "file").filter("line = 2").collect()} and M.diagram_errors(rows, "file").count() == 1
 
 
 def test_extraction(spark):
@@ -46,7 +46,7 @@ def test_extraction(spark):
     ok = X.with_ids(X.accepted(it, bad, "id"))
     assert {r.aliases[0] for r in ok.filter("name = 'A'").collect()} == {"x"} and ok.filter("kind = 'entity'").select("id").distinct().count() <= 2
     sec = spark.createDataFrame([("ok", "s1", 4), ("ok", "s2", 5)], "id string, section_id string, page_number int")
-    r = {x.pos: x for x in X.repair_sources(ok.withColumnRenamed("id", "kid").withColumn("id", ok["id"]).drop("kid") if False else it.filter("id = 'ok'"), "id", sec).collect()}
+    r = {x.pos: x for x in X.repair_sources(it.filter("id = 'ok'"), "id", sec).collect()}
     assert (r[0].section_id, r[0].page_number) == ("s1", 4) and r[1].section_id is None and r[1].page_number is None and "unknown" in r[1].note
     v = X.verdict_rows(spark.createDataFrame([(1, '{"same": true, "reason": "r"}'), (2, '{"same": "FALSE"}'), (3, '{"same": 1}'), (4, "x")], "id long, raw string"), "id")
     assert {x.id: x.same for x in v.collect()} == {1: True, 2: False, 3: None, 4: None}
@@ -102,7 +102,7 @@ def test_store(spark, tmp_path):
 
 def test_layout(tmp_path):
     ls = ST.LayoutStore(str(tmp_path), "g", {"a"})
-    assert ls.save({"positions": {"a": {"x": 1, "y": 2.346}, "b": {"x": 1, "y": 1}}, "view": {"zoom": 1e9}, "search": "q"})["view"]["zoom"] == ST.MAX_ZOOM
+    assert ls.save({"positions": {"a": {"x": 1, "y": 2.346}, "b": {"x": 1, "y": 1}}, "view": {"zoom": 1e6}, "search": "q"})["view"]["zoom"] == ST.MAX_ZOOM
     assert ls.load()["positions"] == {"a": {"x": 1.0, "y": 2.35}}
     (tmp_path / "g.json").write_text("broken")
     assert ls.load()["positions"] == {} and (tmp_path / "g.json.broken").exists()
