@@ -5,7 +5,9 @@ Two texts are alike if the words they share (as multisets) are at least ``share`
 1. Exact copies (same multiset of words) are folded into one representative; all later work is on representatives.
 2. Words are ordered by a hashed corpus count (2**20 counters over all records, a bounded table; any total order keeps
    the filter exact). Of n words, the n - ceil(share * n) + 1 rarest occurrences form the prefix: two alike texts share
-   a prefix word. Each prefix word names a shard; a word whose counter is 1 occurs nowhere else and is left out.
+   a prefix word, and two words of the prefix that is one longer. Each prefix word whose counter is at most ``often``
+   names a shard (a counter of 1 is left out: the word occurs nowhere else); of the more frequent words each pair does,
+   because alike texts without a common rarer word share two frequent ones.
 3. Inside a shard a BK-tree is grown over 64-bit parity codes (each word occurrence flips one bit), children keyed by
    the Hamming distance to their parent. Texts that differ by d word occurrences differ in at most d bits, so following
    only edges within the largest possible difference 2 * floor((1 - share) * n) loses nothing. Members arrive in order
@@ -124,12 +126,15 @@ def word_counters(reps: DataFrame) -> np.ndarray:
     return out
 
 
+_ALL = (1 << 64) - 1
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _shards(reps: DataFrame, counters, share: float, hot: int, tables: list[str]) -> DataFrame:
-    """(shard, block, adds, n, code, rep, tab): one row per prefix word, several for hot shards; all columns are numbers."""
+def _shards(reps: DataFrame, counters, share: float, hot: int, often: int, tables: list[str]) -> DataFrame:
+    """(shard, block, adds, n, code, rep, tab): one row per prefix word or pair, several for hot shards; all are numbers."""
     place = {t: i for i, t in enumerate(tables)}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +150,21 @@ def _shards(reps: DataFrame, counters, share: float, hot: int, tables: list[str]
                     code ^= 1 << (h & 63)
                 order = sorted(zip(count[[(h >> 6) & (COUNTERS - 1) for h in hashes]].tolist(), hashes, strict=True))
                 code = _signed(code)
-                for c, h in dict.fromkeys(order[: n - ceil(share * n - EPS) + 1]):
-                    if c <= 1:
-                        continue
+                cut_at = n - ceil(share * n - EPS) + 1
+                keys = [(c, h) for c, h in dict.fromkeys(order[:cut_at]) if 1 < c <= often]
+                frequent, last, nth = [], 0, 0
+                for c, h in order[: cut_at + 1]:
+                    nth = nth + 1 if h == last else 0
+                    last = h
+                    if c > often:
+                        frequent.append((c, (h + nth) * 0xBF58476D1CE4E5B9 & _ALL))
+                for i, (c, h) in enumerate(frequent):
+                    keys += [(c, (h ^ (g >> 7) * 0x94D049BB133111EB) & _ALL) for _, g in frequent[i + 1 :]]
+                for c, h in keys:
                     blocks = 1 + c // hot
                     mine = (rep * 0x9E3779B97F4A7C15 >> 20) % blocks
                     for k in range(blocks):
-                        shard.append(_signed((h + tab * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+                        shard.append(_signed((h + tab * 0x9E3779B97F4A7C15) & _ALL))
                         block.append(k)
                         adds.append(k == mine)
                         size.append(n)
@@ -213,7 +226,7 @@ def _verify(share: float):
 class NearDuplicates:
     """Representatives, links between them, and membership."""
 
-    def __init__(self, parts: list[DataFrame], share: float = 0.8, hot: int = 4000):
+    def __init__(self, parts: list[DataFrame], share: float = 0.8, hot: int = 4000, often: int = 64):
         spark = parts[0].sparkSession
         self.members = reduce(DataFrame.unionByName, parts)
         self.reps = cut(
@@ -221,7 +234,7 @@ class NearDuplicates:
         )
         counters = spark.sparkContext.broadcast(word_counters(self.reps))
         tables = sorted(r[0] for r in self.reps.select("record_table").distinct().collect())
-        shards = _shards(self.reps, counters, share, hot, tables)
+        shards = _shards(self.reps, counters, share, hot, often, tables)
         # one row order inside a shard: shorter texts first, members of the block's tree before pure queries of that length
         lined = shards.repartition("shard", "block").sortWithinPartitions("shard", "block", "tab", "n", F.col("adds").desc(), "rep")
         cand = lined.mapInArrow(_search(share, tables), "record_table string, a long, b long").distinct()

@@ -77,11 +77,11 @@ def _texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 3])
-def test_near_duplicates_lose_nothing(spark, hot):
+@pytest.mark.parametrize(("hot", "often"), [(4000, 64), (3, 2), (4000, 0), (5, 20)])
+def test_near_duplicates_lose_nothing(spark, hot, often):
     rows = [*_texts(1, 150), (900, None), (901, ""), (902, "too short")]
     df = spark.createDataFrame([*rows, rows[0]], "fact_id long, statement string")
-    nd = ND.NearDuplicates([ND.records(df, "facts", "fact_id", "statement")], hot=hot)
+    nd = ND.NearDuplicates([ND.records(df, "facts", "fact_id", "statement")], hot=hot, often=often)
     assert {(x.low_id, x.high_id) for x in nd.pairs().collect()} == _brute(rows)
     if hot == 3:
         want = _brute(rows)
