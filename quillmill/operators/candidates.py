@@ -1,7 +1,8 @@
 """Which names might be the same: the candidate rules as joins between distinct names.
 
 Items with the same key are one name already, so pairs are pairs of names (representatives); membership is the key
-itself. No rule compares all names: shared keys are equi-joins, word overlap and near spellings go through prefix
+itself. The relation is not transitive, so each pair of names of a shared key is a candidate of its own. No rule
+compares all names: shared keys are equi-joins, word overlap and near spellings go through prefix
 filters (the rarest tokens or letter pairs first; at the thresholds used, at least one of the prefix is shared).
 """
 
@@ -18,6 +19,8 @@ from quillmill.functions.names import alias_keys_col, name_tokens
 
 #: Thresholds of the rules.
 CONTAINS, OVERLAP, SIMILAR = 0.6, 0.5, 0.85
+#: Names of one shared key that meet in one block.
+BLOCK = 500
 
 
 def distinct_names(view: DataFrame) -> DataFrame:
@@ -25,23 +28,26 @@ def distinct_names(view: DataFrame) -> DataFrame:
     return view.filter("key <> ''").groupBy("kind", "key").agg(F.min(F.struct("item_id", "name")).alias("_f")).select("kind", "key", "_f.item_id", "_f.name")
 
 
-def _chain(df: DataFrame, by: list[str]) -> DataFrame:
-    """Names that share a value are linked to the first of them, so a value of n names gives n - 1 pairs."""
-    first = df.groupBy("kind", *by).agg(F.min("key").alias("_first"))
-    linked = df.join(first, ["kind", *by]).filter("_first <> key")
-    return linked.select("kind", F.least("_first", "key").alias("l"), F.greatest("_first", "key").alias("r"))
+def _pairs(df: DataFrame, by: str) -> DataFrame:
+    """All pairs of names that share a value, once for each value; values of many names are cut into blocks that meet in pairs."""
+    size = df.groupBy("kind", by).agg(F.count("*").alias("_n")).filter("_n > 1").select("kind", by, F.ceil(F.col("_n") / BLOCK).alias("_m"))
+    rows = df.join(size, ["kind", by]).withColumn("_b", F.pmod(F.xxhash64("key"), F.col("_m"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    met = rows.select("kind", by, F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "key", "_b")
+    on = ["kind", by, "_x", "_y"]
+    both = met.toDF(*on, "l", "_bl").join(met.toDF(*on, "r", "_br"), on).filter("l < r AND (_x = _y OR _bl <> _br)")
+    return both.select("kind", "l", "r")
 
 
 def shared_alias(view: DataFrame) -> DataFrame:
     """Rule 1: names that share a name or alias key."""
     keys = view.filter("key <> ''").select("kind", "key", F.explode(alias_keys_col("name", "aliases")).alias("_a")).distinct()
-    return _chain(keys, ["_a"]).distinct().withColumn("reason", F.lit("shared name or alias"))
+    return _pairs(keys, "_a").distinct().withColumn("reason", F.lit("shared name or alias"))
 
 
 def same_compact(names: DataFrame) -> DataFrame:
     """Rule 2: names that are equal without spaces."""
     c = names.select("kind", "key", F.regexp_replace("key", r"(?U)\s+", "").alias("_c"))
-    return _chain(c, ["_c"]).distinct().withColumn("reason", F.lit("same name without whitespace"))
+    return _pairs(c, "_c").distinct().withColumn("reason", F.lit("same name without whitespace"))
 
 
 def _prefixed(df: DataFrame, unit: str, keep) -> DataFrame:

@@ -76,6 +76,17 @@ def test_candidates(spark):
     assert got[("parseer", "parser")] == "similar spelling"
 
 
+def test_all_pairs_of_a_shared_key(spark, monkeypatch):
+    v = items(spark, [(i, "entity", n, None, None, ["Same"], None) for i, n in enumerate("abcdefghijk", 1)] + [(20, "entity", "x y z", None, None, None, None), (21, "entity", "xy z", None, None, None, None), (22, "entity", "x yz", None, None, None, None), (23, "concept", "a", None, None, ["Same"], None)])
+    alias = sorted(("entity", x, y) for x in "abcdefghijk" for y in "abcdefghijk" if x < y)
+    for block in (500, 3):
+        monkeypatch.setattr(C, "BLOCK", block)
+        assert sorted((r.kind, r.l, r.r) for r in C.shared_alias(v).collect()) == alias
+        assert sorted((r.l, r.r) for r in C.same_compact(C.distinct_names(v)).collect()) == [("x y z", "x yz"), ("x y z", "xy z"), ("x yz", "xy z")]
+    got = {(r.l, r.r): r.rule for r in C.candidate_pairs(v).filter("reason = 'shared name or alias'").collect()}
+    assert len(got) == len(alias) and set(got.values()) == {1}
+
+
 def kb(spark):
     v = items(spark, [*BASE, (6, "entity", "Parser Two", None, "Long text.", ["parser"], src("d9"))])
     f = spark.createDataFrame([(1, "Parser helps Alone.", "Parser", "helps", "Alone", src("d1"), ""), (2, "x", "", "", "", None, ""), (3, "y", "Parser", "is", "Nobody", src("d3"), "")], f"fact_id long, statement string, subject string, predicate string, object string, sources {REF}, key string")
