@@ -294,11 +294,11 @@ def _judge(b: Block) -> str:
     if len(body) > SHORT and "](" in b.raw and sum(len(m.group(1)) for m in _LINK.finditer(b.raw)) > LINKY * len(body):
         return "residue"
     words = _WORD.findall(body.lower()) if len(body) >= SHORT else ()
-    if not words and not body.isascii() and _WIDE.search(body, 0, 200):
+    if not words and not body.isascii() and _WIDE.search(body):
         return "text" if len(body) >= SHORT // 4 else "undecided"
     if not words:
         return "undecided"
-    if not body.isascii() and _WIDE.search(body, 0, 200):
+    if not body.isascii() and _WIDE.search(body):
         return "text" if len(body) >= SHORT // 4 else "undecided"
     if len(body) < SHORT or b.kind == "head":
         return "undecided"

@@ -156,6 +156,13 @@ def test_short_blocks_follow_their_neighbours():
     assert "Home" not in out and "End" in out and "Link number" not in out
 
 
+def test_wide_script_late_in_a_block():
+    bad = " ".join(f"[Link number {i}](p{i}.md)" for i in range(12))
+    late = "Quillmill Parser Reader Indexer Linker " * 6 + "章节结构定期更新原始文本，并反复比较页面内容。" * 3
+    out = M.clean(f"{bad}\n\n{late}\n\n{bad}")
+    assert "章节结构" in out and "Link number" not in out
+
+
 # --- 10 reading level -----------------------------------------------------------------------------------------------
 
 EASY, HARD = "The cat sees my dog near the red house.", "Such heterogeneous epistemology presupposes the transcendental normativity in virtue of which propositional hermeneutics obviates its ground."
