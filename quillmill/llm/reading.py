@@ -1,7 +1,8 @@
 """Reading level of each document by regularised ordinal regression, calibrated on graded samples.
 
 Running prose is taken from the text: paragraphs left after markup, code, tables, lists and headings are set aside,
-cut into sentences; sentences with figures or signs (data runs, code) do not count. Each sentence gets features of
+cut into sentences; sentences with code or more than 15 percent figures and signs (data runs) do not count, and figures
+are no words. Each sentence gets features of
 
 * lexical diversity (types per token),
 * word rarity: in the whole corpus (hashed counts over all documents, a table of fixed size) and in the graded samples
@@ -37,6 +38,8 @@ BANDS = 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|(?<=[。！？])")
 _SIGN = re.compile(r"[0-9<>=$_{}\[\]\\|#*~/^@+&�]")
+#: Code in a sentence: names with underscores, indexes, braces, operators, tags.
+_CODE = re.compile(r"\w_\w|\w\[|[{}\\]|[=!<>]=|[=-]>|\w=\w|<[\w/]|&&|\|\|")
 _FAR = re.compile("[ɐ-\U0010ffff]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 #: Function words that tell languages apart.
@@ -108,7 +111,7 @@ def prose(text: str | None) -> tuple[list[list[str]], bool]:
             other += weight if foreign or tongue else 0
             continue
         english += weight
-        if len(words) >= 4 and not signs and s[-1] in ".?!”\"'’)":
+        if len(words) >= 4 and not (signs and _CODE.search(s)) and s[-1] in ".?!”\"'’)":
             out.append(words)
     return out, english > other
 
