@@ -2,20 +2,25 @@
 
 Items with the same key are one name already, so pairs are pairs of names (representatives); membership is the key
 itself. The relation is not transitive, so each pair of names of a shared key is a candidate of its own. No rule
-compares all names: shared keys are equi-joins, word overlap and near spellings go through prefix
-filters (the rarest tokens or letter pairs first; at the thresholds used, at least one of the prefix is shared).
+compares all names: shared keys and contained names are equi-joins, word overlap goes through a prefix filter (the
+rarest tokens first), near spellings through segments of which one must be untouched.
+
+Defined results: null and blank names take no part; a pair is listed once, with the first rule that names it; names of
+any length are compared whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.names import alias_keys_col, name_tokens
+from quillmill.session import cut
 
 #: Thresholds of the rules.
 CONTAINS, OVERLAP, SIMILAR = 0.6, 0.5, 0.85
@@ -70,55 +75,143 @@ def token_overlap(names: DataFrame) -> DataFrame:
     return full.withColumn("score", share).filter(F.col("score") >= OVERLAP).select("kind", "l", "r", F.lit("token overlap").alias("reason"), F.round("score", 4).alias("score"))
 
 
-def _pairs_of_letters(names: DataFrame) -> DataFrame:
-    c = names.select("kind", "key", F.regexp_replace("key", r"(?U)\s+", "").alias("_c"))
-    grams = F.when(F.char_length("_c") < 2, F.array("_c")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("_c") - 1, F.lit(1))), lambda i: F.substring("_c", i, 2))))
-    return c.select("kind", "key", F.explode(grams).alias("_u"))
+#: Compact names up to this length meet by segments, longer ones by letter pairs; substrings up to ``WHOLE`` are keys as a whole.
+SHORT, WHOLE = 48, 48
+
+
+@lru_cache(1)
+def _segment_layout() -> tuple[list[tuple], list[tuple]]:
+    """Where segments of a longer name lie and where a shorter name may hold them: fixed tables of lengths and places.
+
+    A ratio of ``SIMILAR`` leaves at most (1 - SIMILAR) of all letters unmatched on both sides together. Of that many segments
+    and one more, one is untouched with no more edits before it than segments before it, and likewise after it.
+    """
+    index, probe = [], []
+    for long in range(1, SHORT + 1):
+        k = min(long, int(2 * (1 - SIMILAR) * long + 1e-9) + 1)
+        size, extra = divmod(long, k)
+        start = 0
+        for i in range(k):
+            n = size + (i >= k - extra)
+            index.append((long, i, start + 1, n))
+            for short in range(1, long + 1):
+                gap, most = long - short, int((1 - SIMILAR) * (long + short) + 1e-9)
+                if gap > most:
+                    continue
+                low = max(-i, -gap - (k - 1 - i), -((most + gap) // 2), -start)
+                high = min(i, k - 1 - i - gap, (most - gap) // 2, short - n - start)
+                probe += [(short, long, i, start + shift + 1, n) for shift in range(low, high + 1)]
+            start += n
+    return index, probe
+
+
+def _compact(names: DataFrame) -> DataFrame:
+    """(kind, key, item_id, c, n, t): names with their letters, length and word tokens."""
+    c = F.regexp_replace("key", r"(?U)\s+", "")
+    return names.select("kind", "key", "item_id", c.alias("c"), F.char_length(c).alias("n"), name_tokens(F.col("key")).alias("t"))
+
+
+_BLOCK = "(left(c, 1) = left(c2, 1) OR right(c, 1) = right(c2, 1) OR arrays_overlap(t, t2))"
+
+
+def _other(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(x).alias(x if x in ("kind", "_u", "_long", "_i") else f"{x}2") for x in df.columns])
+
+
+def _contained(c: DataFrame) -> DataFrame:
+    """Pairs (shorter, longer) where the longer name holds the shorter one: every long enough part of a name is a key, so only
+    pairs that count meet; of parts above ``WHOLE`` letters the first ``WHOLE`` are the key."""
+    grams = F.flatten(
+        F.transform(
+            F.sequence(F.ceil(F.lit(CONTAINS) * F.col("n")).cast("int"), F.least(F.col("n") - 1, F.lit(WHOLE))),
+            lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: F.substring("c", i, m)),
+        )
+    )
+    small = F.ceil(F.lit(CONTAINS) * F.col("n")) <= F.least(F.col("n") - 1, F.lit(WHOLE))
+    heads = F.transform(F.sequence(F.lit(1), F.col("n") - WHOLE), lambda i: F.concat(F.substring("c", i, F.lit(WHOLE)), F.lit("…")))
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.when(small, grams).otherwise(none), F.when(F.col("n") > WHOLE + 1, heads).otherwise(none))
+    whole = F.when(F.col("n") > WHOLE, F.concat(F.substring("c", 1, WHOLE), F.lit("…"))).otherwise(F.col("c"))
+    left = c.select("*", whole.alias("_u"))
+    right = _other(c.select("*", F.explode(F.array_distinct(parts)).alias("_u")))
+    met = left.join(right, ["kind", "_u"]).filter(f"n < n2 AND n >= {CONTAINS} * n2 AND contains(c2, c) AND {_BLOCK}")
+    return met.select("kind", "key", "key2", (F.col("n") / F.col("n2")).alias("score"))
+
+
+def _met_by_segments(c: DataFrame) -> DataFrame:
+    spark = c.sparkSession
+    index, probe = _segment_layout()
+    ix = F.broadcast(spark.createDataFrame(pa.table(dict(zip(("n", "_i", "_p", "_l"), map(pa.array, zip(*index, strict=True)), strict=True)))))
+    pr = F.broadcast(spark.createDataFrame(pa.table(dict(zip(("n", "_long", "_i", "_p", "_l"), map(pa.array, zip(*probe, strict=True)), strict=True)))))
+    part = F.substring("c", F.col("_p").cast("int"), F.col("_l").cast("int")).alias("_u")
+    short = c.filter(F.col("n") <= SHORT)
+    have = short.join(ix, "n").select("*", F.col("n").cast("long").alias("_long"), part).drop("_p", "_l")
+    seek = short.join(pr, "n").select("*", part).drop("_p", "_l")
+    return seek.join(_other(have), ["kind", "_long", "_i", "_u"])
+
+
+def _met_by_letters(c: DataFrame) -> DataFrame:
+    """Names of which one is longer than ``SHORT``: numbered letter pairs, the rarest first."""
+    long = c.filter(F.col("n") >= F.lit(SHORT * SIMILAR / (2 - SIMILAR)).cast("int"))
+    each = long.select("kind", "key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring("c", i, 2))).alias("_g"))
+    each = each.groupBy("kind", "key", "n", "_g").agg(F.count("*").alias("_k")).select("kind", "key", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("_k")), lambda k: F.concat(F.col("_g"), k.cast("string")))).alias("_u"))
+    # an unmatched letter costs its own name two pairs and the other name one
+    need = F.greatest(F.ceil(F.lit((3 * SIMILAR - 2) / (2 - SIMILAR)) * F.col("n") - 1 - 1e-9), F.lit(1))
+    freq = each.groupBy("kind", "_u").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(Window.partitionBy("kind", "key").orderBy("_df", "_u"))
+    kept = each.join(freq, ["kind", "_u"]).withColumn("_r", rank).filter(F.col("_r") <= F.col("n") - 1 - need + 1).select("kind", "key", "_u").join(long, ["kind", "key"])
+    return kept.join(_other(kept), ["kind", "_u"]).filter(f"n2 > {SHORT}")
 
 
 def near_spelling(names: DataFrame) -> DataFrame:
-    """Rules 3a and 3c: one compact name contains the other, or their sequence ratio is high.
+    """Rules 3a and 3c: one compact name contains the other, or their sequence ratio is high; (kind, l, r, reason, score).
 
-    A contained name has all its letter pairs in the longer one, whose length is at most 1/0.6 of it; a ratio of 0.85
-    leaves at least .55 n - 1 common pairs. Both meet in the prefix kept here. The ratio runs on the survivors only.
+    Both rules ask for names with the same first or last letter or a common word. Contained names meet on parts of the
+    longer name; near spellings on one of so many segments that one must be untouched. An edit distance in the JVM leaves
+    few pairs for the ratio itself.
     """
-    each = _pairs_of_letters(names)
-    keep = lambda n: n - F.greatest(F.floor(F.lit(0.55) * n) - 1, F.lit(1)) + 1
-    p = _prefixed(each, "_u", keep)
-    pairs = p.toDF("kind", "l", "_u").join(p.toDF("kind", "r", "_u"), ["kind", "_u"]).filter("l < r").select("kind", "l", "r").distinct()
-    ids = names.select("kind", "key", "item_id")
-    pairs = pairs.join(ids.toDF("kind", "l", "li"), ["kind", "l"]).join(ids.toDF("kind", "r", "ri"), ["kind", "r"])
+    c = cut(_compact(names).filter("n > 0"))
+    order = "(n < n2 OR n = n2 AND key < key2)"
+    within = f"levenshtein(c, c2, CAST(floor({1 - SIMILAR:.2f} * (n + n2) + 1e-9) AS INT)) >= 0 AND {_BLOCK}"
+    cols = ["kind", "key", "key2", "item_id", "item_id2"]
+    met = _met_by_segments(c).filter(f"{order} AND {within}").select(*cols).unionByName(_met_by_letters(c).filter(f"{order} AND {within}").select(*cols)).distinct()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep_rows, reason, score = [], [], []
+            rows, score = [], []
             for i, (x, y, xi, yi) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True)):
-                a, c = ("".join(x.split()), "".join(y.split())) if xi < yi else ("".join(y.split()), "".join(x.split()))
-                small, large = sorted((a, c), key=len)
-                if a[:1] != c[:1] and a[-1:] != c[-1:] and not _share_token(x, y):
-                    continue
-                if small != large and small in large and len(small) >= CONTAINS * len(large):
-                    keep_rows.append(i)
-                    reason.append("one name contains the other")
-                    score.append(round(len(small) / len(large), 4))
-                elif 2 * len(small) >= SIMILAR * (len(small) + len(large)) - 1e-9 and (r := SequenceMatcher(None, a, c).ratio()) >= SIMILAR:
-                    keep_rows.append(i)
-                    reason.append("similar spelling")
+                a, d = ("".join(x.split()), "".join(y.split())) if xi < yi else ("".join(y.split()), "".join(x.split()))
+                if 2 * _common(a, d) >= SIMILAR * (len(a) + len(d)) - 1e-9 and (r := SequenceMatcher(None, a, d).ratio()) >= SIMILAR:
+                    rows.append(i)
                     score.append(round(r, 4))
-            at = pa.array(keep_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(reason, pa.string()), pa.array(score, pa.float64())], names=["kind", "l", "r", "reason", "score"])
-
-    return pairs.select("kind", "l", "r", "li", "ri").mapInArrow(judge, "kind string, l string, r string, reason string, score double")
-
-
-def _share_token(x: str, y: str) -> bool:
-    return bool({t for t in x.split() if len(t) > 1} & {t for t in y.split() if len(t) > 1})
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(score, pa.float64())], names=["kind", "key", "key2", "score"])
+
+    similar = met.mapInArrow(judge, "kind string, key string, key2 string, score double")
+    contained = _contained(c)
+    near = contained.select("*", F.lit("one name contains the other").alias("reason")).unionByName(
+        similar.join(contained.select("kind", "key", "key2"), ["kind", "key", "key2"], "left_anti").select("*", F.lit("similar spelling").alias("reason"))
+    )
+    return near.select("kind", F.least("key", "key2").alias("l"), F.greatest("key", "key2").alias("r"), "reason", F.round("score", 4).alias("score"))
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, in one integer: a bit a letter."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & at.get(x, 0)
+        row = (row + hit) | (row - hit)
+    return (~row & full).bit_count()
 
 
 def candidate_pairs(view: DataFrame) -> DataFrame:
     """(kind, l, r, reason): the first rule that names a pair gives its reason."""
     names = distinct_names(view)
-    near = near_spelling(names)
+    near = cut(near_spelling(names))
     rules = [shared_alias(view), same_compact(names), near.filter("reason = 'one name contains the other'"), token_overlap(names), near.filter("reason = 'similar spelling'")]
     out = None
     for rank, r in enumerate(rules):
@@ -128,7 +221,17 @@ def candidate_pairs(view: DataFrame) -> DataFrame:
 
 
 def limited_pairs(pairs: DataFrame, limit: int = 200) -> DataFrame:
-    """The strongest pairs of each kind, at most ``limit``: the cap on judgements is a feature of the merger."""
+    """The strongest pairs of each kind, at most ``limit``: the cap on judgements is a feature of the merger.
+
+    The ranks are limited in every partition before the shuffle (a group limit), so one task gets ``limit`` rows of each.
+    """
     w = Window.partitionBy("kind").orderBy("rule", "l", "r")
     return pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
+
+def truncation(pairs: DataFrame, limit: int = 200) -> DataFrame:
+    """(kind, n_pairs, n_kept, warning): what the cap on judgements leaves out; no warning where nothing is left out."""
+    n = pairs.groupBy("kind").agg(F.count("*").alias("n_pairs"))
+    kept = F.least(F.col("n_pairs"), F.lit(limit).cast("long"))
+    text = F.concat(F.lit(f"candidate pairs truncated to {limit} (of "), F.col("n_pairs").cast("string"), F.lit("); raise max_judgements to judge more"))
+    return n.select("kind", "n_pairs", kept.alias("n_kept"), F.when(F.col("n_pairs") > limit, text).alias("warning"))

@@ -260,31 +260,57 @@ def merge_report(kb: KnowledgeBase) -> DataFrame:
     return K.merge_report(kb.items, kb.groups, kb.merged)
 
 
-@query(f"""WITH {_ITEMS}, a AS (SELECT DISTINCT iv.kind, iv.key, ik.key AS v FROM iv JOIN ik USING (item_id) WHERE iv.key <> ''), b AS (SELECT *, min(key) OVER (PARTITION BY kind, v) AS f FROM a)
-SELECT DISTINCT kind, least(f, key) AS l, greatest(f, key) AS r, 'shared name or alias' AS reason FROM b WHERE f <> key""")
+_CANDIDATES = rf"""nv AS (SELECT kind, key, min(item_id) AS item_id, regexp_replace(key, '{_SP}', '', 'g') AS c, list_filter(list_distinct(regexp_extract_all(key, '[0-9a-z]+')), lambda t: length(t) > 1) AS t FROM iv WHERE key <> '' GROUP BY ALL),
+al AS (SELECT DISTINCT iv.kind, iv.key, ik.key AS v FROM iv JOIN ik USING (item_id) WHERE iv.key <> ''),
+p1 AS (SELECT DISTINCT a.kind, a.key AS l, b.key AS r FROM al a JOIN al b ON a.kind = b.kind AND a.v = b.v AND a.key < b.key),
+p2 AS (SELECT a.kind, a.key AS l, b.key AS r FROM nv a JOIN nv b ON a.kind = b.kind AND a.c = b.c AND a.key < b.key),
+bl AS (SELECT a.kind, a.key AS l, b.key AS r, CASE WHEN a.item_id < b.item_id THEN a.c ELSE b.c END AS x, CASE WHEN a.item_id < b.item_id THEN b.c ELSE a.c END AS y, a.t AS lt, b.t AS rt
+  FROM nv a JOIN nv b ON a.kind = b.kind AND a.key < b.key AND (left(a.c, 1) = left(b.c, 1) OR right(a.c, 1) = right(b.c, 1) OR list_has_any(a.t, b.t))),
+p3 AS (SELECT kind, l, r, round(least(length(x), length(y)) / greatest(length(x), length(y)), 4) AS score FROM bl WHERE length(x) <> length(y) AND least(length(x), length(y)) >= 0.6 * greatest(length(x), length(y)) AND (contains(x, y) OR contains(y, x))),
+p4 AS (SELECT kind, l, r, round(len(list_intersect(lt, rt)) / len(list_distinct(lt || rt)), 4) AS score FROM bl WHERE len(list_intersect(lt, rt)) >= 0.5 * len(list_distinct(lt || rt)) AND len(lt) > 0 AND len(rt) > 0)"""
+# levenshtein counts bytes, up to four a letter
+_BLOCK_OF = "list_max(list_transform(range(1, length(x) + 1), lambda i: struct_pack(n := coalesce(list_max(list_filter(range(1, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))), 0), i := -i)))"
+# the longest common block, the first one on a tie, then the same to its left and right
+_RATIO = f"""mt AS (SELECT kind, l, r, x, y, {_BLOCK_OF} AS b FROM bl WHERE levenshtein(x, y) <= CASE WHEN strlen(x || y) = length(x || y) THEN 0.15 ELSE 0.6 END * length(x || y) + 1e-9
+  UNION ALL SELECT kind, l, r, x, y, {_BLOCK_OF} FROM (SELECT kind, l, r, unnest([substr(x, 1, i - 1), substr(x, i + n)]) AS x, unnest([substr(y, 1, j - 1), substr(y, j + n)]) AS y
+    FROM (SELECT kind, l, r, x, y, -b.i AS i, b.n AS n, instr(y, substr(x, -b.i, b.n)) AS j FROM mt WHERE b.n > 0)) WHERE x <> '' AND y <> ''),
+p5 AS (SELECT kind, l, r, round(2 * n / (length(x) + length(y)), 4) AS score FROM (SELECT kind, l, r, sum(b.n) AS n FROM mt GROUP BY ALL) JOIN bl USING (kind, l, r) WHERE 2 * n / (length(x) + length(y)) >= 0.85),
+cp AS (SELECT kind, l, r, arg_min(reason, rule) AS reason, CAST(min(rule) AS INTEGER) AS rule FROM (
+  SELECT kind, l, r, 'shared name or alias' AS reason, 1 AS rule FROM p1 UNION ALL SELECT kind, l, r, 'same name without whitespace', 2 FROM p2 UNION ALL SELECT kind, l, r, 'one name contains the other', 3 FROM p3
+  UNION ALL SELECT kind, l, r, 'token overlap', 4 FROM p4 UNION ALL SELECT kind, l, r, 'similar spelling', 5 FROM p5) GROUP BY ALL)"""
+_CP = f"WITH RECURSIVE {_ITEMS}, {_CANDIDATES}, {_RATIO}"
+
+
+@query(f"WITH {_ITEMS}, {_CANDIDATES} SELECT kind, l, r, 'shared name or alias' AS reason FROM p1")
 def candidates_alias(kb: KnowledgeBase) -> DataFrame:
     return C.shared_alias(kb.items)
 
 
-@query(f"""WITH {_ITEMS}, a AS (SELECT DISTINCT kind, key, regexp_replace(key, '{_SP}', '', 'g') AS v FROM iv WHERE key <> ''), b AS (SELECT *, min(key) OVER (PARTITION BY kind, v) AS f FROM a)
-SELECT DISTINCT kind, least(f, key) AS l, greatest(f, key) AS r, 'same name without whitespace' AS reason FROM b WHERE f <> key""")
+@query(f"WITH {_ITEMS}, {_CANDIDATES} SELECT kind, l, r, 'same name without whitespace' AS reason FROM p2")
 def candidates_compact(kb: KnowledgeBase) -> DataFrame:
     return C.same_compact(C.distinct_names(kb.items))
 
 
-@query(f"""WITH {_ITEMS}, n AS (SELECT DISTINCT kind, key, list_filter(list_distinct(regexp_extract_all(key, '[0-9a-z]+')), lambda t: length(t) > 1) AS t FROM iv WHERE key <> ''),
-x AS (SELECT DISTINCT kind, key, unnest(t) AS u FROM n), c AS (SELECT a.kind, a.key AS l, b.key AS r, count(*) AS k FROM x a JOIN x b ON a.kind = b.kind AND a.u = b.u AND a.key < b.key GROUP BY ALL)
-SELECT c.kind, l, r, 'token overlap' AS reason, round(k / (len(p.t) + len(q.t) - k), 4) AS score FROM c JOIN n p ON p.kind = c.kind AND p.key = l JOIN n q ON q.kind = c.kind AND q.key = r WHERE k >= 0.5 * (len(p.t) + len(q.t) - k)""")
+@query(f"WITH {_ITEMS}, {_CANDIDATES} SELECT kind, l, r, 'token overlap' AS reason, score FROM p4")
 def candidates_tokens(kb: KnowledgeBase) -> DataFrame:
     return C.token_overlap(C.distinct_names(kb.items))
 
 
-@query()
+@query(f"{_CP} SELECT kind, l, r, 'one name contains the other' AS reason, score FROM p3 UNION ALL SELECT kind, l, r, 'similar spelling', score FROM p5 ANTI JOIN p3 USING (kind, l, r)")
+def candidates_spelling(kb: KnowledgeBase) -> DataFrame:
+    return C.near_spelling(C.distinct_names(kb.items))
+
+
+@query(f"{_CP} SELECT * FROM cp")
 def candidates_all(kb: KnowledgeBase) -> DataFrame:
-    """All rules; near spellings use a sequence ratio that SQL does not have."""
     return C.candidate_pairs(kb.items)
 
 
+@query(f"{_CP} SELECT kind, count(*) AS n_pairs, least(count(*), 200) AS n_kept, CASE WHEN count(*) > 200 THEN 'candidate pairs truncated to 200 (of ' || count(*) || '); raise max_judgements to judge more' END AS warning FROM cp GROUP BY kind")
+def candidates_truncation(kb: KnowledgeBase) -> DataFrame:
+    return C.truncation(C.candidate_pairs(kb.items))
+
+
 @query()
 def judge_prompts(kb: KnowledgeBase) -> DataFrame:
     """Prompts for the strongest candidates of each kind, as many as a judge may be asked."""
