@@ -1,12 +1,14 @@
 """References to records that do not exist (yet, or any more).
 
-Every reference and every change of existence becomes a signed delta on a key. A running sum of the existence
-deltas in time order tells, for each reference, how many rows with its key existed when the citing row arrived;
-zero means orphan. The sum is taken in two levels so that a hot key never becomes one task:
+Every change of existence and every reference is a signed delta on a key.
 
-1. deltas are summed per (space, key, day) - a partial aggregate on the map side - and a prefix sum over the days
-   of a key gives the count carried into each day (a key has at most as many rows here as there are days);
-2. inside one (space, key, day) the carry and the day's deltas are summed in time order.
+* ``current_orphans``: the sums of both kinds of deltas per key; keys with references and no row are the report. The
+  counts are a table that ``add_counts`` carries on from batch to batch.
+* ``orphan_references``: a reference is judged at the moment its row arrives. From the existence deltas alone the running
+  count per key gives the *gaps* of each key, the times at which its count is zero. References meet the gaps of their key
+  by an equi-join and are never sorted by time. Deltas are counted in two levels (days of a key, then inside a day), so
+  that a key with many rows is not one task; gaps come in chunks of at most ``CHUNK``, so no group grows without
+  bound; a key with many references is split by the skew join, because the gaps of one key are few.
 
 Defined results: null and blank keys are no references; rows whose ``deleted_at`` is not after ``loaded_at`` and rows
 without ``loaded_at`` never exist; a citing row without ``loaded_at`` is judged against the end of time and has a null
@@ -16,12 +18,16 @@ are ignored because only named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Space, tab, line breaks, no-break and ideographic space.
 _OUTER = " \t\n\r\x0b\x0c 　"
 _END_OF_TIME = "9999-12-31 00:00:00"
+#: Gaps of one key in one row.
+CHUNK = 64
 
 
 def plain_key(c: Column) -> Column:
@@ -102,31 +108,37 @@ def deltas(lives: DataFrame) -> DataFrame:
     return lives.select("space", "key", change).select("space", "key", "_c.t", "_c.delta").filter(F.col("t").isNotNull())
 
 
+def gaps(lives: DataFrame) -> DataFrame:
+    """(space, key, gaps, low, high): when no row with the key existed, in chunks that cover [low, high) of all time.
+
+    A gap is struct(since, until), open-ended where null; every key that ever existed has at least the gap before its
+    first row.
+    """
+    day = F.unix_date(F.to_date("t")).alias("day")
+    each = ["space", "key", "day"]
+    change = deltas(lives).select("space", "key", day, "t", "delta").repartition(*each).groupBy(*each, "t").agg(F.sum("delta").alias("delta"))
+    in_day = Window.partitionBy(*each).orderBy("t")
+    steps = change.select(*each, "t", F.sum("delta").over(in_day).alias("n"), F.lead("t").over(in_day).alias("next"))
+    days = change.groupBy(*each).agg(F.sum("delta").alias("delta"), F.min("t").alias("first"))
+    of_key = Window.partitionBy("space", "key").orderBy("day")
+    days = days.select(*each, "first", F.sum("delta").over(of_key.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("first").over(of_key).alias("next_day"))
+    zero = steps.join(days, each).filter(F.col("n") + F.coalesce("before", F.lit(0)) == 0).select("space", "key", F.col("t").alias("since"), F.coalesce("next", "next_day").alias("until"))
+    start = days.filter("before IS NULL").select("space", "key", F.lit(None).cast(lives.schema["loaded_at"].dataType).alias("since"), F.col("first").alias("until"))
+    ordered = Window.partitionBy("space", "key").orderBy(F.asc_nulls_first("since"))
+    lined = start.unionByName(zero).select("*", F.row_number().over(ordered).alias("n"), F.lead("since").over(ordered).alias("then"))
+    chunk = F.floor((F.col("n") - 1) / CHUNK).alias("chunk")
+    chunks = lined.groupBy("space", "key", chunk).agg(F.collect_list(F.struct("since", "until")).alias("gaps"), F.min_by("since", "n").alias("low"), F.max_by("then", "n").alias("high"))
+    return chunks.drop("chunk")
+
+
 def orphan_references(refs: DataFrame, lives: DataFrame) -> DataFrame:
     """References whose key did not exist when the citing row arrived; see the module text for the method."""
-    day = F.unix_date(F.to_date("t")).alias("day")
-    t_type = dict(refs.dtypes)["loaded_at"]
-    no_ref = [F.lit(None).cast(t).alias(c) for c, t in (("ref_table", "string"), ("row_id", "long"), ("field_name", "string"), ("ref_pos", "int"), ("loaded_at", t_type))]
-    change = deltas(lives).groupBy("space", "key", "t").agg(F.sum("delta").alias("delta"))
-    asked = refs.withColumn("t", F.coalesce("loaded_at", F.lit(_END_OF_TIME).cast(t_type)))
-    per_day = (
-        change.select("space", "key", day, "delta")
-        .unionByName(asked.select("space", "key", day, F.lit(0).cast("long").alias("delta")))
-        .groupBy("space", "key", "day")
-        .agg(F.sum("delta").alias("delta"))
-    )
-    before = Window.partitionBy("space", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_day.select("space", "key", "day", F.date_from_unix_date("day").cast(t_type).alias("t"), F.sum("delta").over(before).alias("delta"), *no_ref).filter("delta <> 0")
-    events = (
-        carry.unionByName(change.select("space", "key", day, "t", "delta", *no_ref))
-        .unionByName(asked.select("space", "key", day, "t", F.lit(0).cast("long").alias("delta"), "ref_table", "row_id", "field_name", "ref_pos", "loaded_at"))
-    )
-    upto = Window.partitionBy("space", "key", "day").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        events.withColumn("n", F.sum("delta").over(upto))
-        .filter(F.col("ref_table").isNotNull() & (F.coalesce("n", F.lit(0)) == 0))
-        .select("ref_table", "row_id", "field_name", "ref_pos", F.date_format("loaded_at", "yyyy-MM").alias("period"))
-    )
+    t = F.coalesce("loaded_at", F.lit(_END_OF_TIME).cast(dict(refs.dtypes)["loaded_at"]))
+    state = gaps(lives).toDF("_space", "_key", "gaps", "low", "high")
+    meets = (F.col("space") == F.col("_space")) & (F.col("key") == F.col("_key")) & (F.col("low").isNull() | (F.col("t") >= F.col("low"))) & (F.col("high").isNull() | (F.col("t") < F.col("high")))
+    met = refs.withColumn("t", t).join(state, meets, "left")
+    missing = F.exists("gaps", lambda g: (g["since"].isNull() | (F.col("t") >= g["since"])) & (g["until"].isNull() | (F.col("t") < g["until"])))
+    return met.filter(F.col("_key").isNull() | missing).select("ref_table", "row_id", "field_name", "ref_pos", F.date_format("loaded_at", "yyyy-MM").alias("period"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
@@ -134,14 +146,30 @@ def orphan_report(orphans: DataFrame) -> DataFrame:
     return orphans.groupBy("ref_table", "field_name", "period").agg(F.count("*").alias("orphans"))
 
 
+def signed_counts(refs: DataFrame | None, lives: DataFrame | None) -> DataFrame:
+    """(space, key, n_refs, n_rows): signed counts of what is given, partial sums before the shuffle."""
+    parts = []
+    if refs is not None:
+        parts.append(refs.select("space", "key", F.lit(1).cast("long").alias("n_refs"), F.lit(0).cast("long").alias("n_rows")))
+    if lives is not None:
+        parts.append(deltas(lives).select("space", "key", F.lit(0).cast("long").alias("n_refs"), F.col("delta").alias("n_rows")))
+    return _summed(reduce(DataFrame.unionByName, parts))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("space", "key").agg(F.sum("n_refs").alias("n_refs"), F.sum("n_rows").alias("n_rows"))
+
+
+def add_counts(counts: DataFrame, change: DataFrame) -> DataFrame:
+    """Maintained counts with the counts of one more batch; keys whose counts are both zero are left out."""
+    return _summed(counts.unionByName(change)).filter("n_refs <> 0 OR n_rows <> 0")
+
+
+def orphans_of(counts: DataFrame) -> DataFrame:
+    """(space, key, n_refs) of the keys with references and no existing row."""
+    return counts.filter("n_refs > 0 AND n_rows = 0").select("space", "key", "n_refs")
+
+
 def current_orphans(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """Keys with references now and no existing row now: signed counts per key, partial sums before the shuffle."""
-    counts = refs.select("space", "key", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("e")).unionByName(
-        deltas(lives).select("space", "key", F.lit(0).cast("long").alias("r"), F.col("delta").alias("e"))
-    )
-    return (
-        counts.groupBy("space", "key")
-        .agg(F.sum("r").alias("n_refs"), F.sum("e").alias("n_rows"))
-        .filter("n_refs > 0 AND n_rows = 0")
-        .select("space", "key", "n_refs")
-    )
+    """Keys with references now and no existing row now."""
+    return orphans_of(signed_counts(refs, lives))

@@ -1,4 +1,4 @@
-"""Incremental ingest: arriving rows are kept once, and orphan references are counted per batch and window."""
+"""Incremental ingest: arriving rows are kept once, and signed counts of references and rows are carried on per batch."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillmill.operators import references as R
 from quillmill.operators.documents import text_facts
 
 
@@ -42,3 +43,31 @@ def ingest_documents(stream: DataFrame, target: str, checkpoint: str, key: str =
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete", before: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     s = before(stream) if before else stream
     return s.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def maintain_counts(stream: DataFrame, state: str, checkpoint: str, refs_of: Callable[[DataFrame], DataFrame] | None = None, lives_of: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Carry the signed counts of references and existing rows on in the folder ``state``, one table per batch.
+
+    ``refs_of`` and ``lives_of`` give the references (space, key, ...) and lifetimes (space, key, loaded_at, deleted_at) of
+    the arriving rows. Each batch is written beside the counts it started from, so a batch that is repeated after a
+    failure counts once; ``counts_at`` reads the last one.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        change = R.signed_counts(refs_of(batch) if refs_of else None, lives_of(batch) if lives_of else None)
+        before = counts_at(batch.sparkSession, state, number)
+        (change if before is None else R.add_counts(before, change)).write.mode("overwrite").parquet(f"{state}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counts_at(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
+    """The counts after the last finished batch (of those below ``before``)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(state)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return None
+    done = [int(f.getPath().getName().removeprefix("batch=")) for f in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
+    return spark.read.parquet(f"{state}/batch={max(done)}") if done else None

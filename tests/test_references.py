@@ -60,3 +60,38 @@ def test_hot_key_matches_brute_force(spark):
     want = {i for i, s, t in facts if not any(k == s[0][0] and a <= t and (b is None or b > t) for k, a, b in docs)}
     refs, lives = run(spark, docs, facts=facts)
     assert {x.row_id for x in R.orphan_references(refs, lives).collect()} == want
+
+
+def test_many_gaps_come_in_chunks(spark):
+    t = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    docs = [("hot", t(4 * i), t(4 * i + 2)) for i in range(200)] + [("same", t(5), t(9)), ("same", t(9), None)]
+    facts = [(i, [src("hot"), src("same")], t(i - 2)) for i in range(810)]
+    refs, lives = run(spark, docs, facts=facts)
+    g = R.gaps(lives)
+    assert g.filter("key = 'hot'").count() == 4 and max(len(r.gaps) for r in g.collect()) == R.CHUNK
+    got = {(x.row_id, x.ref_pos) for x in R.orphan_references(refs, lives).collect()}
+    hot = {(i, 1) for i in range(810) if not any(4 * k <= i - 2 < 4 * k + 2 for k in range(200))}
+    assert got == hot | {(i, 2) for i in range(810) if i - 2 < 5}
+
+
+def test_two_batches_give_the_counts_of_one(spark, tmp_path):
+    from quillmill.streaming import ingest
+
+    docs = [("a", T(1), T(3)), ("b", T(1), None), ("c", T(2), T(4)), ("c", T(5), None), ("A ", T(6), None)]
+    facts = [(1, [src("a"), src("x")], T(1)), (2, [src("a"), src("c")], T(2)), (3, [src("x")], T(2))]
+    refs, lives = run(spark, docs, facts=facts)
+    want = {tuple(r) for r in R.current_orphans(refs, lives).collect()}
+    assert want == {("d", "x", 2)}
+    first, second = run(spark, docs[:2], facts=facts[:1]), run(spark, docs[2:], facts=facts[1:])
+    counts = R.add_counts(R.signed_counts(*first), R.signed_counts(*second))
+    assert {tuple(r) for r in R.orphans_of(counts).collect()} == want
+    assert {tuple(r) for r in R.orphans_of(R.signed_counts(*first)).collect()} == {("d", "a", 1), ("d", "x", 1)}
+    # the same as streams of files: rows first, references later
+    src_dir, state, schema = str(tmp_path / "in"), str(tmp_path / "state"), LIFE.format("document_id")
+    lives_of = lambda b: R.existence(b, b.select(b.document_id.alias("section_id"), "loaded_at", "deleted_at").limit(0), run(spark)[1].sparkSession.createDataFrame([], ITEMS))
+    for i, part in enumerate((docs[:2], docs[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src_dir)
+        ingest.maintain_counts(ingest.stream_table(spark, src_dir, spark.createDataFrame([], schema)), state, str(tmp_path / "ck"), lives_of=lives_of).awaitTermination()
+        assert ingest.counts_at(spark, state) is not None, i
+    got = {(r.key, r.n_rows) for r in ingest.counts_at(spark, state).collect()}
+    assert got == {("a", 1), ("b", 1), ("c", 1)}
