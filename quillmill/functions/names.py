@@ -76,6 +76,12 @@ statement_key_col = _arrow(statement_key)
 search_key_col = _arrow(search_key)
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def search_keys_col(values: pa.Array) -> pa.Array:
+    """Distinct search keys of a list in order; blanks are left out, a null list has none."""
+    return pa.array([[k for k in dict.fromkeys(map(search_key, x or [])) if k] for x in values.to_pylist()], pa.list_(pa.string()))
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def alias_keys_col(names: pa.Array, aliases: pa.Array) -> pa.Array:
     return pa.array([alias_keys(n, a) for n, a in zip(names.to_pylist(), aliases.to_pylist(), strict=True)], pa.list_(pa.string()))

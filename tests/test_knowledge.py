@@ -170,3 +170,28 @@ def test_judge_prompts(spark):
     pairs = C.limited_pairs(C.candidate_pairs(v), 1)
     (p,) = X.judge_prompts(pairs, C.distinct_names(v), v).collect()
     assert p.prompt.startswith("kind: entity") and p.prompt.count("quote: seen") == 3 and "aliases: Reader" in p.prompt and "name: Parseer" in p.prompt
+
+
+def test_links_by_join_equal_links_by_broadcast(spark):
+    names = [("parser.md", "entity", "Parser", ["the parser", "c++"]), ("stage.md", "concept", "Parser Stage", None), ("zh.md", "entity", "解析器", ["Größe"]), ("two.md", "entity", "the parser", []), ("long.md", "concept", "a name of many words", [])]
+    index = N.link_index(spark.createDataFrame(names, "path string, kind string, title string, aliases array<string>"))
+    texts = [("a.md", "The Parser  Stage and c++ use 解析器.\n```\nparser\n```\n## Sources\nparser"), ("parser.md", "parser, A name of\nmany words; grösse Größe parser.md"), ("b.md", None), ("c.md", "")]
+    pages = spark.createDataFrame(texts, "path string, text string")
+    told, joined = (sorted(map(tuple, N.link_pages(pages, index, prefer_entity=True, limit=n).collect())) for n in (100, 0))
+    assert told == joined
+    assert dict((r[0], r[1]) for r in told)["a.md"].startswith("The [Parser  Stage](stage.md) and [c++](parser.md) use [解析器](zh.md).")
+
+
+def test_overlapping_markup_is_kept():
+    names = N.Names(["parser"])
+    text = "<a `b> parser` [x [[parser]] y](z) ---\n---\nparser\n---"
+    assert N.link_text(text, names, {"parser": "p.md"})[0].count("](p.md)") == 1
+    assert N.link_text("---\nparser\n---\nparser", names, {"parser": "p.md"})[0] == "---\nparser\n---\n[parser](p.md)"
+
+
+def test_search_aliases_are_folded_whole(spark):
+    page = '---\nid: "1"\nkind: "entity"\naliases:\n  - "Ｆｕｌｌ  Width"\n  - "STRASSE"\n---\n# Title\nbody'
+    pages = S.search_pages(spark.createDataFrame([("t.md", page)], "path string, text string"))
+    assert pages.first().normalized_aliases == ["full width", "strasse"]
+    assert S.search(pages, "straße").first().score == S.ALIAS_EXACT
+    assert S.search(pages, "full  WIDTH").first().score == S.ALIAS_EXACT
