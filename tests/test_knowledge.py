@@ -1,6 +1,7 @@
 import datetime as dt
 
 from quillmill.operators import candidates as C
+from quillmill.operators import search as S
 from quillmill.operators import closure, graph as G, knowledge as K, linker as N, lint as L, wiki as W
 
 REF = "array<struct<document_id:string,section_id:string,page_number:int,quote:string>>"
@@ -175,11 +176,11 @@ def test_judge_prompts(spark):
 def test_links_by_join_equal_links_by_broadcast(spark):
     names = [("parser.md", "entity", "Parser", ["the parser", "c++"]), ("stage.md", "concept", "Parser Stage", None), ("zh.md", "entity", "解析器", ["Größe"]), ("two.md", "entity", "the parser", []), ("long.md", "concept", "a name of many words", [])]
     index = N.link_index(spark.createDataFrame(names, "path string, kind string, title string, aliases array<string>"))
-    texts = [("a.md", "The Parser  Stage and c++ use 解析器.\n```\nparser\n```\n## Sources\nparser"), ("parser.md", "parser, A name of\nmany words; grösse Größe parser.md"), ("b.md", None), ("c.md", "")]
+    texts = [("a.md", "Our Parser  Stage and c++ of the parser use 解析器.\n```\nparser\n```\n## Sources\nparser"), ("parser.md", "parser, A name of\nmany words; grösse Größe parser.md"), ("b.md", None), ("c.md", "")]
     pages = spark.createDataFrame(texts, "path string, text string")
     told, joined = (sorted(map(tuple, N.link_pages(pages, index, prefer_entity=True, limit=n).collect())) for n in (100, 0))
     assert told == joined
-    assert dict((r[0], r[1]) for r in told)["a.md"].startswith("The [Parser  Stage](stage.md) and [c++](parser.md) use [解析器](zh.md).")
+    assert dict((r[0], r[1]) for r in told)["a.md"].startswith("Our [Parser  Stage](stage.md) and [c++](parser.md) of [the parser](parser.md) use [解析器](zh.md).")
 
 
 def test_overlapping_markup_is_kept():
