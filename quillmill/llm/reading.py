@@ -5,9 +5,10 @@ cut into sentences; sentences with code or more than 15 percent figures and sign
 are no words. Each sentence gets features of
 
 * lexical diversity (types per token),
-* word rarity: in the whole corpus (hashed counts over all documents, a table of fixed size) and in the graded samples
-  (the smoothed mean band of the samples that use a word; cross-fitted while training, so no sample rates itself),
-* connectives, a clause-depth proxy (openers of subordinate clauses and commas), and length of words and sentence.
+* word rarity: in the whole corpus (hashed counts of the same words over all documents, a table of fixed size) and, as
+  calibration, in graded text (the smoothed mean band of the samples that use a word, cross-fitted while training, so no
+  sample rates itself; words without a grade do not count),
+* connectives, a clause-depth proxy (openers of subordinate clauses), and length of words and sentence.
 
 A proportional-odds model with an L2 penalty turns them into an expected band. A document has the weighted median
 of its sentences, so odd sentences of another band do not decide. The model is fitted on the driver on the graded samples,
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from quillmill.llm import markup
 
 MAX_SAMPLES = 20_000
-COUNTERS = 1 << 16
+COUNTERS = 1 << 22
 BANDS = 5
+#: A word, for Python and for the engine: both patterns hold letters and letter-like numbers.
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_ENGINE_WORD = r"[\p{L}\p{Nl}\p{No}]+(?:['’-][\p{L}\p{Nl}\p{No}]+)*"
 _END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|(?<=[。！？])")
 _SIGN = re.compile(r"[0-9<>=$_{}\[\]\\|#*~/^@+&�]")
 #: Code in a sentence: names with underscores, indexes, braces, operators, tags.
@@ -124,7 +127,7 @@ def slot(word: str) -> int:
 
 def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
     """Hashed word counts over all texts, made in the JVM; a table of fixed size comes back."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}]+"), F.lit(0))).alias("_w")
+    words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_ENGINE_WORD), F.lit(0))).alias("_w")
     rows = df.filter(F.col(text).isNotNull()).select(words).groupBy(F.pmod(F.xxhash64("_w"), F.lit(COUNTERS)).alias("slot")).agg(F.count("*").alias("n"))
     out = np.zeros(COUNTERS, np.int64)
     got = rows.toArrow()
@@ -136,7 +139,7 @@ class Level:
     """Fitted model: word grades, corpus rarity, standardised weights and thresholds."""
 
     def __init__(self, samples: list[tuple[int, str]], counts: np.ndarray):
-        self.rarity = -np.log((counts + 1.0) / (counts.sum() + len(counts)))
+        self.rarity = -np.log((counts + 1.0) / (counts.sum() + len(counts))).astype(np.float32)
         rows = [(b, words) for b, t in samples for words in [[[w.lower() for w in _WORD.findall(s)] for s in _END.split(" ".join((t or "").split())) if _WORD.search(s)]]]
         feats, labels = [], []
         folds = 5
@@ -169,28 +172,24 @@ class Level:
         n = len(words)
         facts = [self._facts(w) for w in words]
         known = [f[0] for f in facts if f[0]]
-        k = len(known)
         return [
-            sum(known) / k if k else 3.0,
-            sum(f[1] for f in facts) / max(1, k),
-            sum(f[2] for f in facts) / max(1, k),
-            1 - k / n,
-            sum(f[3] for f in facts) / n,
+            sum(known) / len(known) if known else 3.0,
+            sum(f[1] for f in facts) / n,
             len(set(words)) / n,
-            sum(f[4] for f in facts) / n,
+            sum(f[2] for f in facts) / n,
             log(n),
-            sum(f[5] for f in facts) / n,
-            sum(f[6] for f in facts),
+            sum(f[3] for f in facts) / n,
+            sum(f[4] for f in facts),
         ]
 
     def _facts(self, w: str) -> tuple:
-        """(grade or 0, hard, easy, corpus rarity, length, connective, opener) of a word, kept in a bounded table."""
+        """(grade or 0, corpus rarity, length, connective, opener) of a word, kept in a bounded table."""
         f = self.seen.get(w)
         if f is None:
             if len(self.seen) > 200_000:
                 self.seen.clear()
             g = self.grades.get(w, 0.0)
-            f = self.seen[w] = (g, g >= 3.8, 0 < g <= 2.2, float(self.rarity[slot(w)]), len(w), w in _CONNECTIVE, w in _OPENER)
+            f = self.seen[w] = (g, float(self.rarity[slot(w)]), len(w), w in _CONNECTIVE, w in _OPENER)
         return f
 
     def score(self, found: list[list[str]]) -> float | None:

@@ -185,6 +185,15 @@ def test_levels(spark):
     assert r[1].band >= 4 and r[9].band >= 4 and r[2].band <= 2 and all(r[i].band is None for i in (3, 4, 5, 6, 7, 8)) and not r[6].is_english and not r[7].is_english
 
 
+def test_one_definition_of_words(spark):
+    text = "Don't say it's well-known: the co-operative’s x² Ⅳ ﬁne 12 naïve_word ЁЛКА 中文"
+    counts = R.corpus_counts(spark.createDataFrame([(text,), (None,), ("don't",)], "text string"), "text")
+    want = {}
+    for w in R._WORD.findall(text.lower()) + ["don't"]:
+        want[R.slot(w)] = want.get(R.slot(w), 0) + 1
+    assert {int(i): int(counts[i]) for i in counts.nonzero()[0]} == want and want[R.slot("don't")] == 2 and R.slot("well-known") in want
+
+
 def test_sentences_with_figures_count():
     found, english = R.prose(" ".join(HARD[:-1] + f" since {y}." for y in range(1990, 1996)) + " The code a1=b2; c3=d4; e5=f6; g7=h8; i9=j0; is not prose of the text. Compare snake_case_name with array[0] in the trace.")
     assert english and len(found) == 6 and all(w.isalpha() for words in found for w in words)
