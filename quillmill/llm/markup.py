@@ -1,11 +1,15 @@
 """Markup residue: find HTML, Markdown, wiki and LaTeX in texts and convert them to clean text with structure.
 
-A text is cut into blocks (headings, lists, tables, code, formulas, paragraphs). Two passes label the blocks:
+A text is parsed once. Block tags and environments become lines, lines become blocks (headings, lists, tables, code,
+formulas, notes, paragraphs), and what stands inside a line is converted; every construct that is consumed, or kept as a
+formula or command, notes its family, so the families of a text come from the same pass as its clean text. Lines made from
+tags carry a mark and do not count as Markdown. Constructs shown inside code count as well. Two passes label the blocks:
 
 1. each block is judged alone by its length, its density of stop words (or of letters, for scripts without spaces) and
-   its link density: *text*, *residue* (mostly links, or nothing left after the markup is removed) or *undecided*;
-2. undecided short blocks take the label of the nearest decided neighbour; between two different neighbours the nearer
-   one counts, and text on a tie; headings follow the block below them.
+   its link density, with links of all four families: *text* (many stop words, or some in a long block), *residue* (mostly
+   links) or *undecided*;
+2. undecided blocks take the label of the nearest decided neighbour; between two different neighbours the nearer one
+   counts, and text on a tie; headings follow the block below them. Where nothing is decided, all is text.
 
 Clean text keeps headings as ``# title``, lists as ``- item`` and ``1. item``, code blocks between fences, tables as
 rows of ``a | b`` and formulas between dollars; emphasis, tags, templates and link targets go, link texts stay,
@@ -18,7 +22,7 @@ rows without key are left out; repeated deliveries of a key count once (the smal
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from html.entities import html5
 
@@ -36,76 +40,6 @@ _TAGS = (
     "tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr"
 )
 _TAG = r"</?(?:" + "|".join(sorted(_TAGS.split(), key=len, reverse=True)) + r")(?:\s[^<>]*)?/?>"
-_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,30}));")
-_HTML = re.compile(_TAG + r"|<!--", re.I)
-_MAGIC = re.compile(r"__[A-Z]{3,}__")
-_MARKDOWN = (
-    ("#", re.compile(r"^[ ]{0,3}#{1,6}[ \t]+\S", re.M)),
-    ("==", re.compile(r"^[ ]{0,3}[^\s=|>#][^\n]*\n[ ]{0,3}={3,}[ \t]*$", re.M)),
-    ("---", re.compile(r"^[ ]{0,3}[^\s|>#-][^\n]*\n[ ]{0,3}-{3,}[ \t]*$|(?:\A|\n)[ \t]*\n?[ ]{0,3}-{3,}[ \t]*(?:\n|\Z)", re.M)),
-    ("***", re.compile(r"^[ ]{0,3}(?:\*[ ]?){3,}$", re.M)),
-    ("```", re.compile(r"^[ ]{0,3}```", re.M)),
-    ("~~~", re.compile(r"^[ ]{0,3}~~~", re.M)),
-    (">", re.compile(r"^[ ]{0,3}>[ \t]?\S", re.M)),
-    ("](", re.compile(r"\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)")),
-    ("**", re.compile(r"\*\*(?=\S)[^*\n]+?(?<=\S)\*\*")),
-    ("`", re.compile(r"(?<!`)`[^`\n]+`(?!`)")),
-    ("~~", re.compile(r"~~(?=\S)[^~\n]+?(?<=\S)~~")),
-    ("_", re.compile(r"(?<![\w\\$])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w$])|(?<![\w\\])__(?=[^\s_])(?![A-Z]{3,}__)[^\n]+?(?<=[^\s_])__(?!\w)")),
-    ("*", re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])")),
-    ("[^", re.compile(r"\[\^[\w-]+\]")),
-    ("]:", re.compile(r"^[ ]{0,3}\[[^\]\n]+\]:[ \t]+\S", re.M)),
-    ("|", re.compile(r"^[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$", re.M)),
-    ("- ", re.compile(r"^[ \t]*-[ ]+\S", re.M)),
-    ("* ", re.compile(r"^[ \t]*\*[ ]+\S", re.M)),
-    ("+ ", re.compile(r"^[ ]{0,3}\+[ ]+\S[^\n]*\n[ ]{0,3}\+[ ]+\S", re.M)),
-    (". ", re.compile(r"^[ ]{0,3}\d{1,3}\.[ ]+\S[^\n]*\n[ ]{0,3}\d{1,3}\.[ ]+\S", re.M)),
-)
-_WIKI = (
-    ("==", re.compile(r"^(={2,6})[ \t]*[^=\s][^=\n]*?[ \t]*\1[ \t]*$", re.M)),
-    ("''", re.compile(r"(?<!')'{2,3}(?=[^\s'])[^'\n]+?(?<=[^\s'])'{2,3}(?!')")),
-    ("[[", re.compile(r"\[\[[^\[\]\n]*[^\W\d][^\[\]\n]*\]\]")),
-    ("{{", re.compile(r"\{\{[^{}\n]*[^\W\d][^{}\n]*\}\}")),
-    ("{|", re.compile(r"^\{\|", re.M)),
-    ("|}", re.compile(r"^\|\}[ \t]*$", re.M)),
-    ("|-", re.compile(r"^\|-[ \t]*$", re.M)),
-    ("!!", re.compile(r"^![^\n]*!!", re.M)),
-    ("||", re.compile(r"^\|[^|\n][^\n]*\|\|[^\n]*$", re.M)),
-    ("__", _MAGIC),
-    ("[http", re.compile(r"\[https?://[^\s\]]+[ ][^\]\n]+\]")),
-)
-_LATEX = (
-    ("\\", re.compile(r"(?<![\w:\\])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{|(?<![\w:\\])\\(?:item|maketitle|noindent|newpage|tableofcontents|label|ldots|dots|par)\b")),
-    ("\\", re.compile(r"\\(?:frac|sum|prod|int|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|theta|pi|omega|leq?|geq?|neq?|cdot|times|cap|cup|in|infty|sqrt|log|exp|max|min|to|approx|ldots|quad)(?![A-Za-z])")),
-    ("\\", re.compile(r"\\\([^\n]+?\\\)|\\\[[^\n]+?\\\]|[ \t]\\\\[ \t]*$|\\[%&](?=\s|$)", re.M)),
-    ("$$", re.compile(r"\$\$[^$]+\$\$")),
-    ("$", re.compile(r"(?<![\\$\w])\$(?![\s\d]*[\d.,]*\s)(?=[^$\n]*[\\^_={}+<>])[^\s$][^$\n]*?(?<!\s)\$(?![\d$])|(?<![\\$\w])\$[A-Za-z]\$")),
-    ("~\\", re.compile(r"~\\(?:ref|cite|eqref)\b")),
-)
-
-
-def _has_entity(text: str) -> bool:
-    return any(m.group(1) is None or m.group(1) + ";" in html5 for m in _ENTITY.finditer(text))
-
-
-def families(text: str | None) -> list[str]:
-    """Markup families of which the text holds at least one construct."""
-    if not text:
-        return []
-    out = []
-    if ("<" in text and _HTML.search(text)) or ("&" in text and _has_entity(text)):
-        out.append("html")
-    if any(sign in text and p.search(text) for sign, p in _MARKDOWN):
-        out.append("markdown")
-    if any(sign in text and p.search(text) for sign, p in _WIKI):
-        out.append("wiki")
-    if any(sign in text and p.search(text) for sign, p in _LATEX):
-        out.append("latex")
-    return out
-
-
-# --- conversion ---------------------------------------------------------------------------------------------------
-
 #: Frequent function words of the languages in view.
 STOP_WORDS = frozenset(
     "the a an of and or to in on for with as by at from is are was were be been it its this that these those which who not no but if while "
@@ -115,194 +49,371 @@ STOP_WORDS = frozenset(
     "o os as um uma e do da dos das no na nos nas para com por em é são não que cada sem "
     "и в на с по не что как для из от за к у о без или это каждую все".split()
 )
-_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)")
+
+# --- inside a line --------------------------------------------------------------------------------------------------
+
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,30}));")
+_ANY_TAG = re.compile(_TAG, re.I)
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_SCRIPT = re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.S | re.I)
+_CODE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
+_FORMULA = re.compile(
+    r"\$\$[^$]+\$\$|(?<![\\$\w])\$(?![\s\d]*[\d.,]*\s)(?=[^$\n]*[\\^_={}+<>])[^\s$][^$\n]*?(?<!\s)\$(?![\d$])|(?<![\\$\w])\$[A-Za-z]\$|\\\([^\n]+?\\\)|\\\[[^\n]+?\\\]"
+)
+#: Commands and symbols that stand for LaTeX wherever they stand; the known ones are converted below.
+_COMMAND = re.compile(
+    r"(?<![\w:\\])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{|(?<![\w:\\])\\(?:item|maketitle|noindent|newpage|tableofcontents|label|ldots|dots|par)\b"
+    r"|\\(?:frac|sum|prod|int|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|theta|pi|omega|leq?|geq?|neq?|cdot|times|cap|cup|in|infty|sqrt|log|exp|max|min|to|approx|ldots|quad)(?![A-Za-z])"
+    r"|[ \t]\\\\[ \t]*$|\\[%&](?=\s|$)|~\\(?:ref|cite|eqref)\b",
+    re.M,
+)
+_LINKS = (
+    ("html", "<", re.compile(r"<a\b[^<>]*>([^<>]*)</a\s*>", re.I)),
+    ("wiki", "[[", re.compile(r"\[\[(?![Cc]ategory:|[Ff]ile:|[Ii]mage:)(?=[^\[\]\n]*[^\W\d])(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]")),
+    ("wiki", "[http", re.compile(r"\[https?://[^\s\]]+[ ]([^\]\n]+)\]")),
+    ("markdown", "](", re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)")),
+    ("latex", "\\href", re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}")),
+    ("latex", "\\url", re.compile(r"\\url\{([^{}]*)\}")),
+)
+#: What stands inside a line: family (none: escapes), a sign to look for first, pattern, what stays.
 _INLINE = (
-    ('<!--', re.compile(r"<!--.*?-->", re.S), ""),
-    ('<', re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.S | re.I), ""),
-    ('{{', re.compile(r"\{\{[^{}]*\}\}"), ""),
-    ('[[', re.compile(r"\[\[(?:[Cc]ategory|[Ff]ile|[Ii]mage):[^\[\]]*\]\]"), ""),
-    ('[[', re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), r"\1"),
-    ('[http', re.compile(r"\[https?://[^\s\]]+[ ]([^\]\n]+)\]"), r"\1"),
-    ('__', _MAGIC, ""),
-    (']', _LINK, r"\1"),
-    ('[^', re.compile(r"\[\^[\w-]+\](?!:)"), ""),
-    ("''", re.compile(r"(?<!')'{2,5}(?=[^\s'])([^'\n]+?)'{2,5}(?!')"), r"\1"),
-    ('**', re.compile(r"\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*"), r"\1"),
-    ('*', re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
-    ('_', re.compile(r"(?<![\w\\$])_(?=[^\s_])([^_\n]*?)(?<=[^\s_])_(?![\w$])"), r"\1"),
-    ('~~', re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~"), r"\1"),
-    ('`', re.compile(r"(?<!`)`([^`\n]+)`(?!`)"), r"\1"),
-    ('\\', re.compile(r"~?\\(?:ref|cite|eqref|label)\{[^{}]*\}"), ""),
-    ('\\footnote', re.compile(r"\\footnote\{([^{}]*)\}"), r" (\1)"),
-    ('\\', re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc|mbox|text)\{([^{}]*)\}"), r"\1"),
-    ('\\\\', re.compile(r"[ \t]*\\\\[ \t]*$", re.M), ""),
-    ('\\', re.compile(r"\\([%&_#{}$])"), r"\1"),
+    ("html", "<!--", _COMMENT, ""),
+    ("html", "<", _SCRIPT, ""),
+    ("wiki", "{{", re.compile(r"\{\{[^{}]*[^\W\d][^{}]*\}\}"), ""),
+    ("wiki", "[[", re.compile(r"\[\[(?:[Cc]ategory|[Ff]ile|[Ii]mage):[^\[\]]*\]\]"), ""),
+    ("wiki", "__", re.compile(r"__[A-Z]{3,}__"), ""),
+    ("markdown", "[^", re.compile(r"\[\^[\w-]+\]"), ""),
+    ("wiki", "''", re.compile(r"(?<!')'{2,5}(?=[^\s'])([^'\n]+?)(?<=[^\s'])'{2,5}(?!')"), r"\1"),
+    ("markdown", "**", re.compile(r"\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*"), r"\1"),
+    ("markdown", "*", re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
+    ("markdown", "__", re.compile(r"(?<![\w\\])__(?=[^\s_])([^\n]+?)(?<=[^\s_])__(?!\w)"), r"\1"),
+    ("markdown", "_", re.compile(r"(?<![\w\\$])_(?=[^\s_])([^_\n]*?)(?<=[^\s_])_(?![\w$])"), r"\1"),
+    ("markdown", "~~", re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~"), r"\1"),
+    ("latex", "\\", re.compile(r"~?\\(?:ref|cite|eqref|label)\{[^{}]*\}"), ""),
+    ("latex", "\\footnote", re.compile(r"\\footnote\{([^{}]*)\}"), r" (\1)"),
+    ("latex", "\\", re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc|mbox|text)\{([^{}]*)\}"), r"\1"),
+    ("latex", "\\\\", re.compile(r"[ \t]+\\\\[ \t]*$", re.M), ""),
+    (None, "\\", re.compile(r"\\([%&_#{}$])"), r"\1"),
 )
-_BR = re.compile(r"<br\s*/?>|</p\s*>|</div\s*>|</tr\s*>|</h[1-6]\s*>|</li\s*>|</ul\s*>|</ol\s*>|</table\s*>", re.I)
+_SPECIAL = re.compile(r"[\[<&*_~`{\\$]|''")
+
+# --- lines ----------------------------------------------------------------------------------------------------------
+
+#: Stand at the start of a line made from a tag or command, and between its cells.
+_MADE, _SPLIT = "\x01", "\x02"
+_BREAK = re.compile(r"<br\s*/?>|</?(?:p|div|tr|ul|ol|table)\b[^<>]*>|</(?:h[1-6]|li)\s*>", re.I)
 _OPEN = re.compile(r"<h([1-6])\b[^<>]*>", re.I)
 _ITEM = re.compile(r"<li\b[^<>]*>", re.I)
 _CELL = re.compile(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", re.I)
 _PRE = re.compile(r"<pre\b[^<>]*>(.*?)</pre\s*>", re.S | re.I)
-_ANY_TAG = re.compile(_TAG, re.I)
 _MATH_BLOCK = re.compile(r"\\begin\{(equation\*?|align\*?|displaymath|math)\}(.*?)\\end\{\1\}", re.S)
 _LIST_ENV = re.compile(r"^[ \t]*\\(?:begin|end)\{(?:itemize|enumerate|description|document|center|quote)\}[ \t]*$", re.M)
-_FORMULA = re.compile(r"\$\$[^$]+\$\$|(?<![\\$\w])\$(?=[^$\n]*[\\^_={}+<>])[^\s$][^$\n]*?(?<!\s)\$(?![\d$])")
-_WORD = re.compile(r"[^\W\d_]+")
-_SECTION = re.compile(r"^[ \t]*\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}[ \t]*$")
+_SECTION = re.compile(r"[ \t]*\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}[ \t]*$")
 _DEPTH = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
-_RULE = re.compile(r"[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$")
-
-
+_FENCE = re.compile(r"[ ]{0,3}(```+|~~~+)")
+_HEAD = re.compile(r"[ ]{0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
+_WIKI_HEAD = re.compile(r"(={2,6})[ \t]*([^=\s][^=]*?)[ \t]*\1[ \t]*$")
+_UNDER = re.compile(r"[ ]{0,3}(={3,}|-{3,})[ \t]*$")
+_OTHER_RULE = re.compile(r"[ ]{0,3}(?:_{3,}|(?:\*[ ]?){3,})[ \t]*$")
+_TABLE_RULE = re.compile(r"[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$")
+_BULLET = re.compile(r"([ \t]*)(?:([-*+•])|(\d+)[.)]|\\item(?![A-Za-z]))[ \t]+(?:\[[ xX]\][ \t]+)?(\S.*)?$")
+_NOTE = re.compile(r"[ ]{0,3}\[\^?[^\]\n]+\]:[ \t]+(.*)")
+_QUOTE = re.compile(r"[ ]{0,3}>[ \t]?(.*)")
+#: Lists of these marks show themselves by two items in a row, one may be a figure or a sign.
+_PAIRED = {"+": re.compile(r"[ ]{0,3}\+[ ]+\S"), ".": re.compile(r"[ ]{0,3}\d{1,3}\.[ ]+\S")}
+
+#: Thresholds of the first pass: characters, share of links, shares of stop words.
+SHORT, LONG, LINKY, STOP_LOW, STOP_HIGH = 60, 200, 0.6, 0.04, 0.12
+_WORD = re.compile(r"[^\W\d_]+")
 _WIDE = re.compile("[぀-鿿]")
 
 
 class Block:
-    __slots__ = ("kind", "label", "links", "raw", "text")
-
-    def __init__(self, kind: str, text: str, raw: str):
-        self.kind, self.text, self.raw, self.label, self.links = kind, text, raw, "", 0
-
-
-def _inline(s: str, kept: list[str]) -> str:
-    """Inline markup removed; formulas are put aside first."""
-
-    def aside(m: re.Match) -> str:
-        kept.append(m.group())
-        return f"\x00{len(kept) - 1}\x00"
-
-    if "$" in s:
-        s = _FORMULA.sub(aside, s)
-    for sign, p, to in _INLINE:
-        if sign in s:
-            s = p.sub(to, s)
-    if "<" in s:
-        s = _ANY_TAG.sub("", s)
-    if "&" in s:
-        s = _ANY_TAG.sub("", unescape(s))
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], s) if "\x00" in s else s
-
-
-def _unfold(text: str) -> str:
-    """HTML and LaTeX blocks rewritten as lines, so that one line grammar is enough."""
-    if "<" in text:
-        text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
-        text = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", "", text, flags=re.S | re.I)
-        text = _PRE.sub(lambda m: "\n```\n" + unescape(_ANY_TAG.sub("", m.group(1))).strip("\n") + "\n```\n", text)
-        text = _CELL.sub(" | ", text)
-        text = _OPEN.sub(lambda m: "\n\n" + "#" * int(m.group(1)) + " ", text)
-        text = _ITEM.sub("\n- ", text)
-        text = _BR.sub("\n", text)
-    if "\\begin" in text:
-        text = _MATH_BLOCK.sub(lambda m: "\n\n$$" + " ".join(m.group(2).split()) + "$$\n\n", text)
-        text = _LIST_ENV.sub("", text)
-    return text
-
+    """One block: kind, clean text, length of its links, label."""
+
+    __slots__ = ("kind", "label", "links", "text")
+
+    def __init__(self, kind: str, text: str, links: int = 0):
+        self.kind, self.text, self.links, self.label = kind, text, links, ""
+
+
+class Parse:
+    """One pass over a text: its blocks, and the families of the constructs met on the way."""
+
+    def __init__(self, text: str):
+        self.families: set[str] = set()
+        self.blocks: list[Block] = []
+        self.linked = 0
+        self.para: list[str] = []
+        if "\x00" in text or _MADE in text or _SPLIT in text:
+            text = re.sub("[\x00-\x02]", " ", text)
+        lines = self._unfold(text).split("\n")
+        self._read(lines)
+
+    # inside a line
+
+    def _sub(self, family: str | None, pattern: re.Pattern, to: str | Callable, s: str) -> str:
+        s, n = pattern.subn(to, s)
+        if n and family:
+            self.families.add(family)
+        return s
+
+    def _linked(self, m: re.Match) -> str:
+        """The text of a link; one as long as a sentence is prose and does not count for the link density."""
+        shown = m.group(1)
+        if len(shown) < (SHORT // 2 if _WIDE.search(shown) else SHORT):
+            self.linked += len(shown)
+        return shown
+
+    def _entity(self, m: re.Match) -> str:
+        if m.group(1) is not None and m.group(1) + ";" not in html5:
+            return m.group()
+        self.families.add("html")
+        return unescape(m.group())
+
+    def inline(self, s: str) -> str:
+        """A line, or the lines of a paragraph, without markup; code and formulas are put aside first."""
+        if not _SPECIAL.search(s):
+            return s
+        kept: list[str] = []
+
+        def aside(m: re.Match) -> str:
+            kept.append(m.group(m.lastindex or 0))
+            return f"\x00{len(kept) - 1}\x00"
+
+        if "`" in s:
+            self._shown(s)
+            s = self._sub("markdown", _CODE, aside, s)
+        if "$" in s or "\\" in s:
+            s = self._sub("latex", _FORMULA, aside, s)
+            if "\\" in s and _COMMAND.search(s):
+                self.families.add("latex")
+        for family, sign, pattern in _LINKS:
+            if sign in s:
+                s = self._sub(family, pattern, self._linked, s)
+        for family, sign, pattern, to in _INLINE:
+            if sign in s:
+                s = self._sub(family, pattern, to, s)
+        if "<" in s:
+            s = self._sub("html", _ANY_TAG, "", s)
+            if "<!--" in s:
+                self.families.add("html")
+        if "&" in s:
+            s = _ENTITY.sub(self._entity, s)
+            if "<" in s:
+                # tags that were escaped once more
+                s = _ANY_TAG.sub("", s)
+        while "\x00" in s:
+            s = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], s)
+        return s
+
+    def _shown(self, s: str) -> None:
+        """Constructs inside code are kept as they are, and count."""
+        inside = "\n".join(m.group(1) for m in _CODE.finditer(s))
+        if _SPECIAL.search(inside):
+            linked = self.linked
+            self.inline(inside.replace("`", " "))
+            self.linked = linked
+
+    # lines
+
+    def _unfold(self, text: str) -> str:
+        """Block tags and environments as lines, so that one line grammar is enough."""
+        if "<" in text:
+            sub = lambda p, to, t: self._sub("html", p, to, t)
+            text = sub(_SCRIPT, "", sub(_COMMENT, "", text))
+            text = sub(_PRE, lambda m: f"\n{_MADE}```\n" + unescape(_ANY_TAG.sub("", m.group(1))).strip("\n") + "\n```\n", text)
+            text = sub(_CELL, _SPLIT, text)
+            text = sub(_OPEN, lambda m: f"\n\n{_MADE}" + "#" * int(m.group(1)) + " ", text)
+            text = sub(_BREAK, "\n", sub(_ITEM, f"\n{_MADE}- ", text))
+        if "\\begin" in text:
+            text = self._sub("latex", _MATH_BLOCK, lambda m: "\n\n$$" + " ".join(m.group(2).split()) + "$$\n\n", text)
+            text = self._sub("latex", _LIST_ENV, "", text)
+        return text
 
-def blocks(text: str) -> list[Block]:
-    out: list[Block] = []
-    lines = _unfold(text).split("\n")
-    i, para, kept = 0, [], []
-
-    def flush() -> None:
-        if para:
-            raw = "\n".join(para)
-            out.append(Block("para", _inline(raw, kept).strip(), raw))
-            para.clear()
-
-    def add(kind: str, clean: str, raw: str) -> None:
-        flush()
-        out.append(Block(kind, clean, raw))
-
-    while i < len(lines):
-        line = lines[i]
-        s = line.strip()
-        if not s:
-            flush()
-        elif (para or i + 1 == len(lines) or not lines[i + 1].lstrip()[:1] in ("=", "-")) and s[0].isalpha() and "|" not in s:
-            para.append(line)
-        elif m := re.match(r"[ ]{0,3}(```+|~~~+)", line):
-            j = i + 1
-            while j < len(lines) and not lines[j].strip().startswith(m.group(1)):
+    def _add(self, kind: str, text: str, joins: bool = False) -> None:
+        """A block, or more lines of the last one."""
+        if self.para:
+            whole, self.para = "\n".join(self.para), []
+            before, self.linked = self.linked, 0
+            self._add("para", self.inline(whole).strip())
+            self.linked = before
+        links, self.linked = self.linked, 0
+        if joins and self.blocks and self.blocks[-1].kind == kind:
+            last = self.blocks[-1]
+            last.text, last.links = f"{last.text}\n{text}", last.links + links
+        elif text.strip():
+            self.blocks.append(Block(kind, text, links))
+
+    def _flush(self) -> None:
+        self._add("none", "")
+
+    def _cells(self, cells: list[str]) -> str:
+        return " | ".join(self.inline(c.strip()) for c in cells)
+
+    def _read(self, lines: list[str]) -> None:
+        i, last = 0, ""
+        while i < len(lines):
+            line = lines[i]
+            i += 1
+            s = line.strip()
+            if not s:
+                self._flush()
+            elif s[0].isalpha() and "|" not in s and _SPLIT not in s:
+                self.para.append(line)
+            else:
+                i = self._structure(lines, i, line, s, last)
+            last = line
+        self._flush()
+
+    def _structure(self, lines: list[str], i: int, line: str, s: str, last: str) -> int:
+        """A line that may be more than prose; ``i`` is the number of the next line, returned after what was consumed."""
+        made = s[0] == _MADE
+        if made:
+            line = s = s[1:]
+        family = self.families.add if not made else lambda f: None
+        if m := _FENCE.match(line):
+            family("markdown")
+            j = i
+            while j < len(lines) and not lines[j].strip().startswith(m.group(1)[:3]):
                 j += 1
-            add("code", "```\n" + "\n".join(lines[i + 1 : j]) + "\n```", "")
-            i = j
-        elif m := re.match(r"[ ]{0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", line):
-            add("head", m.group(1) + " " + _inline(m.group(2), kept), line)
-        elif m := re.match(r"(={2,6})[ \t]*([^=\s][^=]*?)[ \t]*\1[ \t]*$", line):
-            add("head", "#" * len(m.group(1)) + " " + _inline(m.group(2), kept), line)
+            code = lines[i:j]
+            for x in code:
+                self._code_line(x)
+            self._add("code", "```\n" + "\n".join(code) + "\n```")
+            return j + 1
+        if m := _HEAD.match(line):
+            family("markdown")
+            self._add("head", m.group(1) + " " + self._apart(m.group(2)))
+        elif m := _WIKI_HEAD.match(line):
+            family("wiki")
+            self._add("head", "#" * len(m.group(1)) + " " + self._apart(m.group(2)))
         elif m := _SECTION.match(line):
-            add("head", "#" * _DEPTH[m.group(1)] + " " + _inline(m.group(2), kept), line)
-        elif not para and i + 1 < len(lines) and re.fullmatch(r"[ ]{0,3}(?:={3,}|-{3,})[ \t]*", lines[i + 1]) and not re.match(r"[|>-]", s):
-            add("head", ("# " if "=" in lines[i + 1] else "## ") + _inline(s, kept), line)
-            i += 1
-        elif re.fullmatch(r"[ ]{0,3}(?:-{3,}|_{3,}|(?:\*[ ]?){3,}|={3,})[ \t]*", line):
-            flush()
+            family("latex")
+            self._add("head", "#" * _DEPTH[m.group(1)] + " " + self._apart(m.group(2)))
+        elif m := _UNDER.match(line):
+            self._underline(m.group(1)[0], last)
+        elif _OTHER_RULE.match(line):
+            family("markdown")
+            self._flush()
+        elif s == "$$" and (j := next((k for k in range(i, len(lines)) if lines[k].strip() == "$$"), 0)):
+            family("latex")
+            self._add("math", "$$" + " ".join(" ".join(lines[i:j]).split()) + "$$")
+            return j + 1
         elif s.startswith("$$") and s.endswith("$$") and len(s) > 4:
-            add("math", s, "")
+            family("latex")
+            self._add("math", s)
         elif line.startswith("{|"):
-            j = i + 1
-            rows: list[list[str]] = []
-            while j < len(lines) and not lines[j].startswith("|}"):
-                row = lines[j]
-                if row.startswith("|-") or not row.strip():
-                    pass
-                elif row[0] in "|!":
-                    rows.append([_inline(c.strip(), kept) for c in re.split(r"\|\||!!", row[1:])])
-                j += 1
-            add("table", "\n".join(" | ".join(r) for r in rows), "\n".join(lines[i : j + 1]))
-            i = j
-        elif s.startswith("|") or (" | " in s and not para and (s.count(" | ") > 1 or "<" in text)):
-            if re.match(r"\|[-}]\s*$", s):
-                flush()
-            elif not _RULE.match(line):
-                cells = [_inline(c.strip(), kept) for c in re.split(r"\|\|?", s.strip("|"))]
-                flush()
-                if out and out[-1].kind == "table":
-                    out[-1].text += "\n" + " | ".join(cells)
-                else:
-                    out.append(Block("table", " | ".join(cells), line))
-        elif m := re.match(r"([ \t]*)(?:([-*+•])|(\d+[.)])|\\item(?![A-Za-z]))[ \t]+(?:\[[ xX]\][ \t]+)?(.*)", line):
-            mark = f"{m.group(3)[:-1]}." if m.group(3) else "-"
-            clean = m.group(1).replace("\t", "    ") + mark + " " + _inline(m.group(4), kept)
-            flush()
-            if out and out[-1].kind == "list":
-                out[-1].text += "\n" + clean
-                out[-1].raw += "\n" + line
-            else:
-                out.append(Block("list", clean, line))
-        elif m := re.match(r"[ ]{0,3}\[\^?[^\]]+\]:[ \t]+(.*)", line):
-            add("note", _inline(m.group(1), kept), line)
-        elif m := re.match(r"[ ]{0,3}>[ \t]?(.*)", line):
-            para.append(m.group(1))
+            return self._wiki_table(lines, i)
+        elif s[0] in "|!" or _SPLIT in s or (" | " in s and not self.para and s.count(" | ") > 1):
+            self._row(line, s)
+        elif m := _BULLET.match(line):
+            self._item(m, line, last, made)
+        elif m := _NOTE.match(line):
+            family("markdown")
+            self._add("note", self._apart(m.group(1)))
+        elif m := _QUOTE.match(line):
+            if m.group(1).strip():
+                family("markdown")
+            self.para.append(m.group(1))
+        else:
+            self.para.append(line)
+        return i
+
+    def _apart(self, s: str) -> str:
+        """The clean text of a line that ends the paragraph above it."""
+        self._flush()
+        return self.inline(s)
+
+    def _underline(self, sign: str, last: str) -> None:
+        """A line of equal signs or dashes: the line above is a heading, or it is a rule."""
+        above = last.strip()
+        titled = bool(above) and len(last) - len(last.lstrip(" ")) <= 3 and above[0] not in ("=|>#" if sign == "=" else "|>#-")
+        if titled or sign == "-" and not above:
+            self.families.add("markdown")
+        if titled and self.para:
+            title = self.para.pop()
+            self._add("head", ("# " if sign == "=" else "## ") + self._apart(title.strip()))
+        else:
+            self._flush()
+
+    def _item(self, m: re.Match, line: str, last: str, made: bool) -> None:
+        sign, number = m.group(2), m.group(3)
+        if not made and m.group(4):
+            pair = _PAIRED.get("." if number else sign or "")
+            if sign in ("-", "*") or pair and pair.match(line) and pair.match(last):
+                self.families.add("markdown")
+            elif not sign and not number:
+                self.families.add("latex")
+        self._flush()
+        mark = f"{number}." if number else "-"
+        self._add("list", m.group(1).replace("\t", "    ") + mark + " " + self.inline(m.group(4) or ""), joins=True)
+
+    def _row(self, line: str, s: str) -> None:
+        if re.match(r"\|[-}]\s*$", s):
+            self.families.add("wiki")
+            self._flush()
+        elif _TABLE_RULE.match(line):
+            if "|" in s.strip("|"):
+                self.families.add("markdown")
+        elif s[0] == "!" and "!!" not in s:
+            self.para.append(line)
         else:
-            para.append(line)
-        i += 1
-    flush()
-    return out
+            if s[0] == "!" or re.match(r"\|[^|\n][^\n]*\|\|", line):
+                self.families.add("wiki")
+            self._flush()
+            self._add("table", self._cells(re.split(r"!!" if s[0] == "!" else f"{_SPLIT}|\\|\\|?", s.strip("|!"))), joins=True)
+
+    def _wiki_table(self, lines: list[str], i: int) -> int:
+        self.families.add("wiki")
+        self._flush()
+        rows = []
+        while i < len(lines) and not lines[i].startswith("|}"):
+            row = lines[i]
+            if row[:1] in ("|", "!") and not row.startswith("|-"):
+                rows.append(self._cells(re.split(r"\|\||!!", row[1:])))
+            i += 1
+        self._add("table", "\n".join(rows))
+        return i + 1
+
+    def _code_line(self, x: str) -> None:
+        """Constructs on a line of code: it is kept as it is."""
+        if x.strip() and not x.strip()[0].isalpha() or _SPECIAL.search(x):
+            shown = Parse.__new__(Parse)
+            shown.families, shown.blocks, shown.linked, shown.para = self.families, [], 0, []
+            if not _FENCE.match(x):
+                shown._read([x])
+
+
+def families(text: str | None) -> list[str]:
+    """Markup families of which the text holds at least one construct."""
+    return _named(Parse(text)) if text else []
+
 
+def _named(p: Parse) -> list[str]:
+    return [f for f in FAMILIES if f in p.families]
 
-#: Thresholds of the first pass.
-SHORT, LINKY, STOP_LOW, STOP_HIGH = 60, 0.6, 0.04, 0.12
+
+def blocks(text: str) -> list[Block]:
+    """The labelled blocks of a text."""
+    parts = Parse(text).blocks
+    label(parts)
+    return parts
 
 
 def _judge(b: Block) -> str:
     if b.kind in ("code", "math", "table"):
         return "text"
     body = b.text.strip()
-    if not body:
-        return "residue"
-    if len(body) > SHORT and "](" in b.raw and sum(len(m.group(1)) for m in _LINK.finditer(b.raw)) > LINKY * len(body):
+    if len(body) > SHORT and b.links > LINKY * len(body):
         return "residue"
-    words = _WORD.findall(body.lower()) if len(body) >= SHORT else ()
-    if not words and not body.isascii() and _WIDE.search(body):
-        return "text" if len(body) >= SHORT // 4 else "undecided"
-    if not words:
+    if b.kind == "head":
         return "undecided"
     if not body.isascii() and _WIDE.search(body):
         return "text" if len(body) >= SHORT // 4 else "undecided"
-    if len(body) < SHORT or b.kind == "head":
-        return "undecided"
-    return "text" if sum(map(STOP_WORDS.__contains__, words)) >= STOP_LOW * len(words) else "undecided"
+    words = _WORD.findall(body.lower()) if len(body) >= SHORT else ()
+    density = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+    return "text" if density >= STOP_HIGH or density >= STOP_LOW and len(body) >= LONG else "undecided"
 
 
 def label(parts: list[Block]) -> None:
@@ -310,34 +421,44 @@ def label(parts: list[Block]) -> None:
     for b in parts:
         b.label = _judge(b)
     decided = [i for i, b in enumerate(parts) if b.label != "undecided"]
+    sure = [b.label for b in parts]
     at = 0
     for i, b in enumerate(parts):
-        if b.label != "undecided":
+        if sure[i] != "undecided":
             continue
         while at < len(decided) and decided[at] < i:
             at += 1
         after = decided[at] if at < len(decided) else None
         before = decided[at - 1] if at else None
-        if b.kind == "head":
-            pick = after if after is not None else before
-        elif before is None or after is None:
+        if before is None or after is None:
             pick = after if before is None else before
+        elif b.kind == "head":
+            pick = after
         elif i - before != after - i:
             pick = before if i - before < after - i else after
         else:
-            pick = before if parts[before].label == "text" else after
-        b.label = "text" if pick is None or b.text.strip() and b.kind in ("head", "list") else parts[pick].label + "*"
-    for b in parts:
-        b.label = b.label.rstrip("*")
+            pick = before if sure[before] == "text" else after
+        b.label = "text" if pick is None else sure[pick]
 
 
 def clean(text: str | None) -> str | None:
     """Clean text with its structure."""
     if not text:
         return text
-    parts = blocks(text)
-    label(parts)
-    return "\n\n".join(b.text.rstrip() for b in parts if b.label == "text" and b.text.strip())
+    return _joined(blocks(text))
+
+
+def _joined(parts: list[Block]) -> str:
+    return "\n\n".join(b.text.rstrip() for b in parts if b.label == "text")
+
+
+def clean_and_families(text: str | None) -> tuple[str | None, list[str]]:
+    """Both results of one pass."""
+    if not text:
+        return text, []
+    p = Parse(text)
+    label(p.blocks)
+    return _joined(p.blocks), _named(p)
 
 
 def clean_texts(df: DataFrame, table: str, key: str, text: str, diagram: Column | None = None) -> DataFrame:
@@ -351,8 +472,8 @@ def clean_texts(df: DataFrame, table: str, key: str, text: str, diagram: Column
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 texts, raw = part.column(1).to_pylist(), part.column(2).to_pylist()
-                found = [[] if d else families(t) for t, d in zip(texts, raw, strict=True)]
-                done = [t if d else clean(t) for t, d in zip(texts, raw, strict=True)]
+                both = [(t, []) if d else clean_and_families(t) for t, d in zip(texts, raw, strict=True)]
+                done, found = [x[0] for x in both], [x[1] for x in both]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string())), pa.array(done, pa.string())], names=["item_key", "families", "clean_text"])
 
     out = rows.mapInArrow(run, "item_key string, families array<string>, clean_text string")

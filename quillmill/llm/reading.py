@@ -80,10 +80,8 @@ def language(words: list[str]) -> str:
 
 def sentences(text: str) -> list[str]:
     """Sentences of the running prose."""
-    parts = markup.blocks(text)
-    markup.label(parts)
     out = []
-    for b in parts:
+    for b in markup.blocks(text):
         if b.kind == "para" and b.label == "text":
             out += [s for x in _END.split(" ".join(b.text.split())) if (s := x.strip())]
     return out

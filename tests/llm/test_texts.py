@@ -156,6 +156,36 @@ def test_short_blocks_follow_their_neighbours():
     assert "Home" not in out and "End" in out and "Link number" not in out
 
 
+TEXT = "The text of the page is long enough to be judged by its words and it says a lot of things that are of use to the reader."
+
+
+@pytest.mark.parametrize("link", ["[Link number {0}](p{0}.md)", '<a href="p{0}.html">Link number {0}</a>', "[[Page {0}|Link number {0}]]", "[https://x.y/{0} Link number {0}]", "\\href{{p{0}}}{{Link number {0}}}"])
+def test_link_density_of_all_families(link):
+    nav = " ".join(link.format(i) for i in range(20))
+    out = M.clean(f"{TEXT}\n\n{nav}\n\n{TEXT}")
+    assert out == f"{TEXT}\n\n{TEXT}"
+    # prose that is one link stays
+    assert M.clean(link.replace("Link number {0}", TEXT).format(1)) == TEXT
+
+
+def test_second_pass_labels_headings_and_lists():
+    nav = " ".join(f"[[Page {i}|Link number {i}]]" for i in range(20))
+    out = M.clean(f"# Title\n\n{TEXT}\n\n## Menu\n\n{nav}\n\n- Home\n- Up\n\n{nav}\n\n## Last\n\n{TEXT}")
+    assert out == f"# Title\n\n{TEXT}\n\n## Last\n\n{TEXT}"
+    # an empty block decides nothing
+    assert M.clean("# Title\n\n{{Infobox|a=1}}\n\nShort.") == "# Title\n\nShort."
+    assert M.clean("Few words\n\n- and a list") == "Few words\n\n- and a list"
+
+
+def test_families_come_from_what_is_consumed():
+    p = M.Parse("<h2>Sub</h2>\n<ul><li>item</li></ul><pre>x</pre><table><tr><td>a</td><td>b</td></tr></table>")
+    assert p.families == {"html"} and [b.kind for b in p.blocks] == ["head", "list", "code", "table"]
+    assert M.Parse("\\section{A}\n\\begin{itemize}\n\\item b\n\\end{itemize}").families == {"latex"}
+    assert M.Parse("```\n[[Page]] <b>\n```").families == {"markdown", "wiki", "html"}
+    assert M.Parse("a\x00b \x01 c \x02 d").families == set()
+    assert M.Parse("1. one\ntext\n1. May was warm\n+ 3 more").families == set() and M.Parse("1. one\n2. two").families == {"markdown"}
+
+
 def test_wide_script_late_in_a_block():
     bad = " ".join(f"[Link number {i}](p{i}.md)" for i in range(12))
     late = "Quillmill Parser Reader Indexer Linker " * 6 + "章节结构定期更新原始文本，并反复比较页面内容。" * 3
