@@ -1,21 +1,26 @@
 """Text that was decoded with the wrong character encoding: find the passages and restore them.
 
-For every pair (written in W, read in R) the garbled sequences of a repertoire of characters are computed once per
-worker and put into one multi-pattern automaton. Matches are anchors; what an anchor is worth depends on its context:
+Lines, then sentences, that are garbled as a whole are read again by all pairs of encodings (module ``readings``): a reading
+counts only if its bytes round-trip, it is plausible in one language and clearly better than all others and than leaving
+the line. What remains is matched by one multi-pattern automaton: for every pair (written in W, read in R) the garbled
+sequences of a repertoire of characters are computed once per worker. Matches are anchors; what an anchor is worth depends
+on its context:
 
 * UTF-8 read in a one-byte encoding gives sequences that correct text hardly holds; they count alone, unless they are
   made of letters that follow each other in the words of that script - then two in a row or a foreign neighbour count;
+  characters outside the repertoire are restored where their bytes follow such a match;
 * a letter written in one one-byte or GB encoding and read in another counts inside or at the edge of a Latin word,
   where it is no letter, a letter of another script, or a capital after small letters;
 * U+FFFD counts always: bytes were lost.
 
 Sequences of double-byte text overlap (three bytes of a Chinese character, two bytes of a GBK character), so passages
 around such anchors, and runs of one script that are no plausible words, are turned back into bytes and read again;
-the result counts only if it is plausible Russian or Chinese and the run was not. Only matched spans are replaced, in
-up to three rounds (text may have been misread twice); correct text in any script stays as it is.
+the result counts only if it reads better than the run did. Only matched spans are replaced, round after round (text may
+have been misread twice); correct text in any script stays as it is, and so does a passage without a clear reading, which
+is only reported.
 
-Defined results: null and empty texts are no case; invalid JSON in ``metadata`` is scanned as plain text; U+FFFD stays
-in the restored text because the byte is gone.
+Defined results: null and empty texts are no case; invalid JSON in ``metadata`` is scanned as plain text, in valid JSON
+only the strings of affected values change; U+FFFD stays in the restored text because the byte is gone.
 """
 
 from __future__ import annotations
@@ -31,21 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ONE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac_roman")
-DOUBLE = ("gb18030", "big5", "shift_jis", "euc_kr")
-LOST = "�"
-
+from quillmill.llm.readings import ONE_BYTE, improves, reread, table
 
-@lru_cache(None)
-def table(enc: str) -> str:
-    """The 256 characters of a one-byte encoding; undefined bytes become control characters, as browsers do."""
-    out = []
-    for b in range(256):
-        try:
-            out.append(bytes([b]).decode(enc))
-        except UnicodeDecodeError:
-            out.append(chr(b))
-    return "".join(out)
+DOUBLE = ("gb18030", "big5", "shift_jis", "euc_kr")
+LOST = "\ufffd"
+#: Rounds of restoring; twice misread text needs one for each misreading and one for what stands beside it.
+ROUNDS = 6
 
 
 @lru_cache(None)
@@ -77,6 +73,8 @@ def _misread(data: bytes, enc: str) -> str | None:
 _LATIN = [chr(c) for c in (*range(0xC0, 0x180), 0x1E9E) if chr(c).isalpha()]
 _SIGNS = [chr(c) for c in (*range(0x80, 0xC0), 0xD7, 0xF7, *range(0x2010, 0x2027), 0x2030, 0x2039, 0x203A, 0x2044, 0x20AC, 0x2116, 0x2122, 0x2212, 0x2260, 0x2264, 0x2265)]
 _CYRILLIC = [chr(c) for c in (*range(0x410, 0x450), 0x401, 0x451, 0x404, 0x406, 0x407, 0x454, 0x456, 0x457, 0x490, 0x491)]
+#: Restored from UTF-8 without losses only.
+_OTHER = [chr(c) for c in (*range(0x370, 0x3FF), *range(0x401, 0x460), *range(0x5D0, 0x5EB), *range(0x60C, 0x6D6), *range(0xE01, 0xE5C)) if chr(c).isprintable()]
 _WIDE = [chr(c) for c in (*range(0x3000, 0x3020), *range(0x3041, 0x30FF), *range(0xFF01, 0xFF5F), 0xFEFF, 0xFFFD)]
 
 
@@ -86,8 +84,8 @@ def _level_one() -> list[str]:
 
 
 COMMON_HAN = frozenset(_level_one())
+_HANGUL = [bytes([a, b]).decode("euc_kr") for a in range(0xB0, 0xC9) for b in range(0xA1, 0xFF)]
 _HAN_SIGNS = frozenset("，。；：！？、“”‘’（）《》—…·【】「」％")
-RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюя")
 _FREQUENT = frozenset("оеаинтсрвлкмдпу")
 #: One-byte writers of Latin letters and their readers.
 _LATIN_WRITERS = ("cp1252", "mac_roman", "cp437", "cp850", "gb18030")
@@ -114,12 +112,13 @@ def automaton() -> ahocorasick.Automaton:
         if g and g != c and not g.isascii():
             found.setdefault(g, {}).setdefault((kind, r), Hit(kind, w, r, c, len(g)))
 
+    whole = {*_OTHER, *_HANGUL} - {*_CYRILLIC}
     for r in ONE_BYTE:
         lost = undefined(r)
-        for c in (*_LATIN, *_SIGNS, *_CYRILLIC, *_WIDE, *COMMON_HAN):
+        for c in (*_LATIN, *_SIGNS, *_CYRILLIC, *_OTHER, *_WIDE, *COMMON_HAN, *_HANGUL):
             g = _misread(c.encode("utf-8"), r)
             add(g, "utf8", "utf-8", r, c)
-            if any(x in lost for x in g):
+            if c not in whole and any(x in lost for x in g):
                 add("".join(LOST if x in lost else x for x in g), "utf8", "utf-8", r, c)
             if r in ("cp1252", "latin-1", "cp1251") and len(g) < 4 and g.lower() != g and c not in COMMON_HAN and c not in _CYRILLIC:
                 add(g.lower(), "utf8", "utf-8", r, c)
@@ -204,11 +203,11 @@ def _encode(t: str, enc: str) -> bytes | None:
         return None
 
 
-def _decode(data: bytes, enc: str) -> str | None:
-    """Strict, but a broken character at the edges may be lost."""
-    for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+def _decode(data: bytes, enc: str, edges: bool) -> tuple[int, int, str] | None:
+    """(bytes left at the start, at the end, text between), strict; broken characters at the edges are left if allowed."""
+    for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)) if edges else ((0, 0),):
         try:
-            return data[a : len(data) - b].decode(enc)
+            return a, b, data[a : len(data) - b].decode(enc)
         except UnicodeDecodeError:
             continue
     return None
@@ -274,8 +273,15 @@ def _reread_run(run: str) -> str | None:
         for w in writers:
             if w == r:
                 continue
-            t = data.decode(w, "replace") if w in ONE_BYTE else _decode(data, w)
-            if not t or t == body:
+            if w in ONE_BYTE:
+                t = "".join(table(w)[x] for x in data)
+            else:
+                # one byte is one character here, so the edges stay as they are
+                part = _decode(data, w, r in ONE_BYTE)
+                if part is None or not part[2]:
+                    continue
+                t = body[: part[0]] + part[2] + body[len(body) - part[1] :]
+            if t == body or not improves(body, t):
                 continue
             if w in ONE_BYTE:
                 letters = sum(c.isalpha() for c in t)
@@ -312,6 +318,8 @@ def _utf8_counts(text: str, a: int, b: int, hit: Hit, chained: bool) -> bool:
             return chained or any("\x80" <= c <= "\x9f" for c in g) or not _latin(before)
         return True
     if r in ("cp1251", "koi8-r", "cp866"):
+        if "\u0e00" <= hit.char <= "\u0e7f":
+            return chained
         letters = all("Ѐ" <= c <= "ӿ" for c in g)
         if r == "cp866" and letters and len(g) == 3:
             return g.startswith("тА") or chained
@@ -333,7 +341,23 @@ def _utf8_counts(text: str, a: int, b: int, hit: Hit, chained: bool) -> bool:
     return True
 
 
+def _among_letters(text: str, a: int, b: int) -> bool:
+    """Whether a third of the word around a place at least are ASCII letters; other words are read again as a whole."""
+    x, y = text.rfind(" ", 0, a) + 1, text.find(" ", b)
+    word = text[x : y if y >= 0 else len(text)]
+    plain = sum(map(str.isalpha, filter(str.isascii, word)))
+    return 3 * plain >= plain + len(_NOT_ASCII.findall(word))
+
+
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+
+
 def _letter_counts(text: str, a: int, b: int, hit: Hit) -> bool:
+    """Whether a match of a one-byte or double-byte letter or sign counts by what stands around it."""
+    return _fits(text, a, b, hit) and (not hit.char.isalpha() or _WIDE_ANY.search(text[a:b]) is not None or _among_letters(text, a, b))
+
+
+def _fits(text: str, a: int, b: int, hit: Hit) -> bool:
     g, c = text[a:b], hit.char
     before, after = text[a - 1 : a], text[b : b + 1]
     if g.isspace():
@@ -390,28 +414,46 @@ def _letter_counts(text: str, a: int, b: int, hit: Hit) -> bool:
     return before.islower() and c.islower() and not g.isspace() and g not in "$£¥€§¶¢±√≈≤≥∞³²¹" and not after.isalnum()
 
 
+def _utf8_at(text: str, at: int, enc: str, step: int) -> tuple[int, int, str] | None:
+    """One UTF-8 character whose bytes were read as characters, from ``at`` on or up to ``at``."""
+    for n in (2, 3, 4):
+        a, b = (at, at + n) if step > 0 else (at - n, at)
+        if a < 0 or b > len(text):
+            return None
+        data = _encode(text[a:b], enc)
+        try:
+            t = data.decode("utf-8") if data else ""
+        except UnicodeDecodeError:
+            continue
+        if len(t) == 1 and t.isprintable():
+            return a, b, t
+    return None
+
+
+def _chained(text: str, found: list[tuple[int, int, str, bool]], enc: str) -> list[tuple[int, int, str, bool]]:
+    """Matches with the characters that follow or precede them directly in the same misreading."""
+    taken = sorted(found)
+    out = list(taken)
+    for i, (a, b, _, _) in enumerate(taken):
+        low = taken[i - 1][1] if i else 0
+        high = taken[i + 1][0] if i + 1 < len(taken) else len(text)
+        for step, at in ((1, b), (-1, a)):
+            while (m := _utf8_at(text, at, enc, step)) and m[0] >= max(low, out[-1][1] if step < 0 and out[-1][0] < a else 0) and m[1] <= high:
+                if any(m[0] < y and x < m[1] for x, y, _, _ in out[max(0, len(out) - 64) :]):
+                    break
+                out.append((*m, True))
+                at = m[1] if step > 0 else m[0]
+    return sorted(out)
+
+
 def _matches(text: str) -> list[tuple[int, int, str, bool]]:
-    """Counting matches (start, end, restored, from UTF-8), longest first, not overlapping.
+    """Counting matches (start, end, restored, from UTF-8) of a line, longest first, not overlapping.
 
-    Inside one line the reader whose matches cover most is taken for UTF-8 sequences, and a pair that has counted once
-    counts again for signs and letters of other scripts.
+    The reader whose matches cover most is taken for UTF-8 sequences, and a pair that has counted once counts again for
+    signs and letters of other scripts.
     """
     raw = [(e - len(g) + 1, e + 1, hits) for e, (g, hits) in automaton().iter(text)]
     raw.sort(key=lambda x: (x[0], x[0] - x[1]))
-    out: list[tuple[int, int, str, bool]] = []
-    i = 0
-    while i < len(raw):
-        end = text.find("\n", raw[i][0])
-        end = len(text) if end < 0 else end
-        j = i
-        while j < len(raw) and raw[j][0] < end:
-            j += 1
-        out += _line_matches(text, raw[i:j])
-        i = max(j, i + 1)
-    return out
-
-
-def _line_matches(text: str, raw: list[tuple[int, int, list[Hit]]]) -> list[tuple[int, int, str, bool]]:
     by: dict[str, list[tuple[int, int, Hit]]] = {}
     for a, b, hits in raw:
         for h in hits:
@@ -420,13 +462,14 @@ def _line_matches(text: str, raw: list[tuple[int, int, list[Hit]]]) -> list[tupl
                 if not mine or mine[-1][1] <= a:
                     mine.append((a, b, h))
     best: tuple[int, list[tuple[int, int, str, bool]]] = (0, [])
-    for mine in by.values():
+    reader = ""
+    for name, mine in by.items():
         starts, ends = {a for a, _, _ in mine}, {b for _, b, _ in mine}
         ok = [(a, b, h.char or text[a:b], True) for a, b, h in mine if _utf8_counts(text, a, b, h, b in starts or a in ends)]
         cover = sum(b - a for a, b, _, _ in ok)
         if cover > best[0]:
-            best = (cover, ok)
-    out = list(best[1])
+            best, reader = (cover, ok), name
+    out = _chained(text, best[1], reader)
     busy = [(a, b) for a, b, _, _ in out]
     free = [(a, b, h) for a, b, hits in raw for h in hits if h.kind != "utf8" and not any(a < y and x < b for x, y in busy)]
     pairs: dict[tuple[str, str], int] = {}
@@ -442,7 +485,7 @@ def _line_matches(text: str, raw: list[tuple[int, int, list[Hit]]]) -> list[tupl
         if h.kind == "mark":
             ok = a == 0
         else:
-            ok = _letter_counts(text, a, b, h) or (h.writer, h.reader) in pairs and not g.isspace() and (not _latin(g[0]) or h.char in "“”’–") and (g not in _TYPOGRAPHY or len(g) > 1) and not (g in _USUAL and not text[b : b + 1].isalpha())
+            ok = _letter_counts(text, a, b, h) or (h.writer, h.reader) in pairs and (not h.char.isalpha() or _WIDE_ANY.search(g) or _among_letters(text, a, b)) and not g.isspace() and (not _latin(g[0]) or h.char in "“”’–") and (g not in _TYPOGRAPHY or len(g) > 1) and not (g in _USUAL and not text[b : b + 1].isalpha())
         if ok:
             out.append((a, b, h.char or g, False))
             at = b
@@ -450,9 +493,10 @@ def _line_matches(text: str, raw: list[tuple[int, int, list[Hit]]]) -> list[tupl
 
 
 #: What cannot be misread: words of one script in natural case, Chinese of common characters, signs in their usual place.
-_UP, _LOW = "A-ZÀ-ÖØ-ÞŚŁŹŻĆŃČ", "a-zß-öø-ÿśłźżćńęąőűčřě"
+#: Letters that stand for those of other Latin alphabets (õ for ő, ð for ğ) and words in Cyrillic capitals are looked at closely.
+_UP, _LOW = "A-ZÀ-ÏÑ-ÔÖØ-ÚÜŚŁŹŻĆŃČ", "a-zß-ïñ-ôöø-úüÿśłźżćńęąőűčřě"
 _BENIGN = re.compile(
-    rf"(?<!\w)(?:[LlDdMmSsCcNnJj]’)?(?:[{_UP}]?[{_LOW}]+|[{_UP}]{{2,}}|[А-ЯЁ]?[а-яё]+|[А-ЯЁ]{{2,}})(?:['’-](?:[{_UP}]?[{_LOW}]+|[А-ЯЁ]?[а-яё]+))*(?!\w)"
+    rf"(?<!\w)(?:[LlDdMmSsCcNnJj]’)?(?:[{_UP}]?[{_LOW}]+|[{_UP}]{{2,}}|[А-ЯЁ]?[а-яё]+)(?:['’-](?:[{_UP}]?[{_LOW}]+|[А-ЯЁ]?[а-яё]+))*(?!\w)"
     r"|(?<=\s)[–—«“„‘](?=[\s\w])|[–—…”’»](?=[\s.,;:!?)]|$)|(?<=\s)[§±](?=\s)|(?<=\s)°C|(?<=\s)µ(?=m)|(?<=\d)[½°]|(?<=[\s(])[€£](?=\d)"
     "|(?<![A-Za-zÀ-ɏ])[" + "".join(sorted(COMMON_HAN | _HAN_SIGNS)) + "]{2,}(?![A-Za-zÀ-ɏ])|第(?=\\d)|[，。！？；：、]"
 )
@@ -492,9 +536,48 @@ def _pieces(text: str) -> Iterator[re.Match]:
             yield m
 
 
-def _round(text: str) -> tuple[str, bool]:
-    """One round of finding and restoring."""
-    spans: list[tuple[int, int, str]] = []
+_PIECE = re.compile(r"(?<=[.!?;:。！？；：])\s+|\t+|\s{2,}|\s[|–—]\s")
+
+
+def _differing(old: str, new: str, at: int) -> tuple[int, int, str]:
+    """The part of a piece that changes, as a span of the text."""
+    a = 0
+    while a < min(len(old), len(new)) and old[a] == new[a]:
+        a += 1
+    b = 0
+    while b < min(len(old), len(new)) - a and old[-1 - b] == new[-1 - b]:
+        b += 1
+    return at + a, at + len(old) - b, new[a : len(new) - b]
+
+
+def _as_a_whole(line: str) -> list[tuple[int, int, str]]:
+    """A line, or else its sentences, garbled as a whole and with one clear reading."""
+    t = reread(line)
+    if t is not None:
+        return [_differing(line, t, 0)]
+    cuts = [0, *(x for m in _PIECE.finditer(line) for x in m.span()), len(line)]
+    out = []
+    for a, b in zip(cuts[::2], cuts[1::2], strict=True) if len(cuts) > 2 else ():
+        piece = line[a:b]
+        if not piece.isascii() and not benign(piece) and (t := reread(piece)) is not None:
+            out.append(_differing(piece, t, a))
+    return out
+
+
+def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, b, t in sorted(spans):
+        if a >= at:
+            out += [text[at:a], t]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def _round(text: str, quiet: bool = False) -> tuple[str, bool]:
+    """One round of finding and restoring in a line; a ``quiet`` line holds natural words only."""
+    spans = _as_a_whole(text) if not quiet else []
+    if spans:
+        return _replaced(text, spans), True
     for m in _HIGH.finditer(text):
         run = m.group()
         if len(run) > 1 and _WIDE_ANY.search(run):
@@ -524,54 +607,62 @@ def _round(text: str) -> tuple[str, bool]:
             spans.append((a, b, t))
     if not spans:
         return text, False
-    out, at = [], 0
-    for a, b, t in sorted(spans):
-        if a < at:
-            continue
-        out += [text[at:a], t]
-        at = b
-    return "".join([*out, text[at:]]), True
+    return _replaced(text, spans), True
+
+
+#: A file mark stands at the very beginning of a text.
+_MARK = re.compile("^(?:ÿþ|þÿ)")
 
 
 def repair(text: str | None) -> tuple[str | None, bool]:
-    """(restored text, whether a misread passage was found)."""
+    """(restored text, whether a misread passage was found); lines are judged one by one."""
     if not text or text.isascii():
         return text, False
     found = LOST in text
-    now = text
     if not found and benign(text):
         return text, False
-    for _ in range(3):
-        now, changed = _round(now)
-        if not changed:
-            break
-        found = True
-    return now, found
-
-
-def _walk(x, found: list[bool]):
-    if isinstance(x, str):
-        t, hit = repair(x)
-        found[0] |= hit
-        return t
-    if isinstance(x, list):
-        return [_walk(v, found) for v in x]
-    if isinstance(x, dict):
-        return {k: _walk(v, found) for k, v in x.items()}
-    return x
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if line.isascii():
+            continue
+        quiet = LOST not in line and benign(line)
+        mark = _MARK.match(line).end() if i and _MARK.match(line) else 0
+        now = line[mark:]
+        for _ in range(ROUNDS):
+            new, changed = _round(now, quiet)
+            if not changed:
+                break
+            found = True
+            now = new
+        lines[i] = line[:mark] + now
+    return "\n".join(lines), found
+
+
+#: A string of a JSON document; one before a colon is a name and no value.
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?', re.S)
 
 
 def repair_json(raw: str | None) -> tuple[str | None, bool]:
-    """As ``repair`` for the values of a JSON document, after its escapes are resolved."""
+    """As ``repair`` for the values of a JSON document, after their escapes are resolved; all other text stays as it is."""
     if not raw or raw.isascii() and "\\u" not in raw:
         return raw, False
     try:
-        doc = json.loads(raw)
+        json.loads(raw)
     except ValueError:
         return repair(raw)
-    found = [False]
-    done = _walk(doc, found)
-    return (json.dumps(done, ensure_ascii=False), True) if found[0] else (raw, False)
+    found = False
+
+    def value(m: re.Match) -> str:
+        nonlocal found
+        if m.group(1) is not None or m.group().isascii() and "\\u" not in m.group():
+            return m.group()
+        text = json.loads(m.group())
+        done, hit = repair(text)
+        found |= hit
+        return m.group() if done == text else json.dumps(done, ensure_ascii=False)
+
+    done = _STRING.sub(value, raw)
+    return done, found
 
 
 def repair_fields(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFrame:
