@@ -1,10 +1,11 @@
 """Variant spellings of names: link every item to the registry entry that its name or its aliases denote.
 
-1. All distinct spellings and all registry names are cut into token q-grams (three letters with word ends; single
-   characters for Han script). Grams weigh by their rarity in a hashed registry count (a table of fixed size). A registry
-   name that holds ``TAU`` of a spelling's weight holds one gram of its prefix, the heaviest grams up to where the rest
-   weighs less than that: only the prefix is looked up (set-similarity join with a prefix filter), in an index in the
-   workers while the registry is small, by a join of grams beyond.
+1. A registry name that a spelling denotes has most of its words in it, somehow written. Candidates therefore come from a
+   set-similarity join with two prefix filters, at every size of the registry. Of the words of a registry name, weighted by
+   rarity, only the heaviest ones name it: those up to where the rest weighs less than ``NAME_SHARE`` (single characters
+   for Han names, ``HAN_SHARE``). Words of spellings meet words of the registry on token q-grams (three letters with word
+   ends): of n grams, the rarest n - ceil(GRAM_SHARE * n) + 1 are keys; also on a word that begins with the other one
+   and on short forms of given names. Both joins are joins of words and names; no name is compared with all others.
 2. Candidates are verified by a soft weighted token similarity. Tokens are aligned one to one; a pair may be equal, a
    nickname, an initial, an abbreviation, a plural or a slip of the keyboard. A token weighs as much as it is rare in
    the registry; titles, articles and legal forms weigh little, but legal forms and version numbers must not differ.
@@ -24,7 +25,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,11 @@ from pyspark.sql import functions as F
 
 from quillmill.session import cut
 
-TAU = 0.18
+#: Share of grams that two words share, of the weight of a name that its words beyond the prefix may have, the same for Han.
+GRAM_SHARE, NAME_SHARE, HAN_SHARE = 0.34, 0.5, 0.3
 ACCEPT = 0.74
 MARGIN = 0.03
 COUNTERS = 1 << 22
-#: Registries up to this size are broadcast.
-BROADCAST_NAMES = 50_000
 
 #: Fixed values.
 TITLES = frozenset("dr mr mrs ms miss prof professor sir dame phd md jr sr herr frau mme mlle".split())
@@ -123,11 +123,7 @@ class Name:
                 if at - 1 in hyphen:
                     self.tails.add(len(self.tokens))
                 self._add(t, p)
-        grams = set()
-        for t in self.tokens:
-            padded = f"^{t}$"
-            grams.update(padded[i : i + 3] for i in range(max(1, len(padded) - 2)))
-        self.grams = frozenset(grams)
+        self.grams = frozenset(g for t in self.tokens for g in word_grams(t))
 
     def _add(self, t: str, p: str) -> None:
         if not t:
@@ -141,7 +137,7 @@ class Name:
                 self.abbr.add(t)
 
 
-@lru_cache(5_000)
+@lru_cache(20_000)
 def parse(raw: str) -> Name:
     return Name(raw)
 
@@ -394,19 +390,53 @@ def _count_table(registry: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def _weights(q: Name, count, n: int) -> list[tuple[float, str]]:
-    """The grams of a name with their weights, the heaviest first; grams unknown to the registry weigh most."""
-    return sorted(((log(1 + n / (1 + int(count[_slot(f"g:{g}")]))), g) for g in q.grams), reverse=True)
+def word_grams(t: str) -> frozenset[str]:
+    """Three letters with word ends."""
+    padded = f"^{t}$"
+    return frozenset(padded[i : i + 3] for i in range(max(1, len(padded) - 2)))
 
 
-def _prefix(weighted: list[tuple[float, str]]) -> tuple[list[str], float]:
-    """Grams of which a name with ``TAU`` of the whole weight must hold one, and that weight."""
-    need = TAU * sum(w for w, _ in weighted)
-    rest, at = 0.0, len(weighted)
-    while at > 0 and rest + weighted[at - 1][0] < need - 1e-9:
-        rest += weighted[at - 1][0]
-        at -= 1
-    return [g for _, g in weighted[:at]], need
+_FULL: dict[str, set[str]] = {}
+for _full, _shorts in _NICK.items():
+    for _short in _shorts:
+        _FULL.setdefault(_short, set()).add(_full)
+
+
+def word_keys(t: str, df, known: bool) -> list[tuple[str, str]]:
+    """(key, form) of a word: its rarest grams, itself and its beginnings; words of spellings come in all their forms."""
+    out = []
+    for u in {t} if known else {t} | _FULL.get(t, set()) | _NICK.get(t, frozenset()):
+        grams = sorted(word_grams(u), key=lambda g: (df(g), g))
+        out += [(f"g:{g}", u) for g in grams[: len(grams) - ceil(GRAM_SHARE * len(grams) - 1e-9) + 1]]
+        begins = [u[:i] for i in range(3, len(u))]
+        # a word of a spelling begins a known one, is it, or goes on after it
+        out += [(f"p:{x}", u) for x in ([*begins, u] if known else [u])] + [(f"q:{x}", u) for x in ([u] if known else begins)]
+    return out
+
+
+def share_grams(a: str, b: str) -> bool:
+    x, y = word_grams(a), word_grams(b)
+    return len(x & y) >= GRAM_SHARE * max(len(x), len(y)) - 1e-9
+
+
+def naming_words(n: Name, weight, df) -> list[str]:
+    """The prefix of a registry name: its heaviest words up to where the rest weighs too little to denote it."""
+    if n.han:
+        ranked, share = sorted(((-log(1 + 1 / (1 + df(c))), f"h:{c}") for c in n.grams)), HAN_SHARE
+    else:
+        ranked, share = sorted((-weight(t), t) for t in set(n.tokens) if len(t) > 1), NAME_SHARE
+    rest = total = -sum(w for w, _ in ranked)
+    out = []
+    for w, t in ranked:
+        if rest < share * total - 1e-9:
+            break
+        out.append(t)
+        rest += w
+    return out
+
+
+def spelling_words(n: Name) -> list[str]:
+    return [f"h:{c}" for c in n.grams] if n.han else [t for t in dict.fromkeys(n.tokens) if len(t) > 1]
 
 
 class _Judge:
@@ -433,6 +463,10 @@ class _Judge:
             w = self.weights[t] = max(1.0, log(1 + self.n / (1 + int(self.count[_slot(f"t:{t}")]))))
         return w
 
+    def names_with(self, gram: str) -> int:
+        """Number of registry names with a gram."""
+        return int(self.count[_slot(f"g:{gram}")])
+
     def genuine(self, t: str) -> bool:
         g = self.own.get(t)
         if g is None:
@@ -453,88 +487,82 @@ def _answers(rows: list[tuple[str, int, float]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["spelling", "registry_id", "score"])
 
 
-def _match_in_memory(spellings: DataFrame, registry: list[tuple[int, str]], counters) -> DataFrame:
-    """Candidates from an inverted index of the registry in each worker."""
-    told = spellings.sparkSession.sparkContext.broadcast(registry)
-    made: dict[str, tuple] = {}
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch; ``schema`` as in Spark, of strings and longs."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    cols = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(cols, kinds, strict=True)], names=list(names))
+
+
+def _known_words(known: DataFrame, key: str, name: str, counters) -> DataFrame:
+    """(word, registry_id, registered) for the words that name an entry."""
+    schema = "word string, registry_id long, registered string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            parsed = [(i, Name(x)) for i, x in told.value]
-            lists: dict[str, list[int]] = {}
-            for k, (_, p) in enumerate(parsed):
-                for g in p.grams:
-                    lists.setdefault(g, []).append(k)
-            made["x"] = (parsed, {g: np.array(v, np.int64) for g, v in lists.items()}, _Judge(counters.value))
-        parsed, index, judge = made["x"]
+        judge = _Judge(counters.value)
         for b in batches:
-            rows = []
-            for x in b.column(0).to_pylist():
-                q = Name(x)
-                weighted = _weights(q, judge.count, judge.n)
-                prefix, need = _prefix(weighted)
-                if not any(g in index for g in prefix):
-                    continue
-                hits = [(w, index[g]) for w, g in weighted if g in index]
-                got = np.bincount(np.concatenate([v for _, v in hits]), np.repeat([w for w, _ in hits], [len(v) for _, v in hits]))
-                for k in np.nonzero(got >= need - 1e-9)[0]:
-                    s = judge(q, parsed[k][1])
-                    if s >= ACCEPT:
-                        rows.append((x, parsed[k][0], s))
-            yield _answers(rows)
+            yield _table(schema, [(w, k, x) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in naming_words(Name(x), judge.weight, judge.names_with)])
+
+    return known.select(F.col(key).cast("long"), name).mapInArrow(run, schema)
+
+
+def _used_words(spellings: DataFrame) -> DataFrame:
+    schema = "word string, spelling string"
 
-    return spellings.select("spelling").mapInArrow(run, _OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _table(schema, [(w, x) for x in b.column(0).to_pylist() for w in spelling_words(Name(x))])
+
+    return spellings.select("spelling").mapInArrow(run, schema)
 
 
-def _match_joined(spellings: DataFrame, known: DataFrame, key: str, name: str, counters) -> DataFrame:
-    """Candidates from a join of prefix grams with all registry grams, for registries of any size."""
+def _keyed(words: DataFrame, known: bool, counters) -> DataFrame:
+    """(key, word, form) of distinct words."""
+    schema = "key string, word string, form string"
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counters.value
-        n = max(1, int(count[_slot("n")]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = _Judge(counters.value).names_with
         for b in batches:
-            grams, names = [], []
-            for x in b.column(0).to_pylist():
-                for g in _prefix(_weights(Name(x), count, n))[0]:
-                    if count[_slot(f"g:{g}")]:
-                        grams.append(g)
-                        names.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(names, pa.string())], names=["gram", "spelling"])
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _table(schema, [(k, w, u) for w in b.column(0).to_pylist() for k, u in ([(w, w)] if w.startswith("h:") else word_keys(w, df, known))])
+
+    return words.select("word").distinct().mapInArrow(run, schema)
+
+
+def alike_words(used: DataFrame, known: DataFrame, counters) -> DataFrame:
+    """(word, known_word): words of spellings and of the registry that may stand for each other."""
+    met = _keyed(used, False, counters).join(_keyed(known, True, counters).toDF("key", "known_word", "_f"), "key")
+    pairs = met.select("word", "form", "known_word", F.col("key").startswith("g:").alias("by_gram")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(g, k, x) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for g in Name(x).grams]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["gram", "registry_id", "registered"])
+            keep = [not g or share_grams(u, x) for u, x, g in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield b.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "word string, known_word string").distinct()
+
+
+def match_spellings(spellings: DataFrame, registry: DataFrame, key: str, name: str) -> DataFrame:
+    """(spelling, registry_id, score) of all pairs at or above ``ACCEPT``; ``spellings`` has one distinct column."""
+    known = registry.filter(F.col(key).isNotNull() & F.col(name).isNotNull()).select(key, name)
+    counters = spellings.sparkSession.sparkContext.broadcast(_count_table(known, name))
+    naming = cut(_known_words(known, key, name, counters))
+    used = cut(_used_words(spellings))
+    entries = alike_words(used, naming, counters).join(naming.withColumnRenamed("word", "known_word"), "known_word").select("word", "registry_id", "registered").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(counters.value)
+        last, q = None, None
         for b in batches:
             rows = []
-            for x, y, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                q, r = Name(x), Name(y)
-                weighted = _weights(q, judge.count, judge.n)
-                if sum(w for w, g in weighted if g in r.grams) >= _prefix(weighted)[1] - 1e-9 and (s := judge(q, r)) >= ACCEPT:
+            for x, k, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if x != last:
+                    last, q = x, Name(x)
+                if (s := judge(q, parse(y))) >= ACCEPT:
                     rows.append((x, k, s))
             yield _answers(rows)
 
-    left = spellings.select("spelling").mapInArrow(prefixes, "gram string, spelling string")
-    right = known.select(F.col(key).cast("long"), name).mapInArrow(full, "gram string, registry_id long, registered string")
-    cand = left.join(right, "gram").select("spelling", "registered", "registry_id").distinct()
-    return cand.mapInArrow(verify, _OUT)
-
-
-def match_spellings(spellings: DataFrame, registry: DataFrame, key: str, name: str, limit: int = BROADCAST_NAMES) -> DataFrame:
-    """(spelling, registry_id, score) of all pairs at or above ``ACCEPT``; ``spellings`` has one distinct column.
-
-    A registry of at most ``limit`` names is held as an index in the workers, a larger one is joined.
-    """
-    known = registry.filter(F.col(key).isNotNull() & F.col(name).isNotNull()).select(key, name)
-    counters = spellings.sparkSession.sparkContext.broadcast(_count_table(known, name))
-    if known.limit(limit + 1).count() <= limit:
-        rows = [(int(r[0]), r[1]) for r in known.collect()]
-        return _match_in_memory(spellings, rows, counters)
-    return _match_joined(spellings, known, key, name, counters)
+    # a sort-merge join gives all entries of one spelling in a row, so it is parsed once, and splits hot words
+    return used.hint("merge").join(entries, "word").select("spelling", "registry_id", "registered").mapInArrow(verify, _OUT).distinct()
 
 
 def link_items(items: DataFrame, registry: DataFrame) -> DataFrame:

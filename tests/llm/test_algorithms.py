@@ -184,14 +184,13 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-def test_spellings(spark, limit):
+def test_spellings(spark):
     reg = spark.createDataFrame([*REGISTRY, (99, None)], "registry_id long, name string")
     # tokens of other entries that make Haskolm a name of its own
     reg = reg.union(spark.createDataFrame([(50 + i, n) for i, n in enumerate(["Anna Haskwicke", "Anna Haskmere", "Otto Haskidge", "Otto Tessolm", "Otto Varnolm", "Otto Jellolm", "Otto Fenolm"])], "registry_id long, name string"))
     sp = spark.createDataFrame([(s,) for s in CASES], "spelling string")
     best = {}
-    for r in NM.match_spellings(sp, reg, "registry_id", "name", limit=limit).collect():
+    for r in NM.match_spellings(sp, reg, "registry_id", "name").collect():
         best.setdefault(r.spelling, []).append((r.score, r.registry_id))
     wrong = {}
     for s, want in CASES.items():
@@ -208,3 +207,21 @@ def test_link_items(spark):
     items = spark.createDataFrame(rows, "item_id long, name string, aliases array<string>, score string")
     assert {(r.item_id, r.registry_id) for r in NM.link_items(items, reg).collect()} == {(1, 1), (2, 6), (5, 1)}
     assert NM.link_items(items.limit(0), reg).count() == 0 and NM.link_items(items, reg.limit(0)).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abcdr", min_size=1, max_size=12), st.text("abcdr", min_size=1, max_size=12), st.integers(0, 7))
+def test_words_that_share_grams_share_a_key(a, b, seed):
+    df = lambda g: hash((seed, g)) % 5
+    left, right = {k for k, u in NM.word_keys(a, df, False) if u == a}, {k for k, _ in NM.word_keys(b, df, True)}
+    met = left & right
+    assert not NM.share_grams(a, b) or any(k.startswith("g:") for k in met)
+    assert not (b.startswith(a) and len(a) >= 3 or a.startswith(b) and len(b) >= 3) or any(k[0] in "pq" for k in met)
+
+
+def test_naming_words_are_the_rarest():
+    weight = {"fenighi": 6.0, "lumen": 2.0, "research": 1.0, "sky": 2.0}.get
+    assert NM.naming_words(NM.parse("Fenighi Lumen Research"), weight, lambda c: 1) == ["fenighi"]
+    assert NM.naming_words(NM.parse("Lumen Sky"), weight, lambda c: 1) == ["lumen", "sky"]
+    assert NM.naming_words(NM.parse("云砚文档协会"), weight, lambda c: 9 if c in "协会" else 1)[-1] not in ("h:协", "h:会")
+    assert NM.naming_words(NM.parse("&"), weight, lambda c: 1) == [] == NM.spelling_words(NM.parse("A"))
