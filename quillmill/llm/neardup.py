@@ -5,15 +5,19 @@ Two texts are alike if the words they share (as multisets) are at least ``share`
 1. Exact copies (same multiset of words) are folded into one representative; all later work is on representatives.
 2. Words are ordered by a hashed corpus count (2**20 counters over all records, a bounded table; any total order keeps
    the filter exact). Of n words, the n - ceil(share * n) + 1 rarest occurrences form the prefix: two alike texts share
-   a prefix word, and two words of the prefix that is one longer. Each prefix word whose counter is at most ``often``
-   names a shard (a counter of 1 is left out: the word occurs nowhere else); of the more frequent words each pair does,
-   because alike texts without a common rarer word share two frequent ones.
-3. Inside a shard a BK-tree is grown over 64-bit parity codes (each word occurrence flips one bit), children keyed by
-   the Hamming distance to their parent. Texts that differ by d word occurrences differ in at most d bits, so following
-   only edges within the largest possible difference 2 * floor((1 - share) * n) loses nothing. Members arrive in order
-   of length; each one searches the tree and then joins it.
-4. A shard whose counter exceeds ``hot`` is cut into blocks: every record joins the tree of one block and searches the
-   trees of all blocks, so a hot shard is never one task and no pair is lost.
+   one word of it, two of the prefix that is one longer, and three of the one that is two longer. A prefix word whose
+   counter is at most ``often`` names a shard (a counter of 1 is left out: the word occurs nowhere else); of the more
+   frequent words each pair does, because alike texts without a common rarer word share two frequent ones; and a pair
+   that more than ``hot`` records have (counted over all records, among words above ``hot``) is replaced by its triples
+   while texts are short. So shards keep their size when the data grow and the words do not.
+3. Inside a shard a BK-tree is grown over parity codes (each word occurrence flips one bit), children keyed by the
+   Hamming distance to their parent. Texts that differ by d word occurrences differ in at most d bits, so following only
+   edges within the largest possible difference 2 * floor((1 - share) * n) loses nothing. Codes have at least twice as many
+   bits as texts have words, so that the radius stays small against the distance of unrelated texts: texts are searched
+   in classes of length with codes of 64, 256, 1024... bits; those near a border are in both classes, so that two alike texts
+   meet in one. Members arrive in order of length; each one searches the tree and then joins it.
+4. A hot pair of longer texts, and a word or triple that stays hot, is cut into blocks: every record joins the tree of
+   one block and searches the trees of all blocks, so a hot shard is never one task and no pair is lost.
 5. Candidates are made distinct and verified on their words.
 
 Trees are sent to their queries by one shuffle on the shard key and not by a broadcast, because they grow with the
@@ -49,7 +53,7 @@ def records(df: DataFrame, table: str, id_col: str, text_col: str, least: int =
 
 
 class BKTree:
-    """Integer codes under the Hamming metric; a node is [code, values, {distance: node}]."""
+    """Integer codes of any width under the Hamming metric; a node is [code, values, {distance: node}]."""
 
     __slots__ = ("root",)
 
@@ -92,9 +96,8 @@ class BKTree:
                         todo.append(kid)
 
 
-def _code_and_slot(word: str) -> tuple[int, int]:
-    h = xxhash.xxh64_intdigest(word)
-    return h & 63, (h >> 6) & (COUNTERS - 1)
+def _word_slot(h: int) -> int:
+    return h >> 6 & COUNTERS - 1
 
 
 def word_counters(reps: DataFrame) -> np.ndarray:
@@ -111,7 +114,7 @@ def word_counters(reps: DataFrame) -> np.ndarray:
                     if s is None:
                         if len(slots) > 500_000:
                             slots.clear()
-                        s = slots[w] = _code_and_slot(w)[1]
+                        s = slots[w] = _word_slot(xxhash.xxh64_intdigest(w))
                     found.append(s)
             total += np.bincount(np.array(found, np.int64), minlength=COUNTERS) if found else 0
         at = np.nonzero(total)[0]
@@ -119,9 +122,13 @@ def word_counters(reps: DataFrame) -> np.ndarray:
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["slot", "n"])
 
-    rows = reps.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return _summed(reps.select("words").mapInArrow(count, "slot long, n long"))
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The counters of all tasks as one table of fixed size."""
+    got = parts.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
-    got = rows.toArrow()
     out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out
 
@@ -133,48 +140,106 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _shards(reps: DataFrame, counters, share: float, hot: int, often: int, tables: list[str]) -> DataFrame:
-    """(shard, block, adds, n, code, rep, tab): one row per prefix word or pair, several for hot shards; all are numbers."""
+#: Longest text of the first class of length; codes of a class have twice as many bits, each class is four times as long.
+FIRST = 32
+
+
+def classes(n: int, share: float) -> Iterator[int]:
+    """The classes of length that a text of n words is searched in: its own, and the next one near the border."""
+    k, most = 0, FIRST
+    while n > most:
+        k, most = k + 1, most * 4
+    yield k
+    if n > share * most:
+        yield k + 1
+
+
+class _Text:
+    """The hashed words of a text in the order of the filter."""
+
+    def __init__(self, words: str, count: np.ndarray, share: float):
+        self.hashes = [xxhash.xxh64_intdigest(w) for w in words.split(" ")]
+        self.n = len(self.hashes)
+        order = sorted(zip(count[[_word_slot(h) for h in self.hashes]].tolist(), self.hashes, strict=True))
+        self.cut = self.n - ceil(share * self.n - EPS) + 1
+        # the second and later occurrences of a word are words of their own
+        self.order, last, nth = [], 0, 0
+        for c, h in order[: self.cut + 2]:
+            nth = nth + 1 if h == last else 0
+            last = h
+            self.order.append((c, (h + nth) * 0xBF58476D1CE4E5B9 & _ALL if nth else h))
+
+    def code(self, bits: int) -> bytes:
+        """One bit for each word occurrence, flipped."""
+        code = 0
+        for h in self.hashes:
+            code ^= 1 << ((h ^ h >> 29) & bits - 1)
+        return code.to_bytes(bits >> 3, "big")
+
+    def pairs(self, above: int, upto: int) -> Iterator[tuple[int, int, int, int]]:
+        """(i, j, smaller count, key) of the pairs of words more frequent than ``above`` among the first ``upto``."""
+        some = [(i, c, h) for i, (c, h) in enumerate(self.order[:upto]) if c > above]
+        for x, (i, c, h) in enumerate(some):
+            for j, _, g in some[x + 1 :]:
+                yield i, j, c, _joined(h, g)
+
+
+def _joined(h: int, g: int) -> int:
+    return (h * 0x9E3779B97F4A7C15 ^ (g >> 7) * 0x94D049BB133111EB) & _ALL
+
+
+def pair_counters(reps: DataFrame, counters, share: float, hot: int) -> np.ndarray:
+    """Records by hashed pair of words above ``hot``: only such pairs can be hot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[int] = Counter()
+        for b in batches:
+            for words in b.column(0).to_pylist():
+                t = _Text(words, counters.value, share)
+                total.update(_word_slot(key) for _, _, _, key in t.pairs(hot, t.cut + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["slot", "n"])
+
+    return _summed(reps.select("words").mapInArrow(count, "slot long, n long"))
+
+
+def shard_keys(t: _Text, k: int, pair_count: np.ndarray | None, hot: int, often: int) -> Iterator[tuple[int, int]]:
+    """(key, blocks) of a text in class k."""
+    for c, h in dict.fromkeys(t.order[: t.cut]):
+        if 1 < c <= often:
+            yield h, 1 + c // hot
+    for i, j, c, key in t.pairs(often, t.cut + 1):
+        n = c if pair_count is None or c <= hot else int(pair_count[_word_slot(key)])
+        if n <= hot:
+            yield key, 1
+        elif k:
+            yield key, 1 + n // hot
+        else:
+            for _, h in t.order[j + 1 : t.cut + 2]:
+                yield _joined(key, h), 1
+
+
+def _shards(reps: DataFrame, counters, pair_count, share: float, hot: int, often: int, tables: list[str]) -> DataFrame:
+    """(shard, block, adds, n, code, rep, tab): one row per prefix word, pair or triple, several for hot shards."""
     place = {t: i for i, t in enumerate(tables)}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counters.value
+        count, pairs = counters.value, None if pair_count is None else pair_count.value
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-            shard, block, adds, size, codes, ids, tabs = cols
-            for table, rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tab = place[table]
-                hashes = [xxhash.xxh64_intdigest(w) for w in text.split(" ")]
-                n, code = len(hashes), 0
-                for h in hashes:
-                    code ^= 1 << (h & 63)
-                order = sorted(zip(count[[(h >> 6) & (COUNTERS - 1) for h in hashes]].tolist(), hashes, strict=True))
-                code = _signed(code)
-                cut_at = n - ceil(share * n - EPS) + 1
-                keys = [(c, h) for c, h in dict.fromkeys(order[:cut_at]) if 1 < c <= often]
-                frequent, last, nth = [], 0, 0
-                for c, h in order[: cut_at + 1]:
-                    nth = nth + 1 if h == last else 0
-                    last = h
-                    if c > often:
-                        frequent.append((c, (h + nth) * 0xBF58476D1CE4E5B9 & _ALL))
-                for i, (c, h) in enumerate(frequent):
-                    keys += [(c, (h ^ (g >> 7) * 0x94D049BB133111EB) & _ALL) for _, g in frequent[i + 1 :]]
-                for c, h in keys:
-                    blocks = 1 + c // hot
-                    mine = (rep * 0x9E3779B97F4A7C15 >> 20) % blocks
-                    for k in range(blocks):
-                        shard.append(_signed((h + tab * 0x9E3779B97F4A7C15) & _ALL))
-                        block.append(k)
-                        adds.append(k == mine)
-                        size.append(n)
-                        codes.append(code)
-                        ids.append(rep)
-                        tabs.append(tab)
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "block", "adds", "n", "code", "rep", "tab"])
-
-    return reps.select("record_table", "rep", "words").mapInArrow(emit, "shard long, block int, adds boolean, n int, code long, rep long, tab int")
+            for table, rep, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                t = _Text(words, count, share)
+                for k in classes(t.n, share):
+                    code = t.code(64 * 4**k)
+                    salt = (place[table] * 64 + k) * 0xD6E8FEB86659FD93
+                    for key, blocks in shard_keys(t, k, pairs, hot, often):
+                        mine = (rep * 0x9E3779B97F4A7C15 >> 20) % blocks
+                        for block in range(blocks):
+                            for col, v in zip(cols, (_signed(key + salt & _ALL), block, block == mine, t.n, code, rep, place[table] * 64 + k), strict=True):
+                                col.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["shard", "block", "adds", "n", "code", "rep", "tab"])
+
+    return reps.select("record_table", "rep", "words").mapInArrow(emit, "shard long, block int, adds boolean, n int, code binary, rep long, tab int")
 
 
 def _search(share: float, tables: list[str]):
@@ -195,12 +260,12 @@ def _search(share: float, tables: list[str]):
             for shard, block, adds, n, code, rep, tab in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (shard, block, tab) != now:
                     now, tree = (shard, block, tab), BKTree()
-                code &= (1 << 64) - 1
+                code = int.from_bytes(code, "big")
                 need = ceil(share * n - EPS)
                 if tree.root is not None:
                     for d, (m, other) in tree.within(code, 2 * (n - need)):
                         if m >= need and d <= n + m - 2 * need and other != rep:
-                            out[0].append(tables[tab])
+                            out[0].append(tables[tab >> 6])
                             out[1].append(min(rep, other))
                             out[2].append(max(rep, other))
                 if adds:
@@ -234,7 +299,9 @@ class NearDuplicates:
         )
         counters = spark.sparkContext.broadcast(word_counters(self.reps))
         tables = sorted(r[0] for r in self.reps.select("record_table").distinct().collect())
-        shards = _shards(self.reps, counters, share, hot, often, tables)
+        frequent = bool((counters.value > hot).any())
+        pairs = spark.sparkContext.broadcast(pair_counters(self.reps, counters, share, hot)) if frequent else None
+        shards = _shards(self.reps, counters, pairs, share, hot, often, tables)
         # one row order inside a shard: shorter texts first, members of the block's tree before pure queries of that length
         lined = shards.repartition("shard", "block").sortWithinPartitions("shard", "block", "tab", "n", F.col("adds").desc(), "rep")
         cand = lined.mapInArrow(_search(share, tables), "record_table string, a long, b long").distinct()

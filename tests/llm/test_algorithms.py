@@ -89,6 +89,38 @@ def test_near_duplicates_lose_nothing(spark, hot, often):
         assert set(g) == {i for p in want for i in p} and all(g[a] == g[b] for a, b in want)
 
 
+@pytest.mark.parametrize(("hot", "often", "first"), [(4000, 64, 32), (3, 2, 8), (2, 0, 16)])
+def test_near_duplicates_of_all_lengths(spark, monkeypatch, hot, often, first):
+    monkeypatch.setattr(ND, "FIRST", first)
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    base = [[r.choice(words) for _ in range(n)] for n in (8, 9, 12, 25, 31, 32, 33, 40, 41, 100, 128, 129, 160, 161)]
+    rows = []
+    for i in range(120):
+        t = list(r.choice(base))
+        for _ in range(r.randint(0, max(1, len(t) // 5))):
+            t[r.randrange(len(t)) : r.randrange(len(t)) + 1] = [r.choice(words)] * r.randint(0, 1) or [t[0]]
+            t = t or ["w0"]
+        rows.append((i, " ".join(t[:200])))
+    df = spark.createDataFrame(rows, "fact_id long, statement string")
+    nd = ND.NearDuplicates([ND.records(df, "facts", "fact_id", "statement")], hot=hot, often=often)
+    assert {(x.low_id, x.high_id) for x in nd.pairs().collect()} == _brute(rows)
+
+
+def test_shard_rows_do_not_grow_with_the_data():
+    import numpy as np
+
+    words = " ".join(f"w{i}" for i in range(19))
+    for times in (10**3, 10**6, 10**9):
+        count = np.full(ND.COUNTERS, 100 * times, np.int64)
+        t = ND._Text(words, count, 0.8)
+        assert sum(b for _, b in ND.shard_keys(t, 0, count, 4000, 64)) <= 20
+    # a hot pair of a long text is cut in blocks
+    t = ND._Text(" ".join(f"w{i}" for i in range(50)), count, 0.8)
+    assert all(b > 1 for _, b in ND.shard_keys(t, 1, count, 4000, 64))
+    assert list(ND.classes(25, 0.8)) == [0] and list(ND.classes(26, 0.8)) == [0, 1] and list(ND.classes(33, 0.8)) == [1] and list(ND.classes(500, 0.8)) == [2, 3]
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "fact_id long, statement string, words string, rep long")
     nd = ND.NearDuplicates([ND.records(df, "facts", "fact_id", "statement")])
