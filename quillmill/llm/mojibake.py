@@ -446,11 +446,11 @@ def _chained(text: str, found: list[tuple[int, int, str, bool]], enc: str) -> li
     return sorted(out)
 
 
-def _matches(text: str) -> list[tuple[int, int, str, bool]]:
+def _matches(text: str, quiet: bool = False) -> list[tuple[int, int, str, bool]]:
     """Counting matches (start, end, restored, from UTF-8) of a line, longest first, not overlapping.
 
     The reader whose matches cover most is taken for UTF-8 sequences, and a pair that has counted once counts again for
-    signs and letters of other scripts.
+    signs and letters of other scripts. In a ``quiet`` line all words are natural, so only letters that stand for signs count.
     """
     raw = [(e - len(g) + 1, e + 1, hits) for e, (g, hits) in automaton().iter(text)]
     raw.sort(key=lambda x: (x[0], x[0] - x[1]))
@@ -471,7 +471,7 @@ def _matches(text: str) -> list[tuple[int, int, str, bool]]:
             best, reader = (cover, ok), name
     out = _chained(text, best[1], reader)
     busy = [(a, b) for a, b, _, _ in out]
-    free = [(a, b, h) for a, b, hits in raw for h in hits if h.kind != "utf8" and not any(a < y and x < b for x, y in busy)]
+    free = [(a, b, h) for a, b, hits in raw for h in hits if h.kind != "utf8" and not (quiet and h.char.isalpha()) and not any(a < y and x < b for x, y in busy)]
     pairs: dict[tuple[str, str], int] = {}
     for a, b, h in free:
         if _letter_counts(text, a, b, h) if h.kind == "letter" else a == 0:
@@ -586,7 +586,7 @@ def _round(text: str, quiet: bool = False) -> tuple[str, bool]:
                 if got:
                     spans += [(m.start() + a, m.start() + b, t) for a, b, t in got]
                     break
-    matches = _matches(text)
+    matches = _matches(text, quiet)
     if not spans:
         covered = set()
         for a, b, _, utf8 in matches:

@@ -155,19 +155,28 @@ def classes(n: int, share: float) -> Iterator[int]:
 
 
 class _Text:
-    """The hashed words of a text in the order of the filter."""
+    """The hashed words of a text and, when asked for, their order in the filter."""
+
+    __slots__ = ("counts", "cut", "hashes", "n", "order")
 
     def __init__(self, words: str, count: np.ndarray, share: float):
         self.hashes = [xxhash.xxh64_intdigest(w) for w in words.split(" ")]
         self.n = len(self.hashes)
-        order = sorted(zip(count[[_word_slot(h) for h in self.hashes]].tolist(), self.hashes, strict=True))
+        self.counts = count[[h >> 6 & COUNTERS - 1 for h in self.hashes]]
         self.cut = self.n - ceil(share * self.n - EPS) + 1
-        # the second and later occurrences of a word are words of their own
+
+    def ordered(self) -> _Text:
+        """With ``order``: (count, hash) of the rarest occurrences; further ones of a word are words of their own."""
         self.order, last, nth = [], 0, 0
-        for c, h in order[: self.cut + 2]:
+        for c, h in sorted(zip(self.counts.tolist(), self.hashes, strict=True))[: self.cut + 2]:
             nth = nth + 1 if h == last else 0
             last = h
             self.order.append((c, (h + nth) * 0xBF58476D1CE4E5B9 & _ALL if nth else h))
+        return self
+
+    def has_pairs(self, above: int) -> bool:
+        """Whether two of the first ``cut`` + 1 words are more frequent."""
+        return int((self.counts <= above).sum()) < self.cut
 
     def code(self, bits: int) -> bytes:
         """One bit for each word occurrence, flipped."""
@@ -196,7 +205,8 @@ def pair_counters(reps: DataFrame, counters, share: float, hot: int) -> np.ndarr
         for b in batches:
             for words in b.column(0).to_pylist():
                 t = _Text(words, counters.value, share)
-                total.update(_word_slot(key) for _, _, _, key in t.pairs(hot, t.cut + 1))
+                if t.has_pairs(hot):
+                    total.update(_word_slot(key) for _, _, _, key in t.ordered().pairs(hot, t.cut + 1))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["slot", "n"])
 
     return _summed(reps.select("words").mapInArrow(count, "slot long, n long"))
@@ -226,16 +236,23 @@ def _shards(reps: DataFrame, counters, pair_count, share: float, hot: int, often
         count, pairs = counters.value, None if pair_count is None else pair_count.value
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+            shard, at, adds, size, codes, ids, tabs = cols
             for table, rep, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                t = _Text(words, count, share)
+                t = _Text(words, count, share).ordered()
                 for k in classes(t.n, share):
                     code = t.code(64 * 4**k)
-                    salt = (place[table] * 64 + k) * 0xD6E8FEB86659FD93
+                    tab = place[table] * 64 + k
+                    salt = tab * 0xD6E8FEB86659FD93
                     for key, blocks in shard_keys(t, k, pairs, hot, often):
                         mine = (rep * 0x9E3779B97F4A7C15 >> 20) % blocks
                         for block in range(blocks):
-                            for col, v in zip(cols, (_signed(key + salt & _ALL), block, block == mine, t.n, code, rep, place[table] * 64 + k), strict=True):
-                                col.append(v)
+                            shard.append(_signed(key + salt & _ALL))
+                            at.append(block)
+                            adds.append(block == mine)
+                            size.append(t.n)
+                            codes.append(code)
+                            ids.append(rep)
+                            tabs.append(tab)
             kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["shard", "block", "adds", "n", "code", "rep", "tab"])
 

@@ -113,10 +113,10 @@ def test_shard_rows_do_not_grow_with_the_data():
     words = " ".join(f"w{i}" for i in range(19))
     for times in (10**3, 10**6, 10**9):
         count = np.full(ND.COUNTERS, 100 * times, np.int64)
-        t = ND._Text(words, count, 0.8)
+        t = ND._Text(words, count, 0.8).ordered()
         assert sum(b for _, b in ND.shard_keys(t, 0, count, 4000, 64)) <= 20
     # a hot pair of a long text is cut in blocks
-    t = ND._Text(" ".join(f"w{i}" for i in range(50)), count, 0.8)
+    t = ND._Text(" ".join(f"w{i}" for i in range(50)), count, 0.8).ordered()
     assert all(b > 1 for _, b in ND.shard_keys(t, 1, count, 4000, 64))
     assert list(ND.classes(25, 0.8)) == [0] and list(ND.classes(26, 0.8)) == [0, 1] and list(ND.classes(33, 0.8)) == [1] and list(ND.classes(500, 0.8)) == [2, 3]
 
