@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.names import alias_keys_col, match_key_col
@@ -38,19 +38,28 @@ def name_index(keys: DataFrame) -> DataFrame:
     return g.select("key", "n_nodes", F.when(F.col("n_nodes") == 1, F.col("_id")).alias("node_id"))
 
 
-def resolve(links: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds source_key, target_key, type_key, source_id, target_id, source_nodes and target_nodes (0: not found)."""
+def resolve(links: DataFrame, index: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
+    """Adds source_key, target_key, type_key, source_id, target_id, source_nodes and target_nodes (0: not found).
+
+    Links may carry ``source_ref`` and ``target_ref``, ids that were given with them: one that is the id of a node
+    (``node_ids``: id) goes before the name, and one that is not is ignored.
+    """
     out = links.select("*", match_key_col("source").alias("source_key"), match_key_col("target").alias("target_key"), match_key_col("type").alias("type_key"))
     for side in ("source", "target"):
         out = out.join(index.toDF(f"{side}_key", f"{side}_nodes", f"{side}_id"), f"{side}_key", "left").withColumn(f"{side}_nodes", F.coalesce(f"{side}_nodes", F.lit(0)))
+        ref = f"{side}_ref"
+        if node_ids is not None and ref in links.columns:
+            known = node_ids.select(F.col("id").alias(ref), F.lit(True).alias("_known")).distinct()
+            out = out.join(known, ref, "left").withColumn(f"{side}_id", F.when(F.col("_known"), F.col(ref)).otherwise(F.col(f"{side}_id")))
+            out = out.withColumn(f"{side}_nodes", F.when(F.col("_known"), 1).otherwise(F.col(f"{side}_nodes"))).drop("_known")
     return out
 
 
-def links_of(relations: DataFrame, facts: DataFrame) -> DataFrame:
-    """Relations and complete facts as one table: kind, ref_id, source, type, target, statement, description, ord."""
-    r = relations.select(F.lit(RELATION).alias("kind"), F.col("edge_id").alias("ref_id"), "source", "type", "target", F.lit(None).cast("string").alias("statement"), "description", F.lit(0).alias("ord"))
+def links_of(relations: DataFrame, facts: DataFrame, *more: str) -> DataFrame:
+    """Relations and complete facts as one table: kind, ref_id, source, type, target, statement, description, ord, ``more``."""
+    r = relations.select(F.lit(RELATION).alias("kind"), F.col("edge_id").alias("ref_id"), "source", "type", "target", F.lit(None).cast("string").alias("statement"), "description", F.lit(0).alias("ord"), *more)
     f = facts.filter("subject <> '' AND predicate <> '' AND object <> ''").select(
-        F.lit(FACT).alias("kind"), F.col("fact_id").alias("ref_id"), F.col("subject").alias("source"), F.col("predicate").alias("type"), F.col("object").alias("target"), "statement", F.lit("").alias("description"), F.lit(1).alias("ord")
+        F.lit(FACT).alias("kind"), F.col("fact_id").alias("ref_id"), F.col("subject").alias("source"), F.col("predicate").alias("type"), F.col("object").alias("target"), "statement", F.lit("").alias("description"), F.lit(1).alias("ord"), *more
     )
     return r.unionByName(f)
 
@@ -70,6 +79,39 @@ def edges(resolved: DataFrame) -> DataFrame:
     )
 
 
+EDGE = ("source_key", "type_key", "target_key")
+
+
+def _linked(resolved: DataFrame) -> DataFrame:
+    return resolved.filter("source_nodes > 0 AND target_nodes > 0")
+
+
+def edge_sources(resolved: DataFrame) -> DataFrame:
+    """(edge keys, document_id, section_id, page_number, quote, n): the union of the sources of all links of an edge."""
+    s = _linked(resolved).select(*EDGE, F.explode("sources").alias("_s")).select(*EDGE, *[F.col(f"_s.{c}").alias(c) for c in SOURCE])
+    return s.groupBy(*EDGE, *SOURCE).agg(F.count("*").alias("n"))
+
+
+def edge_statements(resolved: DataFrame) -> DataFrame:
+    """(edge keys, statement, first_fact): the distinct statements of the facts behind an edge."""
+    return _linked(resolved).filter("statement IS NOT NULL").groupBy(*EDGE, "statement").agg(F.min("ref_id").alias("first_fact"))
+
+
+def edge_kinds(edge_table: DataFrame) -> DataFrame:
+    """(edge keys, kinds): what an edge is made of, in the order of the names."""
+    kinds = F.filter(F.array(F.when(F.col("n_facts") > 0, FACT), F.when(F.col("n_relations") > 0, RELATION)), lambda k: k.isNotNull())
+    return edge_table.select(*EDGE, kinds.alias("kinds"))
+
+
+def node_aliases(view: DataFrame, node_table: DataFrame) -> DataFrame:
+    """(id, alias, ord): every other spelling of a node once per key, the earliest spelling first."""
+    v = view.select("id", "item_id", kind_rank(F.col("kind")).alias("_r"), F.posexplode(F.concat(F.array("name"), "aliases")).alias("p", "alias"))
+    v = v.select("id", F.struct("_r", "item_id", "p").alias("at"), "alias", match_key_col("alias").alias("key")).filter("key <> ''")
+    first = v.groupBy("id", "key").agg(F.min(F.struct("at", "alias")).alias("_f"))
+    kept = first.join(node_table.select("id", match_key_col("title").alias("key")), ["id", "key"], "left_anti")
+    return kept.select("id", F.col("_f.alias").alias("alias"), F.row_number().over(Window.partitionBy("id").orderBy("_f.at")).alias("ord"))
+
+
 def unlinked(resolved: DataFrame) -> DataFrame:
     """(kind, ref_id, source, target, reason) of relations and complete facts with an end that is no node."""
     no = resolved.filter("source_nodes = 0 OR target_nodes = 0")

@@ -134,10 +134,20 @@ def facts_view(facts: DataFrame) -> DataFrame:
 
 
 def distinct_facts(view: DataFrame) -> DataFrame:
-    """(key, fact_id, statement, subject, predicate, object, n_facts): the first fact of each statement key is kept."""
-    key = F.when(F.col("key") != "", F.col("key")).otherwise(knowledge_id(F.lit("fact"), F.col("statement")))
+    """(key, fact_id, statement, subject, predicate, object, n_facts, id): the first fact of each statement key is kept."""
     first = F.min(F.struct("fact_id", "statement", "subject", "predicate", "object")).alias("_f")
-    return view.withColumn("key", key).groupBy("key").agg(first, F.count("*").alias("n_facts")).select("key", "_f.*", "n_facts")
+    g = view.withColumn("key", _fact_key()).groupBy("key").agg(first, F.count("*").alias("n_facts"))
+    return g.select("key", "_f.*", "n_facts", knowledge_id(F.lit("fact"), F.col("_f.statement")).alias("id"))
+
+
+def _fact_key() -> Column:
+    return F.when(F.col("key") != "", F.col("key")).otherwise(knowledge_id(F.lit("fact"), F.col("statement")))
+
+
+def merged_fact_sources(view: DataFrame) -> DataFrame:
+    """(key, document_id, section_id, page_number, quote, first_fact): the union of sources of equal facts, none is dropped."""
+    rows = source_rows(view.withColumn("key", _fact_key()), "key", "fact_id")
+    return rows.groupBy("key", *SOURCE).agg(F.min("_o").alias("first_fact"))
 
 
 def canonical_facts(facts: DataFrame, names: DataFrame) -> DataFrame:
@@ -160,14 +170,49 @@ def relations_view(edges: DataFrame, kind: str | None = "relation") -> DataFrame
     return v.filter("source <> '' AND target <> ''").withColumn("id", relation_id(F.col("source"), F.col("type"), F.col("target")))
 
 
-def distinct_relations(view: DataFrame, names: DataFrame) -> DataFrame:
-    """(source_key, type_key, target_key, edge_id, source, type, target, n_relations) after canonical naming."""
+ENDS = ("source_key", "type_key", "target_key")
+
+
+def canonical_relations(view: DataFrame, names: DataFrame) -> DataFrame:
+    """Relations between canonical names, with the keys of both ends and of the type."""
     out = view
     for c in ("source", "target"):
-        out = out.withColumn("_k", match_key_col(c)).join(names.toDF("_k", "_c"), "_k", "left").withColumn(c, F.coalesce("_c", c)).drop("_k", "_c")
-    keyed = out.select("*", match_key_col("source").alias("source_key"), match_key_col("type").alias("type_key"), match_key_col("target").alias("target_key"))
+        out = out.withColumn("_k", match_key_col(c)).join(names.select(F.col("key").alias("_k"), F.col("canonical_name").alias("_c")), "_k", "left").withColumn(c, F.coalesce("_c", c)).drop("_k", "_c")
+    return out.select("*", match_key_col("source").alias("source_key"), match_key_col("type").alias("type_key"), match_key_col("target").alias("target_key"))
+
+
+def distinct_relations(view: DataFrame, names: DataFrame) -> DataFrame:
+    """(source_key, type_key, target_key, edge_id, source, type, target, n_relations) after canonical naming."""
     first = F.min(F.struct("edge_id", "source", "type", "target")).alias("_f")
-    return keyed.groupBy("source_key", "type_key", "target_key").agg(first, F.count("*").alias("n_relations")).select("source_key", "type_key", "target_key", "_f.*", "n_relations")
+    return canonical_relations(view, names).groupBy(*ENDS).agg(first, F.count("*").alias("n_relations")).select(*ENDS, "_f.*", "n_relations")
+
+
+def ids_by_key(view: DataFrame, groups: DataFrame, merged: DataFrame) -> DataFrame:
+    """(key, id): the merged object that a key stands for; of a key's groups entities go first, then the earliest group."""
+    keys = view.join(groups, "item_id").select("group_id", F.explode(alias_keys_col("name", "aliases")).alias("key")).distinct()
+    k = keys.join(merged.select("group_id", "kind", "id"), "group_id")
+    return _best(k, "key", F.col("id"), F.when(F.col("kind") == "concept", 1).otherwise(0), F.col("group_id")).withColumnRenamed("v", "id")
+
+
+def with_end_ids(relations: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct relations with the ids of the objects at their ends, null where no object answers to the key."""
+    out = relations
+    for side in ("source", "target"):
+        out = out.join(ids.select(F.col("key").alias(f"{side}_key"), F.col("id").alias(f"{side}_id")), f"{side}_key", "left")
+    return out
+
+
+def merged_relation_sources(view: DataFrame, names: DataFrame) -> DataFrame:
+    """(source_key, type_key, target_key, document_id, section_id, page_number, quote, first_edge): the union of sources."""
+    c = canonical_relations(view, names).select(*ENDS, "edge_id", F.explode("sources").alias("_s"))
+    return c.select(*ENDS, "edge_id", *[F.col(f"_s.{x}").alias(x) for x in SOURCE]).groupBy(*ENDS, *SOURCE).agg(F.min("edge_id").alias("first_edge"))
+
+
+def merged_relation_descriptions(view: DataFrame, names: DataFrame) -> DataFrame:
+    """(source_key, type_key, target_key, description, ord): distinct descriptions by key, the earliest writing of each."""
+    c = canonical_relations(view, names).filter("description <> ''").select(*ENDS, "edge_id", "description", match_key_col("description").alias("_k"))
+    first = c.groupBy(*ENDS, "_k").agg(F.min(F.struct("edge_id", "description")).alias("_f"))
+    return first.select(*ENDS, F.col("_f.description").alias("description"), F.row_number().over(Window.partitionBy(*ENDS).orderBy("_f.edge_id")).alias("ord"))
 
 
 def merge_report(view: DataFrame, groups: DataFrame, merged: DataFrame) -> DataFrame:

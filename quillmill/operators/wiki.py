@@ -152,8 +152,36 @@ def index_counts(documents: DataFrame, paths: DataFrame, lost_facts: DataFrame,
     return d.select(one, "*").join(p.select(one, "*"), "_j").join(f.select(one, "*"), "_j").join(r.select(one, "*"), "_j").drop("_j")
 
 
-def index_page(counts: DataFrame, documents: DataFrame, paths: DataFrame) -> DataFrame:
-    """(ord, line) of the overview page; rows, because it grows with the wiki."""
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Distinct sources with their number in order; ranks inside parts of the order and sums over the parts, so no task sorts all."""
+    every = sources.withColumn("quote", F.coalesce("quote", F.lit(""))).distinct()
+    every = every.withColumn("_part", F.left(F.coalesce("document_id", F.lit("")), F.lit(2)))
+    order = [F.coalesce("document_id", F.lit("")), F.coalesce("section_id", F.lit("")), F.coalesce("page_number", F.lit(-1)), F.col("quote"), F.col("section_id").isNull()]
+    per = every.groupBy("_part").agg(F.count("*").alias("_n"))
+    per = per.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return every.withColumn("_r", rank).join(F.broadcast(per), "_part").select(*SOURCE, (F.col("_r") + F.col("_before")).alias("number"))
+
+
+def unattached_lists(lost_facts: DataFrame, lost_relations: DataFrame) -> DataFrame:
+    """(part, sort, line) of the facts and relations that belong on no page, with their numbered sources."""
+    f = lost_facts.select(F.lit(20).alias("part"), F.concat_ws("\x01", statement_key_col("statement"), F.lpad(F.col("fact_id").cast("string"), 20, "0")).alias("sort"), F.concat(F.lit("- "), "statement").alias("line"), "sources")
+    keys = F.concat_ws("\x01", *[match_key_col(c) for c in ("source", "type", "target")], F.lpad(F.col("edge_id").cast("string"), 20, "0"))
+    r = lost_relations.select(F.lit(21).alias("part"), keys.alias("sort"), F.concat(F.lit("- "), relation_text(F.lit("out"))).alias("line"), "sources")
+    both = f.unionByName(r)
+    cited = both.select("part", "sort", F.explode("sources").alias("_s")).select("part", "sort", *[F.col(f"_s.{c}").alias(c) for c in SOURCE]).withColumn("quote", F.coalesce("quote", F.lit("")))
+    numbered = _numbered(cited.select(*SOURCE))
+    same = F.col("c.quote") == F.col("n.quote")
+    for c in ("document_id", "section_id", "page_number"):
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"n.{c}"))
+    hits = cited.alias("c").join(numbered.alias("n"), same).select("c.part", "c.sort", "n.number").distinct()
+    marks = hits.groupBy("part", "sort").agg(F.concat(F.lit(" "), F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), "")).alias("marks"))
+    lines = both.join(marks, ["part", "sort"], "left").select("part", "sort", F.concat("line", F.coalesce("marks", F.lit(""))).alias("line"))
+    return lines.unionByName(numbered.select(F.lit(22).alias("part"), F.lpad(F.col("number").cast("string"), 20, "0").alias("sort"), source_line(F.col("number")).alias("line")))
+
+
+def index_page(counts: DataFrame, documents: DataFrame, paths: DataFrame, lost_facts: DataFrame | None = None, lost_relations: DataFrame | None = None) -> DataFrame:
+    """(part, sort, line) of the overview page in its order; rows, because it grows with the wiki."""
     head = counts.select(
         F.lit(0).alias("part"), F.lit("").alias("sort"),
         F.concat_ws(" · ", *[F.concat(F.col(c).cast("string"), F.lit(f" {t}")) for c, t in (("documents", "document(s)"), ("entity_pages", "entity page(s)"), ("concept_pages", "concept page(s)"), ("unattached_facts", "unattached fact(s)"), ("unattached_relations", "unattached relation(s)"))]).alias("line"),
@@ -163,5 +191,6 @@ def index_page(counts: DataFrame, documents: DataFrame, paths: DataFrame) -> Dat
         F.concat(F.lit("- `"), "document_id", F.lit("` — "), F.coalesce(F.nullif(F.col("_d.title"), F.lit("")), F.col("document_id")), F.when(F.coalesce("_d.source", F.lit("")) != "", F.concat(F.lit(" ("), "_d.source", F.lit(")"))).otherwise("")).alias("line"),
     )
     pages = paths.select((kind_rank(F.col("kind")) + 2).alias("part"), F.concat_ws("\x01", match_key_col("title"), "object_id").alias("sort"), F.concat(F.lit("- "), "title", F.lit(" → "), "path").alias("line"))
-    return head.unionByName(docs).unionByName(pages)
+    out = head.unionByName(docs).unionByName(pages)
+    return out if lost_facts is None else out.unionByName(unattached_lists(lost_facts, lost_relations))
 

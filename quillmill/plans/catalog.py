@@ -23,6 +23,7 @@ from quillmill.operators import linker as N
 from quillmill.operators import search as S
 from quillmill.operators import wiki as W
 from quillmill.plans.kb import KnowledgeBase
+from quillmill.session import cut
 from quillmill.sources import diagram as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,16 +175,99 @@ def extract_facts(kb: KnowledgeBase) -> DataFrame:
     return good.select("fact_id", "id", "statement", "subject", "predicate", "object")
 
 
-@query(f"""WITH {_FACTS}, s AS (SELECT fact_id, unnest(sources) AS s, generate_subscripts(sources, 1) - 1 AS pos FROM fv),
-k AS (SELECT section_id, max(page_number) AS page FROM sections WHERE section_id IS NOT NULL GROUP BY section_id)
-SELECT fact_id, CAST(pos AS INTEGER) AS pos, k.section_id, coalesce(k.page, s.page_number) AS page_number FROM s LEFT JOIN k ON k.section_id = nullif({_strip('s.section_id')}, '')""")
+def _document_answers(kb: KnowledgeBase) -> DataFrame:
+    """(document_id, raw): what was read from each document as one answer with all four lists, as a model would write it."""
+    cited = F.transform("sources", lambda s: F.struct(s["section_id"].alias("section_id"), s["page_number"].alias("page_number"), s["quote"].alias("quote"))).alias("sources")
+
+    def first(table: str, key: str, *cols: str) -> DataFrame:
+        t = kb.table(table).filter(f"{key} IS NOT NULL AND document_id IS NOT NULL")
+        return t.groupBy(key).agg(F.min(F.struct("document_id", *cols, "sources")).alias("_d")).select(F.col(key).alias("ref"), "_d.*")
+
+    def listed(rows: DataFrame, name: str, *fields) -> DataFrame:
+        each = F.array_sort(F.collect_list(F.struct("ref", F.struct(*fields, cited).alias("item"))))
+        return rows.groupBy("document_id").agg(F.transform(each, lambda x: x["item"]).alias(name))
+
+    items = first("items", "item_id", "kind", "name", "item_type", "description", "aliases")
+    shown = ("name", F.col("item_type").alias("type"), "description", "aliases")
+    concept = F.coalesce("kind", F.lit("entity")) == "concept"
+    facts = first("facts", "fact_id", "statement", "fact_subject", "fact_predicate", "fact_object")
+    edges = first("edges", "edge_id", "source", "target", "edge_type", "kind", "description").filter("kind = 'relation'")
+    parts = [
+        listed(items.filter(~concept), "entities", *shown), listed(items.filter(concept), "concepts", *shown),
+        listed(facts, "facts", "statement", F.col("fact_subject").alias("subject"), F.col("fact_predicate").alias("predicate"), F.col("fact_object").alias("object")),
+        listed(edges, "relations", "source", "target", F.col("edge_type").alias("type"), "description"),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.join(p, "document_id", "full")
+    lists = [F.coalesce(F.col(k), F.array().cast(whole.schema[k].dataType)).alias(k) for k in X.LISTS]
+    return whole.select("document_id", F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(*lists)), F.lit("\n```")).alias("raw"))
+
+
+def _read_items(kb: KnowledgeBase) -> DataFrame:
+    return cut(X.payload_items(X.check_contract(X.read_answers(_document_answers(kb), "document_id"), "document_id"), "document_id"))
+
+
+def _good_items(kb: KnowledgeBase) -> DataFrame:
+    items = _read_items(kb)
+    return X.with_ids(X.accepted(items, X.item_errors(items, "document_id"), "document_id"))
+
+
+_NS = lambda c: f"coalesce({_strip(c)}, '')"
+_EX = f"""WITH el AS (
+  SELECT document_id, CASE WHEN kind = 'concept' THEN 'concepts' ELSE 'entities' END AS list, item_id AS ref, {_NS('name')} AS name, {_NS('description')} AS description, '' AS statement, '' AS source, '' AS type, '' AS target, sources FROM {_first('items', 'item_id')}
+  UNION ALL SELECT document_id, 'facts', fact_id, '', '', {_NS('statement')}, '', '', '', sources FROM {_first('facts', 'fact_id')}
+  UNION ALL SELECT document_id, 'relations', edge_id, '', {_NS('description')}, '', {_NS('source')}, {_NS('edge_type')}, {_NS('target')}, sources FROM {_first('edges', 'edge_id')} WHERE kind = 'relation'),
+en AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id, list ORDER BY ref) - 1 AS INTEGER) AS index,
+  CASE WHEN list IN ('entities', 'concepts') AND name = '' THEN 'name' WHEN list = 'facts' AND statement = '' THEN 'statement' WHEN list = 'relations' AND source = '' THEN 'source' WHEN list = 'relations' AND target = '' THEN 'target' END AS need FROM el WHERE document_id IS NOT NULL),
+gd AS (SELECT *, CASE list WHEN 'entities' THEN 'entity' WHEN 'concepts' THEN 'concept' WHEN 'facts' THEN 'fact' ELSE 'relation' END AS kind,
+  left(sha1(CASE list WHEN 'entities' THEN 'entity:' || {_norm('name')} WHEN 'concepts' THEN 'concept:' || {_norm('name')} WHEN 'facts' THEN 'fact:' || {_norm('statement')} ELSE 'relation:' || {_norm("source || '|' || type || '|' || target")} END), 16) AS id
+  FROM en WHERE document_id NOT IN (SELECT document_id FROM en WHERE need IS NOT NULL))"""
+
+
+@query(f"{_EX} SELECT document_id, list, index, kind, id, name, statement FROM gd")
+def extract_items(kb: KnowledgeBase) -> DataFrame:
+    """Elements of all lists of the answers that hold no error, with their ids."""
+    return _good_items(kb).select("document_id", "list", "index", "kind", "id", "name", "statement")
+
+
+@query(f"{_EX} SELECT document_id, list, index, list || '[' || index || ']: ''' || need || ''' must be a non-empty string' AS error FROM en WHERE need IS NOT NULL")
+def extract_rejected(kb: KnowledgeBase) -> DataFrame:
+    return X.item_errors(_read_items(kb), "document_id")
+
+
+@query(f"{_EX} SELECT document_id, count(*) FILTER (list = 'entities') AS entities, count(*) FILTER (list = 'concepts') AS concepts, count(*) FILTER (list = 'facts') AS facts, count(*) FILTER (list = 'relations') AS relations FROM gd GROUP BY document_id")
+def extract_counts(kb: KnowledgeBase) -> DataFrame:
+    return X.item_counts(_good_items(kb), "document_id")
+
+
+@query(f"""{_EX}, nn AS (SELECT document_id, {_norm('name')} AS n, arg_min(id, (CASE list WHEN 'entities' THEN 0 ELSE 1 END, index)) AS id FROM gd WHERE list IN ('entities', 'concepts') GROUP BY ALL)
+SELECT gd.document_id, gd.index, source, target, a.id AS source_id, b.id AS target_id FROM gd LEFT JOIN nn a ON a.document_id = gd.document_id AND a.n = {_norm('source')} LEFT JOIN nn b ON b.document_id = gd.document_id AND b.n = {_norm('target')} WHERE list = 'relations'""")
+def extract_endpoints(kb: KnowledgeBase) -> DataFrame:
+    return X.resolve_endpoints(_good_items(kb), "document_id").select("document_id", "index", "source", "target", "source_id", "target_id")
+
+
+@query(f"{_EX} SELECT document_id, kind, id, min(index) AS first_index, count(*) AS n, coalesce(arg_min(description, index) FILTER (description <> ''), '') AS description FROM gd GROUP BY document_id, kind, id")
+def extract_duplicates(kb: KnowledgeBase) -> DataFrame:
+    """Elements of one document that are one object."""
+    return X.merge_duplicates(_good_items(kb), "document_id")
+
+
+_REPAIRED = f"""rp AS (SELECT document_id, list, index, CAST(pos AS INTEGER) AS pos, nullif({_strip('s.section_id')}, '') AS asked, s.page_number AS claimed, coalesce({_strip('s.quote')}, '') AS quote
+  FROM (SELECT document_id, list, index, unnest(sources) AS s, generate_subscripts(sources, 1) - 1 AS pos FROM gd)),
+ks AS (SELECT document_id, section_id, max(page_number) AS page FROM sections WHERE section_id IS NOT NULL GROUP BY document_id, section_id),
+kp AS (SELECT DISTINCT document_id, page_number FROM sections WHERE page_number IS NOT NULL),
+fx AS (SELECT rp.*, ks.section_id, ks.page, kp.page_number IS NOT NULL AS page_known, rp.document_id IN (SELECT document_id FROM kp WHERE document_id IS NOT NULL) AS paged
+  FROM rp LEFT JOIN ks ON ks.document_id = rp.document_id AND ks.section_id = asked LEFT JOIN kp ON kp.document_id = rp.document_id AND kp.page_number = claimed)"""
+
+
+@query(f"""{_EX}, {_REPAIRED} SELECT document_id, list, index, pos, section_id, coalesce(page, CASE WHEN paged AND NOT page_known THEN NULL ELSE claimed END) AS page_number, quote,
+nullif(concat_ws('; ', CASE WHEN asked IS NOT NULL AND section_id IS NULL THEN 'unknown section id ''' || asked || ''' dropped' END, CASE WHEN page IS NOT NULL AND claimed IS NOT NULL AND page <> claimed THEN 'the section page is used' END,
+  CASE WHEN page IS NULL AND paged AND claimed IS NOT NULL AND NOT page_known THEN 'unknown page number ' || claimed || ' dropped' END), '') AS note FROM fx""")
 def extract_sources(kb: KnowledgeBase) -> DataFrame:
-    """Citations of facts repaired against all sections: unknown sections are dropped, the section's page wins."""
-    items = kb.facts.select(F.lit(1).alias("all"), F.lit("facts").alias("list"), F.col("fact_id").alias("index"), F.transform("sources", lambda s: F.struct(s["section_id"].alias("section_id"), s["page_number"].cast("string").alias("page_number"), s["quote"].alias("quote"))).alias("sources"))
-    known = kb.table("sections").filter("section_id IS NOT NULL").groupBy("section_id").agg(F.max("page_number").alias("section_page"))
-    s = items.select(F.col("index").alias("fact_id"), F.posexplode("sources").alias("pos", "s")).select("fact_id", "pos", F.nullif(F.trim("s.section_id"), F.lit("")).alias("section_id"), F.col("s.page_number").try_cast("int").alias("p"))
-    hit = s.join(known.withColumnRenamed("section_id", "k"), F.col("section_id") == F.col("k"), "left")
-    return hit.select("fact_id", "pos", F.col("k").alias("section_id"), F.coalesce("section_page", "p").alias("page_number"))
+    """Citations of the answers repaired against the sections of their documents."""
+    sections = kb.table("sections").filter("section_id IS NOT NULL AND document_id IS NOT NULL").select("document_id", "section_id", "page_number")
+    return X.repair_sources(_good_items(kb), "document_id", sections)
 
 
 @query(f"SELECT verdict_id, same, coalesce({_strip('verdict_reason')}, '') AS reason, CASE WHEN same IS NULL THEN '''same'' must be true or false' END AS error FROM verdicts")
@@ -254,6 +338,43 @@ def merge_relations(kb: KnowledgeBase) -> DataFrame:
     return K.distinct_relations(kb.relations, kb.names)
 
 
+_FF = f"ff AS (SELECT CASE WHEN key <> '' THEN key ELSE left(sha1('fact:' || {_norm('statement')}), 16) END AS key, fact_id, statement, sources FROM fv)"
+_RC = f"""rc AS (SELECT edge_id, {_key('coalesce(a.canonical_name, source)')} AS source_key, {_key('type')} AS type_key, {_key('coalesce(b.canonical_name, target)')} AS target_key, description, sources
+  FROM rv LEFT JOIN mp a ON a.key = {_key('source')} LEFT JOIN mp b ON b.key = {_key('target')})"""
+_REF = "s.document_id AS document_id, s.section_id AS section_id, s.page_number AS page_number, s.quote AS quote"
+
+
+@query(f"WITH {_FACTS}, {_FF} SELECT key, arg_min(left(sha1('fact:' || {_norm('statement')}), 16), fact_id) AS id FROM ff GROUP BY key")
+def merge_fact_ids(kb: KnowledgeBase) -> DataFrame:
+    return K.distinct_facts(kb.facts).select("key", "id")
+
+
+@query(f"WITH {_FACTS}, {_FF} SELECT key, {_REF}, min(fact_id) AS first_fact FROM (SELECT key, fact_id, unnest(sources) AS s FROM ff) GROUP BY ALL")
+def merge_fact_sources(kb: KnowledgeBase) -> DataFrame:
+    return K.merged_fact_sources(kb.facts)
+
+
+@query(f"{_KB}, {_RC} SELECT source_key, type_key, target_key, {_REF}, min(edge_id) AS first_edge FROM (SELECT source_key, type_key, target_key, edge_id, unnest(sources) AS s FROM rc) GROUP BY ALL")
+def merge_relation_sources(kb: KnowledgeBase) -> DataFrame:
+    return K.merged_relation_sources(kb.relations, kb.names)
+
+
+@query(f"""{_KB}, {_RC}, dd AS (SELECT source_key, type_key, target_key, arg_min(description, edge_id) AS description, min(edge_id) AS e FROM rc WHERE description <> '' GROUP BY source_key, type_key, target_key, {_key('description')})
+SELECT source_key, type_key, target_key, description, CAST(row_number() OVER (PARTITION BY source_key, type_key, target_key ORDER BY e) AS INTEGER) AS ord FROM dd""")
+def merge_relation_descriptions(kb: KnowledgeBase) -> DataFrame:
+    return K.merged_relation_descriptions(kb.relations, kb.names)
+
+
+@query(f"""{_KB}, {_RC}, mi AS (SELECT group_id, kind, CASE WHEN n > 1 THEN left(sha1(kind || ':' || {_norm('canonical_name')}), 16) ELSE own END AS id
+  FROM (SELECT group_id, arg_min(kind, item_id) AS kind, arg_min(id, item_id) AS own, count(*) AS n FROM iv JOIN gr USING (item_id) GROUP BY group_id) JOIN nm USING (group_id)),
+ib AS (SELECT key, arg_min(id, r) AS id FROM (SELECT ik.key, mi.id, row_number() OVER (PARTITION BY ik.key ORDER BY CASE WHEN mi.kind = 'concept' THEN 1 ELSE 0 END, group_id) AS r FROM ik JOIN gr USING (item_id) JOIN mi USING (group_id)) GROUP BY key)
+SELECT DISTINCT source_key, type_key, target_key, s.id AS source_id, t.id AS target_id FROM rc LEFT JOIN ib s ON s.key = source_key LEFT JOIN ib t ON t.key = target_key""")
+def merge_relation_ids(kb: KnowledgeBase) -> DataFrame:
+    """Merged relations with the ids of the objects at their ends."""
+    r = K.with_end_ids(K.distinct_relations(kb.relations, kb.names), K.ids_by_key(kb.items, kb.groups, kb.merged))
+    return r.select("source_key", "type_key", "target_key", "source_id", "target_id")
+
+
 @query(f"""{_KB}, ks AS (SELECT group_id, min(key) = max(key) AS one, count(*) AS n_items, arg_min(kind, item_id) AS kind FROM iv JOIN gr USING (item_id) GROUP BY group_id)
 SELECT group_id, kind, canonical_name, n_items, CASE WHEN one THEN 'normalized-name' ELSE 'judge' END AS method FROM ks JOIN nm USING (group_id) WHERE n_items > 1""")
 def merge_report(kb: KnowledgeBase) -> DataFrame:
@@ -357,6 +478,36 @@ def graph_node_sources(kb: KnowledgeBase) -> DataFrame:
     return G.node_sources(kb.items)
 
 
+_LINKED = "lz AS (SELECT rs.*, z.sources, z.statement FROM rs JOIN (SELECT 'relation' AS kind, edge_id AS ref_id, sources, NULL AS statement FROM rv UNION ALL SELECT 'fact', fact_id, sources, statement FROM fv) z USING (kind, ref_id) WHERE sn > 0 AND tn > 0)"
+
+
+def _links(kb: KnowledgeBase) -> DataFrame:
+    return G.resolve(G.links_of(kb.relations, kb.facts, "sources"), G.name_index(kb.keys))
+
+
+@query(f"{_KG}, {_LINKED} SELECT sk AS source_key, yk AS type_key, tk AS target_key, {_REF}, count(*) AS n FROM (SELECT sk, yk, tk, unnest(sources) AS s FROM lz) GROUP BY ALL")
+def graph_edge_sources(kb: KnowledgeBase) -> DataFrame:
+    return G.edge_sources(_links(kb))
+
+
+@query(f"{_KG}, {_LINKED} SELECT sk AS source_key, yk AS type_key, tk AS target_key, statement, min(ref_id) AS first_fact FROM lz WHERE statement IS NOT NULL GROUP BY ALL")
+def graph_edge_statements(kb: KnowledgeBase) -> DataFrame:
+    return G.edge_statements(kb.resolved)
+
+
+@query(f"{_KG} SELECT source_key, type_key, target_key, CASE WHEN n_facts > 0 AND n_relations > 0 THEN ['fact', 'relation'] WHEN n_facts > 0 THEN ['fact'] ELSE ['relation'] END AS kinds FROM ed")
+def graph_edge_kinds(kb: KnowledgeBase) -> DataFrame:
+    return G.edge_kinds(kb.edges)
+
+
+@query(f"""WITH {_ITEMS}, r AS (SELECT *, CASE kind WHEN 'entity' THEN 0 WHEN 'concept' THEN 1 ELSE 9 END AS r FROM iv), ti AS (SELECT id, {_key('arg_min(name, (r, item_id))')} AS key FROM r GROUP BY id),
+al AS (SELECT id, a AS alias, {_key('a')} AS key, (r, item_id, p) AS pl FROM (SELECT id, r, item_id, unnest(list_prepend(name, aliases)) AS a, generate_subscripts(list_prepend(name, aliases), 1) AS p FROM r)),
+fa AS (SELECT id, key, arg_min(alias, pl) AS alias, min(pl) AS pl FROM al WHERE key <> '' GROUP BY id, key)
+SELECT id, alias, CAST(row_number() OVER (PARTITION BY id ORDER BY pl) AS INTEGER) AS ord FROM fa ANTI JOIN ti USING (id, key)""")
+def graph_node_aliases(kb: KnowledgeBase) -> DataFrame:
+    return G.node_aliases(kb.items, kb.nodes)
+
+
 @query()
 def graph_layout_key(kb: KnowledgeBase) -> DataFrame:
     return G.layout_key(kb.nodes)
@@ -468,12 +619,30 @@ def wiki_index_counts(kb: KnowledgeBase) -> DataFrame:
     return W.index_counts(kb.documents, kb.page_paths, W.unattached(kb.facts, f, "fact_id"), W.unattached(kb.relations, r, "edge_id"))
 
 
-@query()
+_COLLAPSED = _strip(f"regexp_replace(coalesce(quote, ''), '{_SP}+', ' ', 'g')")
+_INDEX = f"""k AS (SELECT DISTINCT key FROM nk),
+lf AS (SELECT *, {_key('subject')} AS a, {_key('object')} AS b FROM fv WHERE a NOT IN (SELECT key FROM k) AND b NOT IN (SELECT key FROM k)),
+lr AS (SELECT *, {_key('source')} AS a, {_key('target')} AS b FROM rv WHERE a NOT IN (SELECT key FROM k) AND b NOT IN (SELECT key FROM k)),
+en AS (SELECT 20 AS part, key || chr(1) || lpad(CAST(fact_id AS VARCHAR), 20, '0') AS sort, '- ' || statement AS line, sources FROM lf
+  UNION ALL SELECT 21, a || chr(1) || {_key('type')} || chr(1) || b || chr(1) || lpad(CAST(edge_id AS VARCHAR), 20, '0'), '- ' || source || ' ' || CASE WHEN type <> '' THEN '—' || type || '→' ELSE '→' END || ' ' || target, sources FROM lr),
+ci AS (SELECT part, sort, s.document_id AS document_id, s.section_id AS section_id, s.page_number AS page_number, coalesce(s.quote, '') AS quote FROM (SELECT part, sort, unnest(sources) AS s FROM en)),
+nu AS (SELECT *, row_number() OVER (ORDER BY coalesce(document_id, ''), coalesce(section_id, ''), coalesce(page_number, -1), quote, section_id IS NULL) AS number FROM (SELECT DISTINCT document_id, section_id, page_number, quote FROM ci)),
+mk AS (SELECT part, sort, ' ' || string_agg('[' || number || ']', '' ORDER BY number) AS marks FROM (SELECT DISTINCT ci.part, ci.sort, nu.number FROM ci JOIN nu ON ci.quote = nu.quote AND ci.document_id IS NOT DISTINCT FROM nu.document_id AND ci.section_id IS NOT DISTINCT FROM nu.section_id AND ci.page_number IS NOT DISTINCT FROM nu.page_number) GROUP BY part, sort)"""
+
+
+@query(f"""WITH {_ITEMS}, {_FACTS}, {_RELATIONS}, {_PATHS}, {_INDEX}
+SELECT 0 AS part, '' AS sort, (SELECT count(DISTINCT document_id) FROM documents) || ' document(s) · ' || (SELECT count(DISTINCT id) FROM iv WHERE kind = 'entity') || ' entity page(s) · ' || (SELECT count(DISTINCT id) FROM iv WHERE kind = 'concept') || ' concept page(s) · ' || (SELECT count(*) FROM lf) || ' unattached fact(s) · ' || (SELECT count(*) FROM lr) || ' unattached relation(s)' AS line
+UNION ALL SELECT 1, document_id, '- `' || document_id || '` — ' || coalesce(nullif(t, ''), document_id) || CASE WHEN coalesce(s, '') <> '' THEN ' (' || s || ')' ELSE '' END
+  FROM (SELECT document_id, d.t AS t, d.s AS s FROM (SELECT document_id, arg_min(struct_pack(t := title, s := source), (title IS NOT NULL, title, source IS NOT NULL, source)) AS d FROM documents GROUP BY document_id))
+UNION ALL SELECT CASE kind WHEN 'entity' THEN 2 WHEN 'concept' THEN 3 ELSE 11 END, {_key('title')} || chr(1) || object_id, '- ' || title || ' → ' || nm || '.md' FROM nm2
+UNION ALL SELECT part, sort, line || coalesce(marks, '') FROM en LEFT JOIN mk USING (part, sort)
+UNION ALL SELECT 22, lpad(CAST(number AS VARCHAR), 20, '0'), number || '. ' || concat_ws(' · ', '**' || coalesce(document_id, '') || '**', CASE WHEN coalesce(section_id, '') <> '' THEN 'section `' || section_id || '`' END, CASE WHEN page_number IS NOT NULL THEN 'page ' || page_number END)
+  || CASE WHEN q = '' THEN '' WHEN length(q) <= 300 THEN ' — “' || q || '”' ELSE ' — “' || rtrim(left(q, 300)) || '…”' END FROM (SELECT *, {_COLLAPSED} AS q FROM nu)""")
 def wiki_index(kb: KnowledgeBase) -> DataFrame:
     keys = W.page_keys(kb.items)
-    f, r = W.route(kb.facts, keys, "fact_id", "subject", "object"), W.route(kb.relations, keys, "edge_id", "source", "target")
-    counts = W.index_counts(kb.documents, kb.page_paths, W.unattached(kb.facts, f, "fact_id"), W.unattached(kb.relations, r, "edge_id"))
-    return W.index_page(counts, kb.documents, kb.page_paths)
+    f = W.unattached(kb.facts, W.route(kb.facts, keys, "fact_id", "subject", "object"), "fact_id")
+    r = W.unattached(kb.relations, W.route(kb.relations, keys, "edge_id", "source", "target"), "edge_id")
+    return W.index_page(W.index_counts(kb.documents, kb.page_paths, f, r), kb.documents, kb.page_paths, f, r)
 
 
 def _link_index(kb: KnowledgeBase) -> DataFrame:
@@ -516,9 +685,14 @@ def search_top(kb: KnowledgeBase) -> DataFrame:
     return S.search(_search_table(kb), "binary trace", limit=20, snippet=False).select("path", "title", "score")
 
 
-@query()
+_SNIPPET = f"""sn AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS b, list_min(list_filter([strpos(lower(coalesce(text, '')), 'binary'), strpos(lower(coalesce(text, '')), 'trace')], lambda p: p > 0)) AS p FROM documents),
+so AS (SELECT path, b, coalesce(greatest(p - 81, 0), 0) AS a, coalesce(least(p - 1 + CASE WHEN strpos(lower(b), 'binary') = p THEN 6 ELSE 5 END + 80, length(b)), least(160, length(b))) AS z FROM sn),
+sp AS (SELECT path, a, z, b, {_strip(f"regexp_replace(substr(b, a + 1, z - a), '{_SP}+', ' ', 'g')")} AS w FROM so)"""
+
+
+@query(_search_sql("binary trace").replace("WITH n AS", f"WITH {_SNIPPET}, n AS").replace("SELECT path, title, score FROM s WHERE score > 0", "SELECT path, title, score, CASE WHEN w = '' THEN '' ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || w || CASE WHEN z < length(b) THEN '…' ELSE '' END END AS snippet FROM s JOIN sp USING (path) WHERE score > 0 ORDER BY score DESC, path LIMIT 20"))
 def search_snippets(kb: KnowledgeBase) -> DataFrame:
-    return S.search(_search_table(kb), "binary trace", limit=20)
+    return S.search(_search_table(kb), "binary trace", limit=20).select("path", "title", "score", "snippet")
 
 
 @query()
@@ -547,7 +721,10 @@ def lw_edges(kb: KnowledgeBase) -> DataFrame:
     return M.diagram_edges(_diagrams(kb), "doc_id")
 
 
-@query()
+@query(_LW + r""" SELECT doc_id, CAST(n AS INTEGER) AS line, CAST(p AS INTEGER) AS "column", 'link operator ''==>'' is not supported in this version; use ''-->''' AS message FROM (
+  SELECT doc_id, min(n) AS n, arg_min(strpos(l, '-->'), n) AS p FROM (SELECT doc_id, n, regexp_replace(l, '%%.*$', '') AS l FROM (
+    SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS n FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS a FROM documents WHERE doc_format = 'lw' AND text IS NOT NULL))) WHERE contains(l, '-->') GROUP BY doc_id)""")
 def lw_errors(kb: KnowledgeBase) -> DataFrame:
-    return M.diagram_errors(_diagrams(kb), "doc_id")
-
+    """Errors of all diagrams when their arrows are typed as an operator that the language does not have."""
+    thick = kb.documents.filter("doc_format = 'lw' AND text IS NOT NULL").select("doc_id", F.replace("text", F.lit("-->"), F.lit("==>")).alias("text"))
+    return M.diagram_errors(M.parse_diagrams(thick, "doc_id", "text"), "doc_id")
