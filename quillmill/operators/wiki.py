@@ -1,11 +1,16 @@
 """Wiki pages: file names, routing of facts and relations to pages, numbered sources, rendered text.
 
-Routing is an equi-join of endpoint keys with page keys. A page's text is put together from rows in a fixed order; it is
-as long as what belongs on the page.
+Routing is an equi-join of endpoint keys with page keys. What belongs on a page are rows in a fixed order. A page of at most
+``MOST_LINES`` rows is one text; a longer one (a name with a share of all edges) comes in parts of so many rows, made
+from the rows in their order over many tasks, so that no page is ever collected. Parts joined by line ends are the page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +18,12 @@ from quillmill.functions.names import alias_keys_col, match_key_col, short_hash,
 from quillmill.functions.text import short
 from quillmill.operators.graph import kind_rank
 from quillmill.operators.knowledge import SOURCE, source_rows
+from quillmill.session import cut
 
 MAX_STEM, MAX_QUOTE = 80, 300
+#: Rows of facts, relations and sources that one text holds.
+MOST_LINES = 5000
+HEADINGS = ((2, "Facts"), (3, "Relations"), (4, "Sources"))
 #: Device names that cannot be file names.
 RESERVED = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
 
@@ -97,9 +106,61 @@ def relation_text(direction: Column) -> Column:
     return F.when(direction == "in", F.concat(F.lit("← "), text)).otherwise(text)
 
 
-def _joined(df: DataFrame, order: list[Column], line: Column, out: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))))
-    return df.groupBy("object_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias(out))
+def _ordered(c: Column) -> Column:
+    """A number as text of the same order."""
+    return F.lpad(c.cast("string"), 20, "0")
+
+
+def _lines(df: DataFrame, rank: int, order: list[Column], line: Column) -> DataFrame:
+    return df.select("object_id", F.lit(rank).alias("rank"), F.concat_ws("\x01", *order).alias("o"), line.alias("line"))
+
+
+def _joined(lines: DataFrame, out: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("o", "line")))
+    return lines.groupBy("object_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias(out))
+
+
+def _in_parts(rows: DataFrame, most: int) -> DataFrame:
+    """(object_id, section, key, text) of ordered (object_id, rank, o, line): at most ``most`` lines of one section in a part.
+
+    Rows are sorted by ranges of the whole order, so a page is spread over tasks; keys rise in the order of the parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 32
+        now: tuple | None = None
+        held: list[str] = []
+        done: tuple[list, list, list, list] = ([], [], [], [])
+
+        def close() -> None:
+            nonlocal key
+            if now is not None:
+                for col, v in zip(done, (now[0], now[1], key, "\n".join(held)), strict=True):
+                    col.append(v)
+                key += 1
+            held.clear()
+
+        for b in batches:
+            for page, rank, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if (page, rank) != now or len(held) >= most:
+                    close()
+                    now = (page, rank)
+                held.append(line)
+            yield _batch(done)
+        close()
+        yield _batch(done)
+
+    def _batch(done: tuple[list, list, list, list]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds, strict=True)], names=["object_id", "rank", "key", "text"])
+        for c in done:
+            c.clear()
+        return out
+
+    order = ["object_id", "rank", "o"]
+    parts = rows.select(*order, "line").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "object_id string, rank int, key long, text string")
+    section = F.get(F.array(*[F.lit(t) for t in ("", "Description", *(h for _, h in HEADINGS))]), F.col("rank"))
+    return parts.select("object_id", section.alias("section"), "key", "text")
 
 
 def _marks(routes: DataFrame, owner: DataFrame, ref: str, numbered: DataFrame) -> DataFrame:
@@ -117,30 +178,58 @@ def _yaml(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def render_pages(view: DataFrame, node_table: DataFrame, facts: DataFrame, relations: DataFrame, front_matter: bool = True) -> DataFrame:
-    """(path, object_id, kind, title, text) of every page: front matter, description, facts, relations, sources."""
+def render_pages(view: DataFrame, node_table: DataFrame, facts: DataFrame, relations: DataFrame, front_matter: bool = True, most: int = MOST_LINES) -> DataFrame:
+    """(path, object_id, kind, title, part, section, text): front matter, description, facts, relations, sources.
+
+    A page of up to ``most`` lines is part 0 with a null section; a longer one has parts 0, 1... of one section each.
+    """
     paths, keys = page_paths(page_targets(view)), page_keys(view)
     fr, rr = route(facts, keys, "fact_id", "subject", "object"), route(relations, keys, "edge_id", "source", "target")
     numbered = page_sources(view, facts, relations, fr, rr)
     fl = fr.join(facts.select("fact_id", "statement", statement_key_col("statement").alias("_k")), "fact_id").join(_marks(fr, facts, "fact_id", numbered), ["object_id", "fact_id"], "left")
-    fl = _joined(fl, [F.col("_k"), F.col("fact_id")], F.concat(F.lit("- "), "statement", F.coalesce("marks", F.lit(""))), "_facts")
+    fl = _lines(fl, 2, [F.col("_k"), _ordered(F.col("fact_id"))], F.concat(F.lit("- "), "statement", F.coalesce("marks", F.lit(""))))
     keyed = relations.select("edge_id", "source", "type", "target", *[match_key_col(c).alias(f"_{c}") for c in ("source", "type", "target")])
     rl = rr.join(keyed, "edge_id").join(_marks(rr, relations, "edge_id", numbered), ["object_id", "edge_id"], "left")
-    rl = _joined(rl, [F.col("_source"), F.col("_type"), F.col("_target"), F.col("edge_id")], F.concat(F.lit("- "), relation_text(F.col("direction")), F.coalesce("marks", F.lit(""))), "_relations")
-    sl = _joined(numbered, [F.col("number")], source_line(F.col("number")), "_sources")
+    rl = _lines(rl, 3, [F.col("_source"), F.col("_type"), F.col("_target"), _ordered(F.col("edge_id"))], F.concat(F.lit("- "), relation_text(F.col("direction")), F.coalesce("marks", F.lit(""))))
+    sl = _lines(numbered, 4, [_ordered(F.col("number"))], source_line(F.col("number")))
+    lines = cut(fl.unionByName(rl).unionByName(sl))
+    per = lines.groupBy("object_id").agg(F.count("*").alias("n"))
+    big = cut(per.filter(F.col("n") > most).select("object_id"))
+    few = lines.join(big, "object_id", "left_anti")
     al = view.select(F.col("id").alias("object_id"), "item_id", F.posexplode("aliases").alias("p", "alias")).filter("btrim(alias) <> ''")
     al = al.groupBy("object_id", "alias").agg(F.min(F.struct("item_id", "p")).alias("_o"))
-    al = _joined(al, [F.col("_o"), F.col("alias")], F.concat(F.lit("  - "), _yaml(F.col("alias"))), "_aliases")
-    p = paths.join(node_table.select(F.col("id").alias("object_id"), "type", "description"), "object_id", "left")
-    for part in (fl, rl, sl, al):
-        p = p.join(part, "object_id", "left")
-    block = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {title}\n\n"), c, F.lit("\n\n"))).otherwise("")
+    al = _joined(_lines(al, 0, [_ordered(F.col("_o.item_id")), _ordered(F.col("_o.p")), F.col("alias")], F.concat(F.lit("  - "), _yaml(F.col("alias")))), "_aliases")
+    p = paths.join(node_table.select(F.col("id").alias("object_id"), "type", "description"), "object_id", "left").join(al, "object_id", "left")
     front = F.concat(
         F.lit("---\nid: "), _yaml(F.col("object_id")), F.lit("\nkind: "), _yaml(F.col("kind")), F.when(F.coalesce("type", F.lit("")) != "", F.concat(F.lit("\ntype: "), _yaml(F.col("type")))).otherwise(""),
         F.when(F.col("_aliases").isNotNull(), F.concat(F.lit("\naliases:\n"), "_aliases")).otherwise(""), F.lit("\npage: "), _yaml(F.col("path")), F.lit("\n---\n"),
     )
-    text = F.concat(front if front_matter else F.lit(""), F.lit("# "), "title", F.lit("\n\n"), block("Description", F.col("description")), block("Facts", F.col("_facts")), block("Relations", F.col("_relations")), block("Sources", F.col("_sources")))
-    return p.select("path", "object_id", "kind", "title", F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n")).alias("text"))
+    block = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {title}\n\n"), c, F.lit("\n\n"))).otherwise("")
+    p = p.withColumn("_head", F.concat(front if front_matter else F.lit(""), F.lit("# "), "title", F.lit("\n\n"), block("Description", F.col("description"))))
+    cols = ("path", "object_id", "kind", "title")
+    # pages that are one text
+    one = p.join(big, "object_id", "left_anti")
+    for rank, title in HEADINGS:
+        one = one.join(_joined(few.filter(F.col("rank") == rank), f"_{title}"), "object_id", "left")
+    text = F.concat("_head", *[block(title, F.col(f"_{title}")) for _, title in HEADINGS])
+    one = one.select(*cols, F.lit(0).alias("part"), F.lit(None).cast("string").alias("section"), F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n")).alias("text"))
+    # pages in parts
+    long = p.join(big, "object_id", "left_semi")
+    many = lines.join(big, "object_id", "left_semi")
+    heading = F.get(F.array(F.lit(""), F.lit(""), *[F.lit(f"\n## {t}\n") for _, t in HEADINGS]), F.col("rank"))
+    heads = many.select("object_id", "rank").distinct().select("object_id", "rank", F.lit("").alias("o"), heading.alias("line"))
+    tops = long.select("object_id", F.lit(0).alias("rank"), F.lit("").alias("o"), F.regexp_replace("_head", r"\n+\z", "").alias("line"))
+    parts = _in_parts(many.unionByName(heads).unionByName(tops), most)
+    number = (F.row_number().over(Window.partitionBy("object_id").orderBy("key")) - 1).alias("part")
+    parts = parts.join(long.select(*cols), "object_id").select(*cols, number, "section", "text")
+    return one.unionByName(parts)
+
+
+def whole_pages(pages: DataFrame) -> DataFrame:
+    """Rendered pages with the parts of each put together, for pages whose size is known to be small."""
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n"), F.lit("\n"))
+    long = pages.filter("section IS NOT NULL").groupBy("path", "object_id", "kind", "title").agg(text.alias("text"))
+    return pages.filter("section IS NULL").select("path", "object_id", "kind", "title", "text").unionByName(long)
 
 
 def index_counts(documents: DataFrame, paths: DataFrame, lost_facts: DataFrame, lost_relations: DataFrame) -> DataFrame:

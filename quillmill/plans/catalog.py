@@ -568,7 +568,7 @@ def lint_dead_links(kb: KnowledgeBase) -> DataFrame:
 @query()
 def lint_pages(kb: KnowledgeBase) -> DataFrame:
     """Dead links and orphans of the linked wiki pages."""
-    linked = N.link_pages(kb.pages, _link_index(kb)).select("path", "text").join(kb.pages.select("path", "kind"), "path")
+    linked = N.link_pages(kb.pages, _link_index(kb)).select("path", "part", "text").join(kb.pages.select("path", "part", "kind"), ["path", "part"])
     return L.all_issues(L.dead_links(linked), L.orphan_pages(linked)).select("rule", "path")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,23 +94,58 @@ def _read_json(path: str) -> dict:
 
 
 def write_pages(pages: DataFrame, folder: str, overwrite: bool = True) -> int:
-    """Write (path, text) as UTF-8 files with exact names into a folder that all executors share; returns how many."""
-
-    def put(rows) -> list[int]:
-        n = 0
-        for r in rows:
-            target = os.path.join(folder, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            if not overwrite and os.path.exists(target):
-                raise FileExistsError(target)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8", newline="\n") as f:
-                f.write(r["text"])
-            os.replace(part, target)
-            n += 1
-        return [n]
-
-    return sum(pages.select("path", "text").rdd.mapPartitions(put).collect())
+    """Write (path, text[, part]) as UTF-8 files with exact names into a folder that all executors share; returns how many.
+
+    The parts of a page come in order and are appended one by one, so a long page is never held. A file gets its name when
+    it is whole.
+    """
+    rows = pages.withColumn("part", F.lit(0)) if "part" not in pages.columns else pages
+    whole = F.col("section").isNull() if "section" in pages.columns else F.lit(True)
+    lined = rows.select("path", "part", "text", whole.alias("whole")).repartition("path").sortWithinPartitions("path", "part")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, temporary, n = None, None, "", 0
+
+        def close() -> None:
+            if out is not None:
+                if not ended:
+                    out.write("\n")
+                out.close()
+                os.replace(temporary, os.path.join(folder, now))
+
+        ended = True
+        for b in batches:
+            for path, text, one in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if path != now:
+                    close()
+                    now, n = path, n + 1
+                    target = os.path.join(folder, path)
+                    if not overwrite and os.path.exists(target):
+                        raise FileExistsError(target)
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    temporary = f"{target}.{os.getpid()}.part"
+                    out = open(temporary, "w", encoding="utf-8", newline="\n")  # noqa: SIM115
+                else:
+                    out.write("\n")
+                ended = one
+                out.write(text or "")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return lined.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_json(rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """Rows as JSON lines, one file a task: documents, knowledge, graph or issue tables with their nested columns.
+
+    Nulls are kept, so the files read back with the same columns; ``read_json`` gives the rows again.
+    """
+    rows.write.mode(mode).option("ignoreNullFields", "false").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(folder)
+
+
+def read_json(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """Rows that ``write_json`` wrote, with the schema of ``like``; a broken line is an error."""
+    return spark.read.schema(like.schema).option("mode", "FAILFAST").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(folder)
 
 
 # --- layout of a shown graph ----------------------------------------------------------------------------------------

@@ -180,7 +180,7 @@ def test_links_by_join_equal_links_by_broadcast(spark):
     pages = spark.createDataFrame(texts, "path string, text string")
     told, joined = (sorted(map(tuple, N.link_pages(pages, index, prefer_entity=True, limit=n).collect())) for n in (100, 0))
     assert told == joined
-    assert dict((r[0], r[1]) for r in told)["a.md"].startswith("Our [Parser  Stage](stage.md) and [c++](parser.md) of [the parser](parser.md) use [解析器](zh.md).")
+    assert {r[0]: r[2] for r in told}["a.md"].startswith("Our [Parser  Stage](stage.md) and [c++](parser.md) of [the parser](parser.md) use [解析器](zh.md).")
 
 
 def test_overlapping_markup_is_kept():
@@ -196,3 +196,41 @@ def test_search_aliases_are_folded_whole(spark):
     assert pages.first().normalized_aliases == ["full width", "strasse"]
     assert S.search(pages, "straße").first().score == S.ALIAS_EXACT
     assert S.search(pages, "full  WIDTH").first().score == S.ALIAS_EXACT
+
+
+def test_long_pages_come_in_parts(spark):
+    ref = "array<struct<document_id:string,section_id:string,page_number:int,quote:string>>"
+    v = spark.createDataFrame([(1, "entity", "Hot", "hot", "h" * 16, "other", "About.", ["H"], []), (2, "concept", "Cold", "cold", "c" * 16, "other", "", [], [])], f"item_id long, kind string, name string, key string, id string, type string, description string, aliases array<string>, sources {ref}")
+    f = spark.createDataFrame([(n, f"S{n:03}", "Hot", "p", "Cold" if n == 5 else "", [("d", f"d#{n % 3}", None, None)], f"s{n:03}") for n in range(25)], f"fact_id long, statement string, subject string, predicate string, object string, sources {ref}, key string")
+    r = spark.createDataFrame([(1, "Cold", "Hot", "uses", "relation", "", [], "i")], f"edge_id long, source string, target string, type string, kind string, description string, sources {ref}, id string")
+    whole = {x.path: x.text for x in W.render_pages(v, G.nodes(v), f, r).collect()}
+    parts = W.render_pages(v, G.nodes(v), f, r, most=7)
+    got = parts.collect()
+    hot = sorted((x.part, x.section, x.text) for x in got if x.path == "Hot.md")
+    assert len(hot) > 4 and {s for _, s, _ in hot} == {"", "Facts", "Relations", "Sources"} and all(t.count("\n- ") <= 8 for _, _, t in hot)
+    assert {x.path: x.text for x in W.whole_pages(parts).collect()} == whole
+    assert [x.section for x in got if x.path == "Cold.md"] == [None]
+    index = N.link_index(spark.createDataFrame([("Cold.md", "concept", "Cold", []), ("Hot.md", "entity", "Hot", [])], "path string, kind string, title string, aliases array<string>"))
+    linked = N.link_pages(parts, index).collect()
+    assert len(linked) == len(got) and sum(x.links for x in linked if x.path == "Hot.md") == sum(x.links for x in N.link_pages(W.render_pages(v, G.nodes(v), f, r), index).collect() if x.path == "Hot.md")
+    assert {x.title for x in S.search_pages(parts).collect() if x.path == "Hot.md"} == {"Hot"}
+
+
+def test_given_node_ids_go_before_names(spark):
+    links = spark.createDataFrame([("a", "b", "t", "n2", None), ("a", "b", "t", "gone", "n1"), ("zz", "b", "t", "n1", None)], "source string, target string, type string, source_ref string, target_ref string")
+    index = G.name_index(spark.createDataFrame([("n1", "a"), ("n2", "a"), ("n3", "b")], "id string, key string"))
+    ids = spark.createDataFrame([("n1",), ("n2",), ("n3",)], "id string")
+    got = sorted((r.source, r.source_id or "", r.source_nodes, r.target_id) for r in G.resolve(links, index, ids).collect())
+    assert got == [("a", "", 2, "n1"), ("a", "n2", 1, "n3"), ("zz", "n1", 1, "n3")]
+
+
+def test_lint_runs(spark):
+    import pytest
+
+    p = spark.createDataFrame([("a.md", "[x](b.md)", "page")], "path string, text string, kind string")
+    issues, runs = L.run_rules({"dead_link": L.dead_links(p), "self_loop": None})
+    assert issues.count() == 1 and {r.rule for r in runs.filter("status = 'run'").collect()} == {"dead_link"} and runs.count() == len(L.SEVERITY)
+    with pytest.raises(L.NothingToCheckError):
+        L.run_rules({"dead_link": None})
+    with pytest.raises(ValueError, match="unknown rule"):
+        L.run_rules({"nothing": None})

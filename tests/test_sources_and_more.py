@@ -127,3 +127,17 @@ def test_entry_without_llm(spark):
 
     q = e.queries()
     assert "p3_found" in q and set(e.oracle_sql()) <= set(q)
+
+
+def test_pages_in_parts_and_json(spark, tmp_path):
+    rows = [("a.md", 0, None, "one\n"), ("b.md", 1, "Facts", "\n## Facts\n\n- x"), ("b.md", 0, "", "# b"), ("b.md", 2, "Facts", "- y")]
+    pages = spark.createDataFrame(rows, "path string, part int, section string, text string")
+    assert ST.write_pages(pages, str(tmp_path / "w")) == 2
+    assert (tmp_path / "w/b.md").read_text() == "# b\n\n## Facts\n\n- x\n- y\n" and (tmp_path / "w/a.md").read_text() == "one\n"
+    with pytest.raises(Exception, match="FileExistsError"):
+        ST.write_pages(pages, str(tmp_path / "w"), overwrite=False)
+    assert ST.write_pages(pages.limit(0), str(tmp_path / "w")) == 0
+    nested = spark.createDataFrame([(1, ["x", None], [("d", None)], None), (2, None, [], "é\n")], "id long, aliases array<string>, sources array<struct<document_id:string,section_id:string>>, text string")
+    ST.write_json(nested, str(tmp_path / "j"))
+    back = ST.read_json(spark, str(tmp_path / "j"), nested)
+    assert sorted(back.collect()) == sorted(nested.collect())
