@@ -42,9 +42,15 @@ def _detect(data: bytes, among: tuple[str, ...] | None) -> str | None:
 
 
 def decode(data: bytes, encoding: str | None = None, diagram: bool = False) -> Decoded:
-    """Text of a file; ``diagram`` sources try GB 18030 before any detection."""
+    """Text of a file; ``diagram`` sources try GB 18030 before any detection.
+
+    A given encoding is taken as it is: bytes that it does not have are replaced, and ``had_errors`` says so.
+    """
     if encoding is not None:
-        return Decoded(_tidy(data.decode(encoding)), encoding)
+        try:
+            return Decoded(_tidy(data.decode(encoding)), encoding)
+        except UnicodeDecodeError:
+            return Decoded(_tidy(data.decode(encoding, "replace")), encoding, True)
     plans: list[str | None] = [next((enc for mark, enc in MARKS if data.startswith(mark)), None), "utf-8"]
     if diagram:
         plans.append("gb18030")

@@ -178,6 +178,15 @@ def verdict_rows(answers: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     return read.select(key, F.when(error.isNull(), same).alias("same"), F.coalesce(strip(F.try_variant_get(v, "$.reason", "string")), F.lit("")).alias("reason"), error.alias("error"))
 
 
+def enforce(rows: DataFrame, policy: str = "skip", error: str = "error") -> DataFrame:
+    """Rows without an error ('skip'), or the same rows where the first error ends the job ('raise')."""
+    if policy == "skip":
+        return rows.filter(F.col(error).isNull())
+    if policy == "raise":
+        return rows.filter(F.when(F.col(error).isNotNull(), F.raise_error(F.col(error)).cast("boolean")).otherwise(F.lit(True)))
+    raise ValueError(f"unknown policy {policy!r}; expected 'skip' or 'raise'")
+
+
 #: What a model is told; the user's own wording may be given instead.
 SYSTEM_PROMPT = (
     "Read one document and return one JSON object with the lists entities, concepts, facts and relations and nothing else. Use only what the text says. "

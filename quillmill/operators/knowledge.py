@@ -220,3 +220,17 @@ def merge_report(view: DataFrame, groups: DataFrame, merged: DataFrame) -> DataF
     keys = view.join(groups, "item_id").groupBy("group_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     m = merged.filter("n_items > 1").join(keys, "group_id")
     return m.select("group_id", "kind", "canonical_name", "n_items", F.when(F.col("lo") == F.col("hi"), "normalized-name").otherwise("judge").alias("method"))
+
+
+def merge_summary(view: DataFrame, groups: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(name, n): items, groups, merges, judged pairs (in either order, once), pairs judged the same, failed verdicts."""
+    g = groups.groupBy("group_id").agg(F.count("*").alias("k")).agg(F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("merges"))
+    pair = F.struct(F.least("left_id", "right_id"), F.greatest("left_id", "right_id"))
+    asked = verdicts.filter("left_id IS NOT NULL AND right_id IS NOT NULL AND left_id <> right_id AND same IS NOT NULL").groupBy(pair.alias("p")).agg(F.max("same").alias("same"))
+    j = asked.agg(F.count("*").alias("judged_pairs"), F.count_if("same").alias("judged_same"))
+    f = verdicts.agg(F.count_if(F.col("error").isNotNull()).alias("judge_failures"))
+    one = F.lit(1).alias("_j")
+    whole = view.agg(F.count("*").alias("items")).select(one, "*")
+    for part in (g, j, f):
+        whole = whole.join(part.select(one, "*"), "_j")
+    return whole.drop("_j").unpivot([], ["items", "groups", "merges", "judged_pairs", "judged_same", "judge_failures"], "name", "n")

@@ -381,6 +381,13 @@ def merge_report(kb: KnowledgeBase) -> DataFrame:
     return K.merge_report(kb.items, kb.groups, kb.merged)
 
 
+@query(f"""{_KB}, jp AS (SELECT least(left_id, right_id) AS l, greatest(left_id, right_id) AS r, bool_or(same) AS same FROM verdicts WHERE left_id <> right_id AND same IS NOT NULL GROUP BY ALL)
+SELECT 'items' AS name, count(*) AS n FROM iv UNION ALL SELECT 'groups', count(DISTINCT group_id) FROM gr UNION ALL SELECT 'merges', count(*) FROM (SELECT group_id FROM gr GROUP BY group_id HAVING count(*) > 1)
+UNION ALL SELECT 'judged_pairs', count(*) FROM jp UNION ALL SELECT 'judged_same', count(*) FROM jp WHERE same UNION ALL SELECT 'judge_failures', count(*) FROM verdicts WHERE error IS NOT NULL""")
+def merge_summary(kb: KnowledgeBase) -> DataFrame:
+    return K.merge_summary(kb.items, kb.groups, kb.table("verdicts"))
+
+
 _CANDIDATES = rf"""nv AS (SELECT kind, key, min(item_id) AS item_id, regexp_replace(key, '{_SP}', '', 'g') AS c, list_filter(list_distinct(regexp_extract_all(key, '[0-9a-z]+')), lambda t: length(t) > 1) AS t FROM iv WHERE key <> '' GROUP BY ALL),
 al AS (SELECT DISTINCT iv.kind, iv.key, ik.key AS v FROM iv JOIN ik USING (item_id) WHERE iv.key <> ''),
 p1 AS (SELECT DISTINCT a.kind, a.key AS l, b.key AS r FROM al a JOIN al b ON a.kind = b.kind AND a.v = b.v AND a.key < b.key),

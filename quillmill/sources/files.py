@@ -118,6 +118,47 @@ def pdf_pages(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInArrow(run, "path string, page_number int, text string, error string")
 
 
+def pdf_info(df: DataFrame) -> DataFrame:
+    """(path, page_count, encrypted, info, error): the information dictionary of paged files, names without their slash.
+
+    Files that need a password have no page count; without a PDF library every file is an error row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            PdfReader = None
+        import io
+
+        kinds = (pa.string(), pa.int32(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.string())
+        for b in batches:
+            cols: tuple[list, ...] = ([], [], [], [], [])
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                row: tuple = (path, None, None, None, "no PDF library is installed")
+                if PdfReader is not None:
+                    try:
+                        reader = PdfReader(io.BytesIO(data or b""))
+                        locked = bool(reader.is_encrypted) and not reader.decrypt("")
+                        info = None if locked else [(k.lstrip("/"), str(v)) for k, v in (reader.metadata or {}).items() if v is not None]
+                        row = (path, None if locked else len(reader.pages), bool(reader.is_encrypted), info, "the file is protected by a password" if locked else None)
+                    except Exception as e:  # the row carries the error
+                        row = (path, None, None, None, f"{type(e).__name__}: {e}")
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "page_count", "encrypted", "info", "error"])
+
+    return df.select("path", "content").mapInArrow(run, "path string, page_count int, encrypted boolean, info map<string,string>, error string")
+
+
+def scan_report(documents: DataFrame) -> DataFrame:
+    """(path, status, note) of every scanned file: read, read with a warning, skipped (another suffix) or failed."""
+    skipped = F.col("doc_format").isNull()
+    status = F.when(skipped, "skipped").when(F.col("error").isNotNull(), "failed").when(F.col("had_errors"), "warning").otherwise("read")
+    lost = F.concat(F.lit("some bytes are no "), F.coalesce("encoding", F.lit("text")), F.lit(" and were replaced"))
+    return documents.select("path", status.alias("status"), F.coalesce("error", F.when(F.col("had_errors"), lost)).alias("note"))
+
+
 def parse_pdf(df: DataFrame) -> DataFrame:
     pages = pdf_pages(df)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n")

@@ -141,3 +141,29 @@ def test_pages_in_parts_and_json(spark, tmp_path):
     ST.write_json(nested, str(tmp_path / "j"))
     back = ST.read_json(spark, str(tmp_path / "j"), nested)
     assert sorted(back.collect()) == sorted(nested.collect())
+
+
+def test_policies_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True, None), (2, None, "bad")], "id long, same boolean, error string")
+    assert [r.id for r in X.enforce(rows).collect()] == [1]
+    with pytest.raises(Exception, match="bad"):
+        X.enforce(rows, "raise").collect()
+    assert X.enforce(rows.filter("id = 1"), "raise").count() == 1
+    with pytest.raises(ValueError, match="policy"):
+        X.enforce(rows, "ignore")
+    from quillmill.functions.encoding import decode
+    from quillmill.sources import files as FS
+
+    assert decode("é".encode("latin-1"), "utf-8").had_errors and decode("é".encode(), "utf-8") == ("é", "utf-8", False)
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "b.bin").write_bytes(b"x")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 broken")
+    files = FS.read_files(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: r.status for r in FS.scan_report(FS.create_default_registry().parse_all(files)).collect()}
+    assert got == {"a.txt": "read", "b.bin": "skipped", "c.pdf": "failed"}
+    (i,) = FS.pdf_info(files.filter("path LIKE '%.pdf'")).collect()
+    assert i.page_count is None and i.error
+    from quillmill.operators import linker as N
+
+    pages = spark.createDataFrame([("a.md", "[x](b.md) [y](c.md)"), ("b.md", "")], "path string, text string")
+    assert [tuple(r) for r in N.broken_links(pages, pages).collect()] == [("a.md", "c.md")]
