@@ -439,7 +439,14 @@ def candidates_truncation(kb: KnowledgeBase) -> DataFrame:
     return C.truncation(C.candidate_pairs(kb.items))
 
 
-@query()
+_PROMPTS = f"""ri AS (SELECT kind, key, min(item_id) AS item_id FROM iv WHERE key <> '' GROUP BY ALL),
+ds AS (SELECT ri.kind, ri.key, concat_ws(chr(10), 'name: ' || name, CASE WHEN ri.kind = 'entity' AND type <> '' THEN 'type: ' || type END, CASE WHEN len(al) > 0 THEN 'aliases: ' || array_to_string(al, ', ') END,
+  CASE WHEN len(qs) > 0 THEN array_to_string(list_transform(qs[1:3], lambda q: 'quote: ' || q), chr(10)) END) AS text
+  FROM (SELECT item_id, name, type, list_filter(aliases, lambda a: {_strip('a')} <> '') AS al, list_filter(list_transform(sources, lambda s: left({_strip("coalesce(s.quote, '')")}, 200)), lambda q: q <> '') AS qs FROM iv) JOIN ri USING (item_id)),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY rule, l, r) AS n FROM cp) WHERE n <= 200)"""
+
+
+@query(f"{_CP}, {_PROMPTS} SELECT tp.kind, l, r, 'kind: ' || tp.kind || chr(10) || chr(10) || 'A' || chr(10) || a.text || chr(10) || chr(10) || 'B' || chr(10) || b.text AS prompt FROM tp JOIN ds a ON a.kind = tp.kind AND a.key = l JOIN ds b ON b.kind = tp.kind AND b.key = r")
 def judge_prompts(kb: KnowledgeBase) -> DataFrame:
     """Prompts for the strongest candidates of each kind, as many as a judge may be asked."""
     return X.judge_prompts(C.limited_pairs(C.candidate_pairs(kb.items)), C.distinct_names(kb.items), kb.items)
@@ -612,8 +619,34 @@ def wiki_sources(kb: KnowledgeBase) -> DataFrame:
     return W.page_sources(kb.items, kb.facts, kb.relations, W.route(kb.facts, keys, "fact_id", "subject", "object"), W.route(kb.relations, keys, "edge_id", "source", "target"))
 
 
-@query()
+_SOURCE_LINE = f"""number || '. ' || concat_ws(' · ', '**' || coalesce(document_id, '') || '**', CASE WHEN coalesce(section_id, '') <> '' THEN 'section `' || section_id || '`' END, CASE WHEN page_number IS NOT NULL THEN 'page ' || page_number END)
+  || CASE WHEN q = '' THEN '' WHEN length(q) <= 300 THEN ' — “' || q || '”' ELSE ' — “' || rtrim(left(q, 300)) || '…”' END"""
+_COLLAPSED = _strip(f"regexp_replace(coalesce(quote, ''), '{_SP}+', ' ', 'g')")
+_QUOTED = lambda x: f"""'"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"'"""
+_PAGES = f"""WITH {_ITEMS}, {_FACTS}, {_RELATIONS}, {_PATHS},
+e AS (SELECT 'Facts' AS sec, fact_id AS ref_id, {_key('subject')} AS a, {_key('object')} AS b, sources, key || chr(1) || lpad(CAST(fact_id AS VARCHAR), 20, '0') AS o, statement AS body FROM fv
+  UNION ALL SELECT 'Relations', edge_id, {_key('source')}, {_key('target')}, sources, {_key('source')} || chr(1) || {_key('type')} || chr(1) || {_key('target')} || chr(1) || lpad(CAST(edge_id AS VARCHAR), 20, '0'),
+    source || ' ' || CASE WHEN type <> '' THEN '—' || type || '→' ELSE '→' END || ' ' || target FROM rv),
+rt AS (SELECT id, sec, ref_id, min(i) AS dir FROM (SELECT nk.id, sec, ref_id, 0 AS i FROM e JOIN nk ON nk.key = e.a UNION ALL SELECT nk.id, sec, ref_id, 1 FROM e JOIN nk ON nk.key = e.b) GROUP BY ALL),
+ci AS (SELECT id, NULL AS sec, NULL AS ref_id, unnest(sources) AS s FROM iv UNION ALL SELECT rt.id, rt.sec, rt.ref_id, unnest(e.sources) FROM rt JOIN e ON e.sec = rt.sec AND e.ref_id = rt.ref_id),
+cc AS (SELECT id, sec, ref_id, s.document_id AS document_id, s.section_id AS section_id, s.page_number AS page_number, coalesce(s.quote, '') AS quote FROM ci),
+nu AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(document_id, ''), coalesce(section_id, ''), coalesce(page_number, -1), quote, section_id IS NULL) AS number FROM (SELECT DISTINCT id, document_id, section_id, page_number, quote FROM cc)),
+mk AS (SELECT id, sec, ref_id, ' ' || string_agg('[' || number || ']', '' ORDER BY number) AS marks FROM (SELECT DISTINCT cc.id, cc.sec, cc.ref_id, nu.number FROM cc JOIN nu ON nu.id = cc.id AND nu.quote = cc.quote
+  AND nu.document_id IS NOT DISTINCT FROM cc.document_id AND nu.section_id IS NOT DISTINCT FROM cc.section_id AND nu.page_number IS NOT DISTINCT FROM cc.page_number WHERE cc.ref_id IS NOT NULL) GROUP BY id, sec, ref_id),
+li AS (SELECT rt.id, rt.sec, e.o, '- ' || CASE WHEN rt.sec = 'Relations' AND rt.dir = 1 THEN '← ' ELSE '' END || e.body || coalesce(mk.marks, '') AS line FROM rt JOIN e ON e.sec = rt.sec AND e.ref_id = rt.ref_id LEFT JOIN mk ON mk.id = rt.id AND mk.sec = rt.sec AND mk.ref_id = rt.ref_id
+  UNION ALL SELECT id, 'Sources', lpad(CAST(number AS VARCHAR), 20, '0'), {_SOURCE_LINE} FROM (SELECT *, {_COLLAPSED} AS q FROM nu)),
+ag AS (SELECT id, '## ' || sec || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY o, line) || chr(10) || chr(10) AS block, sec FROM li GROUP BY id, sec),
+ax AS (SELECT id, string_agg('  - ' || {_QUOTED('alias')}, chr(10) ORDER BY pl, alias) AS aliases FROM (SELECT id, alias, min((item_id, p)) AS pl FROM (SELECT id, item_id, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS p FROM iv) WHERE trim(alias) <> '' GROUP BY id, alias) GROUP BY id),
+fn AS (SELECT id, CASE WHEN kind = 'entity' THEN type END AS type, d AS description FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, item_id) AS n, first_value(description) OVER (PARTITION BY id ORDER BY length(description) DESC, r, item_id) AS d FROM o) WHERE n = 1),
+pg AS (SELECT nm2.object_id, nm2.kind, nm2.title, nm || '.md' AS path, '---' || chr(10) || 'id: ' || {_QUOTED('nm2.object_id')} || chr(10) || 'kind: ' || {_QUOTED('nm2.kind')} || CASE WHEN coalesce(fn.type, '') <> '' THEN chr(10) || 'type: ' || {_QUOTED('fn.type')} ELSE '' END
+  || CASE WHEN ax.aliases IS NOT NULL THEN chr(10) || 'aliases:' || chr(10) || ax.aliases ELSE '' END || chr(10) || 'page: ' || {_QUOTED("nm || '.md'")} || chr(10) || '---' || chr(10) || '# ' || nm2.title || chr(10) || chr(10)
+  || CASE WHEN coalesce(fn.description, '') <> '' THEN '## Description' || chr(10) || chr(10) || fn.description || chr(10) || chr(10) ELSE '' END || coalesce(f.block, '') || coalesce(r.block, '') || coalesce(s.block, '') AS text
+  FROM nm2 LEFT JOIN fn ON fn.id = nm2.object_id LEFT JOIN ax ON ax.id = nm2.object_id LEFT JOIN ag f ON f.id = nm2.object_id AND f.sec = 'Facts' LEFT JOIN ag r ON r.id = nm2.object_id AND r.sec = 'Relations' LEFT JOIN ag s ON s.id = nm2.object_id AND s.sec = 'Sources')"""
+
+
+@query(f"{_PAGES} SELECT path, object_id, kind, title, 0 AS part, CAST(NULL AS VARCHAR) AS section, rtrim(text, chr(10)) || chr(10) AS text FROM pg")
 def wiki_pages(kb: KnowledgeBase) -> DataFrame:
+    """Rendered pages; the SQL has no pages in parts, which begin at 5,000 rows of one page."""
     return kb.pages
 
 
@@ -626,7 +659,6 @@ def wiki_index_counts(kb: KnowledgeBase) -> DataFrame:
     return W.index_counts(kb.documents, kb.page_paths, W.unattached(kb.facts, f, "fact_id"), W.unattached(kb.relations, r, "edge_id"))
 
 
-_COLLAPSED = _strip(f"regexp_replace(coalesce(quote, ''), '{_SP}+', ' ', 'g')")
 _INDEX = f"""k AS (SELECT DISTINCT key FROM nk),
 lf AS (SELECT *, {_key('subject')} AS a, {_key('object')} AS b FROM fv WHERE a NOT IN (SELECT key FROM k) AND b NOT IN (SELECT key FROM k)),
 lr AS (SELECT *, {_key('source')} AS a, {_key('target')} AS b FROM rv WHERE a NOT IN (SELECT key FROM k) AND b NOT IN (SELECT key FROM k)),
@@ -643,8 +675,7 @@ UNION ALL SELECT 1, document_id, '- `' || document_id || '` — ' || coalesce(nu
   FROM (SELECT document_id, d.t AS t, d.s AS s FROM (SELECT document_id, arg_min(struct_pack(t := title, s := source), (title IS NOT NULL, title, source IS NOT NULL, source)) AS d FROM documents GROUP BY document_id))
 UNION ALL SELECT CASE kind WHEN 'entity' THEN 2 WHEN 'concept' THEN 3 ELSE 11 END, {_key('title')} || chr(1) || object_id, '- ' || title || ' → ' || nm || '.md' FROM nm2
 UNION ALL SELECT part, sort, line || coalesce(marks, '') FROM en LEFT JOIN mk USING (part, sort)
-UNION ALL SELECT 22, lpad(CAST(number AS VARCHAR), 20, '0'), number || '. ' || concat_ws(' · ', '**' || coalesce(document_id, '') || '**', CASE WHEN coalesce(section_id, '') <> '' THEN 'section `' || section_id || '`' END, CASE WHEN page_number IS NOT NULL THEN 'page ' || page_number END)
-  || CASE WHEN q = '' THEN '' WHEN length(q) <= 300 THEN ' — “' || q || '”' ELSE ' — “' || rtrim(left(q, 300)) || '…”' END FROM (SELECT *, {_COLLAPSED} AS q FROM nu)""")
+UNION ALL SELECT 22, lpad(CAST(number AS VARCHAR), 20, '0'), {_SOURCE_LINE} FROM (SELECT *, {_COLLAPSED} AS q FROM nu)""")
 def wiki_index(kb: KnowledgeBase) -> DataFrame:
     keys = W.page_keys(kb.items)
     f = W.unattached(kb.facts, W.route(kb.facts, keys, "fact_id", "subject", "object"), "fact_id")
