@@ -137,7 +137,21 @@ def doc_sections(kb: KnowledgeBase) -> DataFrame:
     return s.join(up, ["doc_id", "parent_path"], "left").select("doc_id", "line_start", "line_end", "heading_level", "title", "parent_line")
 
 
-@query()
+_BLANK = r"[ \t\r\f\v\x{00A0}\x{3000}]*"
+_TREE = f"""WITH RECURSIVE {_LINES}, md AS (SELECT hd.* FROM hd JOIN documents USING (doc_id) WHERE doc_format = 'markdown'),
+hp AS (SELECT *, max(CASE WHEN level > 0 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS h FROM md),
+sc AS (SELECT doc_id, h, max(CASE WHEN level > 0 THEN level END) AS lv, max(CASE WHEN level > 0 THEN heading END) AS title, max(pos) + 1 AS line_end,
+  regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), '\\A(?:{_BLANK}\\n)+', ''), '(?:\\n{_BLANK})+\\z', '') AS content FROM hp GROUP BY doc_id, h),
+hs AS (SELECT * FROM sc WHERE doc_id IN (SELECT doc_id FROM sc WHERE h IS NOT NULL) AND (h IS NOT NULL OR content <> '')),
+pa AS (SELECT a.*, (SELECT max(b.h) FROM hs b WHERE b.doc_id = a.doc_id AND b.h < a.h AND b.lv < a.lv) AS p FROM hs a),
+od AS (SELECT *, row_number() OVER (PARTITION BY doc_id, p ORDER BY h NULLS FIRST) AS k FROM pa),
+tr AS (SELECT doc_id, h, [k] AS way FROM od WHERE p IS NULL UNION ALL SELECT od.doc_id, od.h, list_append(tr.way, od.k) FROM od JOIN tr ON tr.doc_id = od.doc_id AND tr.h = od.p),
+tt AS (SELECT od.doc_id, array_to_string(way, '.') AS path, way, array_to_string(way[:-2], '.') AS up, len(way) AS level, CASE WHEN od.h IS NULL THEN 'preamble' ELSE 'heading' END AS kind, lv, coalesce(od.h, 0) + 1 AS line_start, line_end, coalesce(title, '') AS title, content
+    FROM od JOIN tr ON tr.doc_id = od.doc_id AND tr.h IS NOT DISTINCT FROM od.h
+  UNION ALL SELECT doc_id, '1', [1], '', 1, 'document', NULL, 1, greatest((SELECT count(*) FROM ln WHERE ln.doc_id = d.doc_id), 1), coalesce(title, ''), coalesce(text, '') FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM hs))"""
+
+
+@query(f"""{_TREE} SELECT doc_id, doc_id || '#' || path AS section_id, path, nullif(up, '') AS parent_path, CAST(level AS INTEGER) AS level, kind, CAST(lv AS INTEGER) AS heading_level, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, title, content FROM tt""")
 def doc_section_tree(kb: KnowledgeBase) -> DataFrame:
     """All sections with ids, tree order and contents."""
     return kb.sections.select("doc_id", "section_id", "path", "parent_path", "level", "kind", "heading_level", "line_start", "line_end", "title", "content")
@@ -148,7 +162,9 @@ def doc_ids(kb: KnowledgeBase) -> DataFrame:
     return kb.documents.select("doc_id", document_id(F.col("path")).alias("made_id"))
 
 
-@query()
+@query(f"""{_TREE}, bl AS (SELECT doc_id, string_agg(chr(10) || '[section ' || doc_id || '#' || path || ']' || chr(10) || CASE WHEN title <> '' THEN title || chr(10) ELSE '' END || content, chr(10) ORDER BY way) AS b FROM tt GROUP BY doc_id)
+SELECT d.doc_id, 'Document' || chr(10) || 'id: ' || d.doc_id || chr(10) || 'title: ' || coalesce(title, '') || chr(10) || 'source: ' || coalesce(source, '') || chr(10) || 'format: ' || coalesce(doc_format, '') || chr(10) || chr(10)
+|| 'Sections (cite these ids in "sources"; a section header is not part of its text):' || chr(10) || b || chr(10) || chr(10) || 'Now return the JSON object.' AS prompt FROM documents d JOIN bl USING (doc_id)""")
 def doc_prompts(kb: KnowledgeBase) -> DataFrame:
     return D.user_prompts(kb.documents, kb.sections, "doc_id", "title", "source", "doc_format")
 
@@ -733,9 +749,12 @@ def search_snippets(kb: KnowledgeBase) -> DataFrame:
     return S.search(_search_table(kb), "binary trace", limit=20).select("path", "title", "score", "snippet")
 
 
-@query()
+@query(f"""{_PAGES}, la AS (SELECT id, list(replace(lower({_strip(f"regexp_replace(alias, '{_SP}+', ' ', 'g')")}), 'ß', 'ss')) AS al FROM (SELECT id, unnest(aliases) AS alias FROM iv) WHERE trim(alias) <> '' GROUP BY id),
+sw AS (SELECT path, lower({_strip(f"regexp_replace(title, '{_SP}+', ' ', 'g')")}) AS t, coalesce(al, []) AS al, lower(regexp_replace(text, '(?s)\\A---\\n.*?\\n---\\n', '')) AS b FROM pg LEFT JOIN la ON la.id = pg.object_id)
+SELECT path, score FROM (SELECT path, CASE WHEN t = 'parser' THEN 100 WHEN list_contains(al, 'parser') THEN 50 WHEN contains(t, 'parser') THEN 10 WHEN contains(b, 'parser') THEN 1 WHEN len(list_filter(al, lambda a: contains(a, 'parser'))) > 0 THEN 5 ELSE 0 END AS score FROM sw) WHERE score > 0 ORDER BY score DESC, path LIMIT 50""")
 def search_wiki(kb: KnowledgeBase) -> DataFrame:
-    return S.search(S.search_pages(kb.pages), "parser", limit=50)
+    """Names, aliases and texts of the rendered pages."""
+    return S.search(S.search_pages(kb.pages), "parser", limit=50).select("path", "score")
 
 
 # --- diagrams -------------------------------------------------------------------------------------------------------
