@@ -60,7 +60,8 @@ def components(links: DataFrame) -> DataFrame:
     known = forest[-1].select(F.col("child").alias("id"), F.col("parent").alias("group_id"))
     for trees in reversed(forest[:-1]):
         up = trees.join(known.withColumnRenamed("id", "parent"), "parent", "left")
-        known = cut(known.unionByName(up.select(F.col("child").alias("id"), F.coalesce("group_id", "parent").alias("group_id"))))
+        # only the new level is written; the levels before stay as they are
+        known = known.unionByName(cut(up.select(F.col("child").alias("id"), F.coalesce("group_id", "parent").alias("group_id"))))
     return everyone.join(known, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
