@@ -182,7 +182,7 @@ SELECT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_key, md5(min(t
 WHERE limit_name = 'document_piece' AND length(text) > max_size AND doc_id IS NOT NULL GROUP BY doc_id
 UNION ALL SELECT 'sections', section_id, md5(min(content)), true, true FROM sections, size_limits
 WHERE limit_name = 'section_piece' AND length(content) > max_size AND section_id IS NOT NULL GROUP BY section_id""",
-    "p9_checked": "SELECT limit_name, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS split_without_need FROM size_limits WHERE starts_with(limit_name, 'container')",
+    "p9_checked": "SELECT limit_name, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split_without_need FROM size_limits WHERE starts_with(limit_name, 'container')",
     "p6_found": r"""
 WITH t AS (
   SELECT DISTINCT 'facts' AS record_table, fact_id AS id, list_sort(regexp_extract_all(lower(statement), '[\p{L}\p{N}]+')) AS w FROM facts WHERE statement IS NOT NULL
