@@ -525,9 +525,9 @@ def graph_edge_statements(kb: KnowledgeBase) -> DataFrame:
     return G.edge_statements(kb.resolved)
 
 
-@query(f"{_KG} SELECT source_key, type_key, target_key, CASE WHEN n_facts > 0 AND n_relations > 0 THEN ['fact', 'relation'] WHEN n_facts > 0 THEN ['fact'] ELSE ['relation'] END AS kinds FROM ed")
+@query(f"{_KG} SELECT source_key, type_key, target_key, CASE WHEN n_facts > 0 AND n_relations > 0 THEN 'fact,relation' WHEN n_facts > 0 THEN 'fact' ELSE 'relation' END AS kinds FROM ed")
 def graph_edge_kinds(kb: KnowledgeBase) -> DataFrame:
-    return G.edge_kinds(kb.edges)
+    return G.edge_kinds(kb.edges).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query(f"""WITH {_ITEMS}, r AS (SELECT *, CASE kind WHEN 'entity' THEN 0 WHEN 'concept' THEN 1 ELSE 9 END AS r FROM iv), ti AS (SELECT id, {_key('arg_min(name, (r, item_id))')} AS key FROM r GROUP BY id),
