@@ -1,5 +1,6 @@
 from difflib import SequenceMatcher
 from itertools import combinations
+from random import Random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -82,3 +83,45 @@ def test_truncation(spark):
     assert got["entity"][:2] == (5, 3) and "truncated to 3 (of 5)" in got["entity"][2]
     plan = C.limited_pairs(pairs, 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def written(spark):
+    """Bytes that all stages so far have shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_names_of_one_word_are_not_moved_as_pairs(spark):
+    letters = "bcdfghklmnprstvz"
+    keys = ["".join(letters[i // 16**k % 16] + "aeiou"[(i * (k + 7) // 3) % 5] for k in range(4)) + " glacier" for i in range(0, 65536, 41)]
+    df = spark.createDataFrame([(i, "entity", k, k, []) for i, k in enumerate(keys)], "item_id long, kind string, key string, name string, aliases array<string>")
+    before = written(spark)
+    C.candidate_pairs(df).count()
+    assert written(spark) - before < 2_500_000
+
+
+def overlaps(keys):
+    out = {}
+    for x, y in combinations(keys, 2):
+        s, t = ({w for w in k.split() if len(w) > 1} for k in (x, y))
+        if s and t and len(s & t) / len(s | t) >= 0.5:
+            out[min(x, y), max(x, y)] = pytest.approx(len(s & t) / len(s | t), abs=6e-5)
+    return out
+
+
+def test_token_overlap_equals_brute_force(spark):
+    r = Random(7)
+    words = [f"w{i}" for i in range(30)] + ["aa", "bb", "cc"]
+    keys = [" ".join(r.sample(words, min(28, 1 + int(r.expovariate(0.2))))) for _ in range(150)]
+    for k in keys[:100]:
+        w = k.split()
+        keys += [" ".join(w[r.randrange(len(w)) // 2 :] + ["zz"]), " ".join(r.sample(w, len(w)))]
+    keys = sorted(set(keys))
+    assert {(x.l, x.r): x.score for x in C.token_overlap(names(spark, keys)).collect()} == overlaps(keys)
+
+
+def test_near_spelling_in_small_blocks(spark):
+    keys = [f"{a}{b} {c}" for a in ("abc", "abd", "xbc", "bc") for b in ("def", "dfe", "de") for c in ("glacier", "glacer", "queue")]
+    rows = C.near_spelling(names(spark, keys), block=4).collect()
+    assert {(r.l, r.r): r.reason for r in rows} == brute(keys) and len(rows) == len(brute(keys))
