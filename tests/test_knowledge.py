@@ -234,3 +234,16 @@ def test_lint_runs(spark):
         L.run_rules({"dead_link": None})
     with pytest.raises(ValueError, match="unknown rule"):
         L.run_rules({"nothing": None})
+
+
+def test_rows_of_pages_are_moved_once(spark):
+    ref = "array<struct<document_id string, section_id string, page_number int, quote string>>"
+    v = spark.createDataFrame([(1, "entity", "Hot", "hot", "h" * 16, "other", "", [], [])], f"item_id long, kind string, name string, key string, id string, type string, description string, aliases array<string>, sources {ref}")
+    f = spark.createDataFrame([(1, "S", "Hot", "p", "", [("d", "s", 1, "q")], "s")], f"fact_id long, statement string, subject string, predicate string, object string, sources {ref}, key string")
+    r = spark.createDataFrame([(1, "Hot", "X", "uses", "relation", "", [("d", "s", 1, "q"), ("e", None, None, None)], "i")], f"edge_id long, source string, target string, type string, kind string, description string, sources {ref}, id string")
+    pages = W.render_pages(v, G.nodes(v), f, r)
+    assert "- S [1]\n" in pages.collect()[0].text and "Hot —uses→ X [1][2]\n" in pages.collect()[0].text
+    # no result of a step is written to the checkpoint folder and no source is joined by its quote
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "Scan ExistingRDD[object_id" not in plan and "LogicalRDD [object_id" not in plan
+    assert not [x for x in plan.splitlines() if "Join" in x and "quote" in x]
