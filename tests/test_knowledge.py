@@ -236,7 +236,7 @@ def test_lint_runs(spark):
         L.run_rules({"nothing": None})
 
 
-def test_rows_of_pages_are_moved_once(spark):
+def test_pages_are_made_without_checkpoints_or_joins_by_quote(spark):
     ref = "array<struct<document_id string, section_id string, page_number int, quote string>>"
     v = spark.createDataFrame([(1, "entity", "Hot", "hot", "h" * 16, "other", "", [], [])], f"item_id long, kind string, name string, key string, id string, type string, description string, aliases array<string>, sources {ref}")
     f = spark.createDataFrame([(1, "S", "Hot", "p", "", [("d", "s", 1, "q")], "s")], f"fact_id long, statement string, subject string, predicate string, object string, sources {ref}, key string")
